@@ -1,0 +1,89 @@
+"""Numeric fits of one series, run inside Spark tasks on one small pandas frame per series.
+
+The functions travel with the job by value, so executors need no installed copy of this package.
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SEASON = 12
+Z_95 = 1.959964  # Fixed value: two-sided 95 % point of the normal distribution.
+# Candidate weights of level, trend and season.
+GRID = tuple((a, b, g) for a in (0.1, 0.3, 0.5, 0.8) for b in (0.01, 0.1, 0.3) for g in (0.05, 0.2, 0.5))
+SMOOTHING_COLUMNS = ["series_id", "month", "forecast", "low", "high", "residual_sd"]
+
+
+def holt_winters_path(y: np.ndarray, alpha: float, beta: float, gamma: float) -> tuple:
+    """One-step errors and final state of additive level, trend and twelve month effects."""
+    level = y[:SEASON].mean()
+    trend = (y[SEASON:2 * SEASON].mean() - level) / SEASON
+    season = list(y[:SEASON] - level)
+    errors = np.empty(len(y) - SEASON)
+    for t in range(SEASON, len(y)):
+        effect = season[t % SEASON]
+        errors[t - SEASON] = y[t] - (level + trend + effect)
+        previous = level
+        level = alpha * (y[t] - effect) + (1 - alpha) * (level + trend)
+        trend = beta * (level - previous) + (1 - beta) * trend
+        season[t % SEASON] = gamma * (y[t] - level) + (1 - gamma) * effect
+    return errors, level, trend, season
+
+
+def best_fit(y: np.ndarray):
+    fits = ((holt_winters_path(y, *weights), weights) for weights in GRID)
+    return min(fits, key=lambda fit: float((fit[0][0] ** 2).sum()))
+
+
+def smooth(pdf: pd.DataFrame, horizon: int) -> pd.DataFrame:
+    pdf = pdf.sort_values("month")
+    y = pdf["y"].to_numpy(float)
+    if len(y) < 2 * SEASON:
+        return pd.DataFrame(columns=SMOOTHING_COLUMNS)
+    (errors, level, trend, season), (alpha, beta, gamma) = best_fit(y)
+    sd = float(errors.std(ddof=1))
+    last = pd.Timestamp(pdf["month"].iloc[-1])
+    rows, spread = [], 1.0
+    for h in range(1, horizon + 1):
+        if h > 1:
+            step = alpha * (1 + (h - 1) * beta) + (gamma * (1 - alpha) if (h - 1) % SEASON == 0 else 0.0)
+            spread += step * step
+        point = level + h * trend + season[(len(y) + h - 1) % SEASON]
+        half = Z_95 * sd * math.sqrt(spread)
+        rows.append((pdf["series_id"].iloc[0], (last + pd.DateOffset(months=h)).date(), point, point - half,
+                     point + half, sd))
+    return pd.DataFrame(rows, columns=SMOOTHING_COLUMNS)
+
+
+def t_quantile_975(df: int) -> float:
+    """Two-sided 95 % point of Student's t from its normal expansion."""
+    z = Z_95
+    g1 = (z ** 3 + z) / 4
+    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
+    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
+    return z + g1 / df + g2 / df ** 2 + g3 / df ** 3
+
+
+def trend(pdf: pd.DataFrame, degree: int) -> pd.DataFrame:
+    pdf = pdf.sort_values("month")
+    y = pdf["y"].to_numpy(float)
+    x = np.linspace(-1.0, 1.0, len(y)) if len(y) > 1 else np.zeros(1)
+    used = min(degree, max(len(y) - 2, 0))
+    design = np.polynomial.legendre.legvander(x, used)
+    q, _ = np.linalg.qr(design)
+    fitted = q @ (q.T @ y)
+    freedom = len(y) - used - 1
+    if freedom > 0:
+        sigma = math.sqrt(float(((y - fitted) ** 2).sum()) / freedom)
+        half = t_quantile_975(freedom) * sigma * np.sqrt((q ** 2).sum(axis=1))
+    else:
+        half = np.full(len(y), np.nan)
+    return pd.DataFrame({"series_id": pdf["series_id"], "month": pdf["month"], "y": y, "fitted": fitted,
+                         "low": fitted - half, "high": fitted + half})

@@ -1,0 +1 @@
+STATEMENTS = {}
