@@ -5,23 +5,26 @@ A series holds one row per calendar month, so per-series windows and groups are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from houselights.models import fits
 
 SEASON = fits.SEASON
-_BY_SERIES = Window.partitionBy("series_id").orderBy("month")
+
+
+def _by_series() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("month")
 
 
 def difference(series: DataFrame) -> DataFrame:
     """Change from month to month; the first month has none."""
-    return (series.withColumn("y", F.col("y") - F.lag("y", 1).over(_BY_SERIES)).where(F.col("y").isNotNull()))
+    return (series.withColumn("y", F.col("y") - F.lag("y", 1).over(_by_series())).where(F.col("y").isNotNull()))
 
 
 def lagged_pairs(series: DataFrame, lags: int = 4) -> DataFrame:
     """Each value with its value 1..k months earlier (the points of a lag plot)."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("y", k).over(_BY_SERIES).alias("lagged"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("y", k).over(_by_series()).alias("lagged"))
                       for k in range(1, lags + 1)])
     return (series.withColumn("_p", pairs).select("series_id", "month", "y", F.explode("_p").alias("_p"))
             .select("series_id", "month", "y", "_p.lag", "_p.lagged").where(F.col("lagged").isNotNull()))
@@ -33,7 +36,7 @@ def lag_correlations(series: DataFrame, lags: int = 4) -> DataFrame:
 
 def seasonal_naive(series: DataFrame) -> DataFrame:
     """Forecast each month by the same month a year earlier."""
-    fitted = F.lag("y", SEASON).over(_BY_SERIES)
+    fitted = F.lag("y", SEASON).over(_by_series())
     return series.withColumns({"fitted": fitted, "residual": F.col("y") - fitted})
 
 
@@ -71,7 +74,7 @@ def seasonal_view(series: DataFrame, first_year: int, last_year: int) -> DataFra
 def decompose(series: DataFrame) -> DataFrame:
     """Classical additive decomposition: centred 2x12 moving average, month effects summing to zero, remainder."""
     def span(low: int, high: int):
-        return _BY_SERIES.rowsBetween(low, high)
+        return _by_series().rowsBetween(low, high)
 
     whole = Window.partitionBy("series_id")
     complete = F.count("y").over(span(-6, 6)) == 13
@@ -89,7 +92,7 @@ def decompose(series: DataFrame) -> DataFrame:
 
 def seasonal_autoregression(series: DataFrame) -> DataFrame:
     """y on its value one month and one year earlier, per series: two-predictor least squares from covariances."""
-    lagged = (series.withColumns({"l1": F.lag("y", 1).over(_BY_SERIES), "l12": F.lag("y", SEASON).over(_BY_SERIES)})
+    lagged = (series.withColumns({"l1": F.lag("y", 1).over(_by_series()), "l12": F.lag("y", SEASON).over(_by_series())})
               .where(F.col("l12").isNotNull()))
     s11, s22, s12 = F.var_samp("l1"), F.var_samp("l12"), F.covar_samp("l1", "l12")
     s1y, s2y = F.covar_samp("l1", "y"), F.covar_samp("l12", "y")

@@ -1,0 +1 @@
+"""DuckDB statements the registered queries are checked against."""
