@@ -203,12 +203,12 @@ def _age_summary(s, d, name):
                                       D_(s, d), AS_OF)
 
 
-@query("Q19 P10 P23 B10 A3 A8 J2 J6")
+@query("Q19 P10 P23 B10 A3 A8 J2 J6", digits=4)
 def age_group_summary_classics(s, d):
     return _age_summary(s, d, "Classics")
 
 
-@query("Q19")
+@query("Q19", digits=4)
 def age_group_summary_pops(s, d):
     return _age_summary(s, d, "Pops")
 
@@ -238,17 +238,17 @@ def single_buyers(s, d):
     return audience.single_buyers(T_(s, d), THIS_FY, CUTOFF)
 
 
-@query("Q23 P9 A13")
+@query("Q23 P9 A13", digits=8)
 def customer_frequency_value(s, d):
     return audience.frequency_value(T_(s, d), RULES, POPS)
 
 
-@query("Q23")
+@query("Q23", digits=8)
 def customer_frequency_value_all(s, d):
     return audience.frequency_value(T_(s, d), RULES)
 
 
-@query("Q24 B14 A11")
+@query("Q24 B14 A11", digits=8)
 def customer_segments(s, d):
     return audience.segments(T_(s, d), RULES)
 
@@ -310,12 +310,12 @@ def first_time_subscribers(s, d):
     return audience.first_time_subscribers(T_(s, d), THIS_FY)
 
 
-@query("Q36 P5")
+@query("Q36 P5", digits=8)
 def upgrade_prospects_classics(s, d):
     return audience.upgrade_prospects(T_(s, d), D_(s, d), RULES, "Classics")
 
 
-@query("Q36")
+@query("Q36", digits=8)
 def upgrade_prospects_pops(s, d):
     return audience.upgrade_prospects(T_(s, d), D_(s, d), RULES, "Pops")
 
@@ -323,7 +323,7 @@ def upgrade_prospects_pops(s, d):
 # --- concerts ------------------------------------------------------------------------------------------------
 
 
-@query("Q29 A6 A12 B4 F3 P17")
+@query("Q29 A6 A12 B4 F3 P17", digits=8)
 def performance_summary(s, d):
     return concert.performance_summary(T_(s, d))
 
@@ -332,17 +332,17 @@ def _one_summary(s, d):
     return concert.performance_summary(audience.one_day(T_(s, d, CONCERT, "2001-04-27"), CONCERT))
 
 
-@query("Q29 P11")
+@query("Q29 P11", digits=8)
 def performance_revenue_view(s, d):
     return concert.view(_one_summary(s, d), concert.GENERAL)
 
 
-@query("Q29")
+@query("Q29", digits=8)
 def performance_comp_view(s, d):
     return concert.view(_one_summary(s, d), concert.COMPS)
 
 
-@query("Q29")
+@query("Q29", digits=8)
 def performance_attendance_view(s, d):
     return concert.view(_one_summary(s, d), concert.ATTENDANCE)
 
@@ -544,7 +544,7 @@ def frequent_itemsets(s, d):
 
 @query("M2")
 def association_rules(s, d):
-    return basket.association_rules(_baskets(s, d), support=0.1, confidence=0.3)
+    return basket.association_rules(_baskets(s, d), support=0.25, confidence=0.3)
 
 
 # --- series --------------------------------------------------------------------------------------------------
@@ -599,7 +599,7 @@ def seasonal_view(s, d):
     return series.seasonal_view(_series(s, d), 1996, 2001)
 
 
-@query("T5", digits=4)
+@query("T5")
 def decomposition(s, d):
     return series.decompose(_series(s, d))
 

@@ -126,7 +126,7 @@ ages AS (SELECT summary_cust_id, CASE WHEN key_value <= 1954 THEN 'group_65_and_
                 WHEN key_value <= 1974 THEN 'group_45_to_64' ELSE 'under_44' END AS age_group
          FROM births WHERE key_value > 0)""",
         rounded="paid_amt total_donations_5yr average_donations_5yr max_5yr_donation_amt average_ticket_price "
-                "average_annual_donation attendance_rate")
+                "average_annual_donation attendance_rate", digits=4)
 
 AGE = """CASE WHEN age <= 19 THEN 'less20' WHEN age <= 29 THEN 'twenties' WHEN age <= 39 THEN 'thirties'
          WHEN age <= 49 THEN 'fourties' WHEN age <= 59 THEN 'fifties' WHEN age <= 69 THEN 'sixties'
@@ -172,11 +172,11 @@ put("audience_mix", "SELECT * FROM mixed", t.TICKETS, MIX_SETS)
 put("audience_mix_counts", "SELECT buyer, class, count(*) AS customers FROM mixed GROUP BY 1, 2", t.TICKETS, MIX_SETS)
 put("single_buyers", "SELECT summary_cust_id FROM mixed WHERE buyer = 'single'", t.TICKETS, MIX_SETS)
 put("customer_frequency_value", "SELECT * FROM valued", t.TICKETS, t.customer_values(POPS),
-    rounded="avg_paid_amt tot_paid_amt")
+    rounded="avg_paid_amt tot_paid_amt", digits=8)
 put("customer_frequency_value_all", "SELECT * FROM valued", t.TICKETS, t.customer_values(),
-    rounded="avg_paid_amt tot_paid_amt")
+    rounded="avg_paid_amt tot_paid_amt", digits=8)
 put("customer_segments", "SELECT * FROM segments", t.TICKETS, t.customer_values(), t.segmented(),
-    rounded="avg_paid_amt tot_paid_amt")
+    rounded="avg_paid_amt tot_paid_amt", digits=8)
 put("audience_key_sets", """
 SELECT summary_cust_id, 'renew' AS key_set FROM renew_keys UNION ALL
 SELECT summary_cust_id, 'return' FROM return_keys UNION ALL SELECT summary_cust_id, 'subscriber' FROM sub_keys""",
@@ -243,21 +243,21 @@ old_subs AS (SELECT DISTINCT summary_cust_id FROM mine
 valued AS (SELECT summary_cust_id, count(*) AS freq, sum(paid_amt) / count(*) AS avg_paid_amt, sum(paid_amt) AS tot_paid_amt
            FROM mine WHERE paid_amt > 5
              AND summary_cust_id IN (SELECT summary_cust_id FROM mine GROUP BY 1 HAVING count(*) <= 40) GROUP BY 1)""",
-        t.segmented(), rounded="avg_paid_amt tot_paid_amt total_gift")
+        t.segmented(), rounded="avg_paid_amt tot_paid_amt total_gift", digits=8)
 
 # --- concerts ------------------------------------------------------------------------------------------------
 
 RATIOS = "sub_avg sub_rev sgl_avg sgl_rev prcnt_sold tot_rev prcnt_comp comp_att sub_att sgl_att tot_att"
 DAY = """
 concert AS (SELECT * FROM tickets WHERE perf_dt > TIMESTAMP '2001-04-26' AND perf_dt < TIMESTAMP '2001-04-27')"""
-put("performance_summary", "SELECT * FROM summary", t.TICKETS, t.summary("tickets"), rounded=RATIOS)
+put("performance_summary", "SELECT * FROM summary", t.TICKETS, t.summary("tickets"), rounded=RATIOS, digits=8)
 put("performance_revenue_view", """
 SELECT perf_dt, zone, seats, sub_sold, sub_avg, sub_rev, sgl_sold, sgl_avg, sgl_rev, tot_sold, prcnt_sold, tot_rev
-FROM summary""", t.TICKETS, DAY, t.summary("concert"), rounded="sub_avg sub_rev sgl_avg sgl_rev prcnt_sold tot_rev")
+FROM summary""", t.TICKETS, DAY, t.summary("concert"), rounded="sub_avg sub_rev sgl_avg sgl_rev prcnt_sold tot_rev", digits=8)
 put("performance_comp_view", "SELECT perf_dt, zone, seats, tot_comp, prcnt_comp FROM summary",
-    t.TICKETS, DAY, t.summary("concert"), rounded="prcnt_comp")
+    t.TICKETS, DAY, t.summary("concert"), rounded="prcnt_comp", digits=8)
 put("performance_attendance_view", "SELECT perf_dt, zone, seats, att, comp_att, sub_att, sgl_att, tot_att FROM summary",
-    t.TICKETS, DAY, t.summary("concert"), rounded="comp_att sub_att sgl_att tot_att")
+    t.TICKETS, DAY, t.summary("concert"), rounded="comp_att sub_att sgl_att tot_att", digits=8)
 put("performance_formatted", """
 SELECT perf_dt, seats, format('${:,.2f}', sub_rev) AS sub_rev, format('${:,.2f}', sgl_rev) AS sgl_rev,
        format('${:,.2f}', tot_rev) AS tot_rev, format('{:,.1f}%', prcnt_sold * 100) AS prcnt_sold,
@@ -489,13 +489,19 @@ FROM (SELECT a.name || '|' || b.name AS items, count(*) AS freq FROM items a JOI
         JOIN items c ON c.summary_cust_id = b.summary_cust_id AND b.name < c.name GROUP BY 1), total
 WHERE freq / n >= 0.1 ORDER BY freq DESC, items LIMIT 10""", *ITEMS, rounded="support")
 put("association_rules", """
-SELECT a.name AS antecedent, b.name AS consequent, p.f / a.f AS confidence, (p.f / a.f) / (b.f / n) AS lift,
-       p.f / n AS support
+SELECT p.l AS antecedent, p.r AS consequent, p.f / a.f AS confidence, (p.f / a.f) / (b.f / n) AS lift, p.f / n AS support
 FROM (SELECT x.name AS l, y.name AS r, count(*) AS f FROM items x JOIN items y
-        ON x.summary_cust_id = y.summary_cust_id AND x.name <> y.name GROUP BY 1, 2) p
-JOIN (SELECT name, count(*) AS f FROM items GROUP BY 1) a ON a.name = p.l
+        ON x.summary_cust_id = y.summary_cust_id AND x.name <> y.name GROUP BY 1, 2
+      UNION ALL
+      SELECT x.name || '|' || y.name, z.name, count(*) FROM items x JOIN items y
+        ON x.summary_cust_id = y.summary_cust_id AND x.name < y.name
+        JOIN items z ON z.summary_cust_id = x.summary_cust_id AND z.name NOT IN (x.name, y.name) GROUP BY 1, 2) p
+JOIN (SELECT name, count(*) AS f FROM items GROUP BY 1
+      UNION ALL
+      SELECT x.name || '|' || y.name, count(*) FROM items x JOIN items y
+        ON x.summary_cust_id = y.summary_cust_id AND x.name < y.name GROUP BY 1) a ON a.name = p.l
 JOIN (SELECT name, count(*) AS f FROM items GROUP BY 1) b ON b.name = p.r, total
-WHERE p.f / n >= 0.1 AND p.f / a.f >= 0.3""", *ITEMS, rounded="confidence lift support")
+WHERE p.f / n >= 0.25 AND p.f / a.f >= 0.3""", *ITEMS, rounded="confidence lift support")
 
 # --- series --------------------------------------------------------------------------------------------------
 
@@ -554,7 +560,7 @@ trends AS (
   FROM indexed a JOIN indexed b ON a.series_id = b.series_id AND abs(a.i - b.i) <= 6
   GROUP BY a.series_id, a.month, a.m, a.y, a.i, a.n),
 effects AS (SELECT series_id, m, avg(y - trend) AS effect FROM trends GROUP BY 1, 2)""",
-    rounded="y trend seasonal remainder", digits=4)
+    rounded="y trend seasonal remainder")
 put("simple_smoothing", """
 SELECT series_id, sum(y * CASE WHEN i = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - i) END) AS level
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i,
