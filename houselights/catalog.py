@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from houselights import schemas
 from houselights.functions import columns as c
 from houselights.models import abtest, basket, regression, series
 from houselights.operators import keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
-from houselights.sources import views
+from houselights.session import shared_dir
+from houselights.sources import extracts, views
 
 THIS_FY = 2001
 AS_OF = "2001-06-30"
@@ -378,10 +381,8 @@ def donor_retention(s, d):
 
 @query("Q34 A6 B12 J4")
 def legacy_donors(s, d):
-    seats = T_(s, d)
-    subs = (audience.key_sets(seats, RULES).where(F.col("key_set") == "subscriber").select("summary_cust_id"))
-    return donors.legacy_donors(D_(s, d), views.birth_years(s, d), audience.segments(seats, RULES), subs, THIS_FY,
-                                AS_OF_YEAR)
+    customers = audience.with_segment(audience.facts(T_(s, d), RULES))
+    return donors.legacy_donors(D_(s, d), views.birth_years(s, d), customers, THIS_FY, AS_OF_YEAR)
 
 
 @query("B6 B7 B8")
@@ -827,3 +828,49 @@ def zone_shares_by_fy(s, d):
         c.fiscal_year(F.col("perf_dt")).alias("fy"), c.price_zone(F.col("zone_desc")).alias("price_zone")).agg(
         F.sum("paid_amt").alias("paid"), F.count_if(F.col("attended") == "Attended").alias("attended"))
     return reshape.share_of_total(sold, "paid", ["fy"], "share")
+
+
+# --- files ---------------------------------------------------------------------------------------------------
+
+
+def _scratch(s, name):
+    """A new folder in the shared folder; each call writes its own."""
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S5 S6 S14")
+def season_store(s, d):
+    """Store tickets by season, load named seasons back."""
+    path = _scratch(s, "seasons")
+    extracts.store_by_season(T_(s, d), path)
+    return (extracts.load_tickets(s, path, [*POPS, *CLASSICS]).groupBy("season_desc", "price_type_group")
+            .agg(F.count("*").alias("seats"), F.sum("paid_amt").alias("paid")))
+
+
+@query("S1 S2 S4 F5")
+def extract_scan(s, d):
+    """Write gifts and order times as extracts with preamble lines, scan them back."""
+    path = _scratch(s, "extract")
+    orders = views.table(s, d, "orders")
+    at = F.col("o_orderdate").cast("timestamp")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(at, "M/d/yyyy H:mm")).otherwise(
+        F.date_format(at, "M/d/yyyy h:mm:ss a"))
+    extracts.write_extract(orders.select("o_orderkey", "o_totalprice", text.alias("order_dt")), path,
+                           ["Orders", "all seasons", ""])
+    rows = extracts.read_extract(s, path, "o_orderkey BIGINT, o_totalprice DOUBLE, order_dt STRING", preamble=3)
+    return rows.select("o_orderkey", "o_totalprice",
+                       c.parse_timestamp(F.col("order_dt"), schemas.TIMESTAMP_FORMS).alias("order_time"))
+
+
+@query("S3 S14")
+def report_sheets(s, d):
+    """Save two report sheets, append to one, and read them back."""
+    path = _scratch(s, "report")
+    by_type = T_(s, d).groupBy("price_type_group").agg(F.count("*").alias("seats"))
+    extracts.save_report({"types": by_type, "revenue": weekday.revenue(T_(s, d))}, path)
+    extracts.save_report({"types": by_type}, path, append=True)
+    types = extracts.load_sheet(s, path, "types").select(F.lit("types").alias("sheet"),
+                                                         F.col("price_type_group").alias("item"),
+                                                         F.col("seats").cast("double").alias("value"))
+    return types.unionByName(extracts.load_sheet(s, path, "revenue").select(
+        F.lit("revenue").alias("sheet"), F.col("day_of_week").alias("item"), F.col("rev").alias("value")))

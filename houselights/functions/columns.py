@@ -16,6 +16,8 @@ RAW_DISCOUNT = "Discount"
 RAW_SUBSCRIPTION = "Subscription"
 RAW_FLEX = "Flex"
 RAW_COMP = "Comp"
+SOLD_TYPES = (RAW_SINGLE, RAW_DISCOUNT, RAW_SUBSCRIPTION, RAW_FLEX, RAW_COMP)
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 # Lower bounds and labels of the five-year giving bands.
 GIVING_BANDS_8 = ((10, "G"), (1_000, "F"), (10_000, "E"), (50_000, "D"), (100_000, "C"), (250_000, "B"),
@@ -53,7 +55,7 @@ def upper_bounded(value: Column, bounds: Sequence[tuple[float, str]], beyond: st
 
 def fiscal_year(ts: Column, first: int | None = None, last: int | None = None) -> Column:
     """July to June, named by the year it ends in; optionally clamped to a range."""
-    fy = F.year(ts) + F.when(F.month(ts) >= 7, 1).otherwise(0)
+    fy = F.year(F.add_months(ts, 6))
     if first is not None:
         fy = F.greatest(fy, F.lit(first))
     if last is not None:
@@ -80,7 +82,14 @@ def campaign_season(campaign: Column) -> Column:
 
 
 def weekday(ts: Column, zone: str | None = None) -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, zone) if zone else ts, "EEEE")
+    """Weekday name; a table lookup, so no text formatting per row."""
+    local = F.from_utc_timestamp(ts, zone) if zone else ts
+    return F.element_at(F.array(*[F.lit(day) for day in WEEKDAYS]), F.weekday(local) + 1)
+
+
+def on_weekday(ts: Column, days: Sequence[str]) -> Column:
+    """Whether the date falls on one of the named weekdays (compared as numbers)."""
+    return F.weekday(ts).isin(*[WEEKDAYS.index(day) for day in days])
 
 
 def month_start(ts: Column) -> Column:

@@ -29,9 +29,12 @@ def as_categories(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def fit_linear(df: DataFrame, model_formula: str) -> PipelineModel:
-    """Ordinary least squares in closed form: one distributed pass for the cross products."""
+    """Ordinary least squares in closed form: one distributed pass for the cross products.
+
+    Category levels and the summary read the rows again, so they are written out first.
+    """
     encode = RFormula(formula=model_formula, featuresCol="features", labelCol="label")
-    return Pipeline(stages=[encode, LinearRegression(solver="normal")]).fit(df)
+    return Pipeline(stages=[encode, LinearRegression(solver="normal")]).fit(materialise(df))
 
 
 def fit_logistic(df: DataFrame, model_formula: str) -> PipelineModel:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from houselights.session import materialise
+
 
 def top_k(df: DataFrame, k: int, by: str, tie_break: Sequence[str], descending: bool = True) -> DataFrame:
     """The k first rows. Sort and limit run as one bounded per-task top-k; the tie break makes it repeatable."""
@@ -39,15 +41,16 @@ def calendar_ordinal(df: DataFrame, ts: str, name: str) -> DataFrame:
 
 
 def skip_first(df: DataFrame, n: int, by: str) -> DataFrame:
-    """All but the n rows with the smallest keys (keys are unique). Only n keys are looked up."""
-    skipped = df.select(by).orderBy(by).limit(n)
-    return df.join(skipped, by, "left_anti")
+    """All but the n rows with the smallest keys. For calendar-sized tables (one row per month or day)."""
+    return (df.withColumn("_pos", F.row_number().over(Window.orderBy(by)))
+            .where(F.col("_pos") > n).drop("_pos"))
 
 
-def _cuts(df: DataFrame, column: str, parts: int) -> list[float]:
-    """Distinct approximate quantiles, minimum and maximum included."""
+def _cuts(df: DataFrame, columns: Sequence[str], parts: int) -> list[list[float]]:
+    """Distinct approximate quantiles of some columns, minimum and maximum included, in one pass."""
     probabilities = [i / parts for i in range(parts + 1)]
-    return sorted(set(df.approxQuantile(column, probabilities, 1.0 / (4 * parts))))
+    found = df.approxQuantile(list(columns), probabilities, 1.0 / (4 * parts))
+    return [sorted(set(points)) for points in found]
 
 
 def _cell(value: Column, cuts: Sequence[float], slices: int) -> tuple[Column, Column, Column]:
@@ -64,34 +67,36 @@ def _cell(value: Column, cuts: Sequence[float], slices: int) -> tuple[Column, Co
     return cell, F.when(on_cut | part.isNull(), 0).otherwise(part), on_cut
 
 
-def global_row_number(df: DataFrame, by: str, unique: str, name: str, parts: int = 64,
+def global_row_number(df: DataFrame, by: str, unique: str, name: str, total: str, parts: int = 64,
                       slices: int = 64) -> DataFrame:
-    """Exact position of every row by (`by`, `unique`), without ordering the table in one task.
+    """Exact position of every row by (`by`, `unique`) and the number of rows, without ordering the table in one task.
 
     Rows go into ordered cells cut at approximate quantiles and sliced evenly in between. A value so frequent that it
     is itself a cut point has its own cell, sliced by the unique numeric column instead. Positions are counted inside
     each slice and shifted by the row count of the slices before it. The slice table is bounded by
-    `parts` x `slices` per side whatever the size of the data, and is the only thing ordered in one place.
+    `parts` x `slices` per side whatever the size of the data, and is the only thing ordered in one place. The rows
+    are read three times, so they are written out first.
     """
-    rows = df.where(F.col(by).isNotNull())
+    rows = materialise(df.where(F.col(by).isNotNull()))
     value, key = F.col(by).cast("double"), F.col(unique).cast("double")
-    outer, inner, on_cut = _cell(value, _cuts(rows, by, parts), slices)
-    key_cell, key_slice, _ = _cell(key, _cuts(rows, unique, parts), 8)
+    value_cuts, key_cuts = _cuts(rows, (by, unique), parts)
+    outer, inner, on_cut = _cell(value, value_cuts, slices)
+    key_cell, key_slice, _ = _cell(key, key_cuts, 8)
     celled = rows.withColumns({"_c1": outer, "_c2": F.when(on_cut, key_cell * 8 + key_slice).otherwise(inner)})
     cells = celled.groupBy("_c1", "_c2").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_c1", "_c2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("_c1", "_c2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    in_order = Window.orderBy("_c1", "_c2")
+    before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    everything = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = cells.select("_c1", "_c2", F.coalesce(before, F.lit(0)).alias("_before"), everything.alias(total))
     within = F.row_number().over(Window.partitionBy("_c1", "_c2").orderBy(by, unique))
     return (celled.withColumn("_pos", within).join(offsets, ["_c1", "_c2"])
-            .withColumn(name, (F.col("_pos") + F.col("_offset")).cast("bigint"))
-            .drop("_c1", "_c2", "_pos", "_offset"))
+            .withColumn(name, (F.col("_pos") + F.col("_before")).cast("bigint"))
+            .drop("_c1", "_c2", "_pos", "_before"))
 
 
 def global_ntile(df: DataFrame, tiles: int, by: str, unique: str, name: str) -> DataFrame:
     """Equal-sized groups by rank over the whole table; earlier groups take the remainder, as NTILE does."""
-    ranked = global_row_number(df, by, unique, "_rn")
-    total = df.where(F.col(by).isNotNull()).agg(F.count("*").alias("v")).scalar()
-    ranked = ranked.withColumn("_total", total)
+    ranked = global_row_number(df, by, unique, "_rn", "_total")
     small, extra = F.expr(f"_total div {tiles}"), F.col("_total") % tiles
     in_large = extra * (small + 1)
     tile = (F.when(F.col("_rn") <= in_large, F.ceil(F.col("_rn") / (small + 1)))
@@ -99,30 +104,24 @@ def global_ntile(df: DataFrame, tiles: int, by: str, unique: str, name: str) ->
     return ranked.withColumn(name, tile.cast("int")).drop("_rn", "_total")
 
 
-def exact_quantiles(df: DataFrame, column: str, unique: str, probabilities: Sequence[float]) -> dict[str, Column]:
-    """Linear-interpolated order statistics as aggregate columns over `global_row_number` output.
+def _quantile(column: str, p: float) -> Column:
+    """Aggregate over numbered rows: the two order statistics around a probability, interpolated linearly."""
+    position = (F.col("_total") - 1) * p + 1
+    lower = F.max(F.when(F.col("_rn") == F.floor(position), F.col(column)))
+    upper = F.max(F.when(F.col("_rn") == F.ceil(position), F.col(column)))
+    return lower + (upper - lower) * F.max(position - F.floor(position))
+
+
+def five_numbers(df: DataFrame, column: str, spread: str) -> DataFrame:
+    """Minimum, quartiles, mean and maximum of a column, exact at any size.
 
-    Returns aggregates by name for use on a frame that carries `_rn` and `_total`.
+    `spread` is any well-spread number per row; it only splits the work on frequent values.
     """
-    out = {}
-    for p in probabilities:
-        position = (F.col("_total") - 1) * p + 1
-        lower = F.max(F.when(F.col("_rn") == F.floor(position), F.col(column)))
-        upper = F.max(F.when(F.col("_rn") == F.ceil(position), F.col(column)))
-        part = F.max(position - F.floor(position))
-        out[f"p{int(round(p * 100))}"] = lower + (upper - lower) * part
-    return out
-
-
-def five_numbers(df: DataFrame, column: str, unique: str) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of a column, exact at any size."""
-    rows = df.where(F.col(column).isNotNull())
-    total = rows.agg(F.count("*").alias("v")).scalar()
-    ranked = global_row_number(rows, column, unique, "_rn").withColumn("_total", total)
-    q = exact_quantiles(ranked, column, unique, (0.25, 0.5, 0.75))
-    return ranked.agg(F.min(column).alias("min_value"), q["p25"].alias("first_quartile"), q["p50"].alias("median"),
-                      F.avg(column).alias("mean"), q["p75"].alias("third_quartile"),
-                      F.max(column).alias("max_value"))
+    ranked = global_row_number(df, column, spread, "_rn", "_total")
+    return ranked.agg(
+        F.min(column).alias("min_value"), _quantile(column, 0.25).alias("first_quartile"),
+        _quantile(column, 0.5).alias("median"), F.avg(column).alias("mean"),
+        _quantile(column, 0.75).alias("third_quartile"), F.max(column).alias("max_value"))
 
 
 def binned_density(df: DataFrame, groups: Sequence[str], value: str, low: float, high: float,

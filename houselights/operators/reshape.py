@@ -35,18 +35,17 @@ def row_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({name: F.try_divide(F.col(name), total) for name in columns})
 
 
-def with_total_rows(df: DataFrame, outer: Sequence[str], inner: str, aggregates: Sequence[Column],
+def with_total_rows(grouped: DataFrame, outer: Sequence[str], inner: str, measures: Sequence[str],
                     label: str = "Total") -> DataFrame:
-    """Group by `outer` + `inner`, plus one row per `outer` whose `inner` reads `label`.
+    """Grouped rows plus one row per `outer` whose `inner` reads `label`.
 
-    Both levels come from the raw rows in one pass, so ratios in the total row are ratios of totals.
+    `measures` are additive counts and sums, so the totals come from the grouped rows and the raw rows are read once
+    and never duplicated. Ratios belong after this step: in the total row they are then ratios of totals.
     """
-    is_total = F.grouping(inner)
     keys = [F.col(name) for name in outer]
-    grouped = (df.groupingSets([[*keys, F.col(inner)], keys], *keys, F.col(inner))
-               .agg(is_total.alias("_total"), *aggregates))
-    return (grouped.withColumn(inner, F.when(F.col("_total") == 1, label).otherwise(F.col(inner)))
-            .drop("_total"))
+    both = (grouped.groupingSets([[*keys, F.col(inner)], keys], *keys, F.col(inner))
+            .agg(F.grouping(inner).alias("_total"), *[F.sum(name).alias(name) for name in measures]))
+    return both.withColumn(inner, F.when(F.col("_total") == 1, label).otherwise(F.col(inner))).drop("_total")
 
 
 def month_spine(spark: SparkSession, first: str, last: str, name: str = "month") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from houselights.functions import columns as c
 from houselights.operators import keys, ranking, reshape
+from houselights.session import materialise
 
 SEAT_CAP = 500
 MIN_PAID = 5.0
@@ -40,11 +41,12 @@ def _any(condition: Column) -> Column:
 
 
 def facts(tickets: DataFrame, rules: AudienceRules, seasons: Sequence[str] | None = None,
-          concert_days: bool = False) -> DataFrame:
+          concert_days: Sequence[str] | None = None) -> DataFrame:
     """One row per customer within the seat cap that has at least one counted ticket.
 
     Counted: a known customer and more than `min_paid` paid, up to this fiscal year. The cap looks at all of a
-    customer's seats. `seasons` limits frequency and spending to those seasons.
+    customer's seats. `seasons` limits frequency and spending to those seasons. `concert_days` adds the days of this
+    year the customer attended (any of the named ones, or all for an empty list).
     """
     fy_now = rules.this_fy
     fy = c.fiscal_year(F.col("perf_dt"))
@@ -63,9 +65,12 @@ def facts(tickets: DataFrame, rules: AudienceRules, seasons: Sequence[str] | Non
         _any(now & c.is_subscription(F.col("price_type_group"))).alias("subscriber"),
         F.min(F.when(now, F.col("perf_dt"))).alias("first_this_year"),
     ]
-    if concert_days:
-        midnight = F.col("perf_dt") == F.date_trunc("day", "perf_dt")
-        measures.append(F.collect_set(F.when(now & ~midnight, F.to_date("perf_dt"))).alias("concert_days"))
+    if concert_days is not None:
+        day = F.to_date("perf_dt")
+        here = now & (F.col("perf_dt") > day.cast("timestamp_ntz"))
+        if concert_days:
+            here = here & day.isin(*[F.lit(d).cast("date") for d in concert_days])
+        measures.append(F.collect_set(F.when(here, day)).alias("concert_days"))
     grouped = seats.groupBy("summary_cust_id").agg(*measures)
     return (grouped.where((F.col("seats") <= rules.seat_cap) & (F.col("counted") > 0))
             .withColumn("avg_paid_amt", F.try_divide(F.col("tot_paid_amt"), F.col("freq"))))
@@ -87,7 +92,11 @@ def thresholds(customers: DataFrame) -> Column:
 
 
 def with_segment(customers: DataFrame, name: str = "segment") -> DataFrame:
-    """Segment every customer with a frequency; customers without one stay unknown."""
+    """Segment every customer with a frequency; customers without one stay unknown.
+
+    Thresholds and labels both read the customer table, so it is written out once instead of reading the seats twice.
+    """
+    customers = materialise(customers)
     valued = customers.where(F.col("freq") > 0)
     t = [F.col("_t")[part] for part in ("price_mid", "price_high", "freq_mid", "freq_high", "freq_low")]
     label = c.segment(F.col("avg_paid_amt"), F.col("freq"), *t)
@@ -119,16 +128,14 @@ def giving(donations: DataFrame, first_fy: int | None = None, last_fy: int | Non
 
 
 def concert_audience(tickets: DataFrame, donations: DataFrame, rules: AudienceRules,
-                     seasons: Sequence[str] | None = None, dates: Sequence[str] | None = None) -> DataFrame:
+                     seasons: Sequence[str] | None = None, dates: Sequence[str] = ()) -> DataFrame:
     """Attendees of this year's concerts, described as of each concert day.
 
     One job serves any number of dates (all of the fiscal year's when none are named). A customer renews when they
     came last year, or this year before the concert; an unknown segment reads '0'.
     """
-    known = with_segment(facts(tickets, rules, seasons, concert_days=True))
+    known = with_segment(facts(tickets, rules, seasons, concert_days=list(dates)))
     attendees = known.select("*", F.explode("concert_days").alias("concert_date"))
-    if dates:
-        attendees = attendees.where(F.col("concert_date").isin(*[F.lit(d).cast("date") for d in dates]))
     came_before = F.col("first_this_year") < F.col("concert_date").cast("timestamp_ntz")
     renew = F.when((F.col("last_year") == 1) | came_before, 1).otherwise(0)
     given = F.coalesce("gift_plus_pledge", F.lit(0.0))

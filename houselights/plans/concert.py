@@ -20,8 +20,7 @@ _DAYS = {"Thursday": "thursday", "Friday": "friday", "Saturday": "saturday"}
 def performance_summary(tickets: DataFrame) -> DataFrame:
     """Sales, comps and attendance per performance and price zone, with a total row per performance.
 
-    Both levels are computed from the seats in one pass, so every total ratio is a ratio of totals and a zone
-    without comps leaves no hole in it.
+    Ratios are taken after the totals, so a zone without comps leaves no hole in the total row.
     """
     seats = tickets.select(
         "perf_dt", c.price_zone(F.col("zone_desc")).alias("zone"), "paid_amt",
@@ -32,15 +31,14 @@ def performance_summary(tickets: DataFrame) -> DataFrame:
     def paid(of):
         return F.coalesce(F.sum(F.when(of, F.col("paid_amt"))), F.lit(0.0))
 
-    counts = [
-        F.count("*").alias("seats"),
-        F.count_if(sub).alias("sub_sold"), paid(sub).alias("sub_rev"),
-        F.count_if(sgl).alias("sgl_sold"), paid(sgl).alias("sgl_rev"),
-        F.count_if(comp).alias("tot_comp"), F.count_if("here").alias("att"),
-        F.count_if(F.col("here") & comp).alias("comp_here"), F.count_if(F.col("here") & sub).alias("sub_here"),
-        F.count_if(F.col("here") & sgl).alias("sgl_here"),
-    ]
-    grouped = reshape.with_total_rows(seats, ["perf_dt"], "zone", counts)
+    counts = {
+        "seats": F.count("*"), "sub_sold": F.count_if(sub), "sub_rev": paid(sub), "sgl_sold": F.count_if(sgl),
+        "sgl_rev": paid(sgl), "tot_comp": F.count_if(comp), "att": F.count_if("here"),
+        "comp_here": F.count_if(F.col("here") & comp), "sub_here": F.count_if(F.col("here") & sub),
+        "sgl_here": F.count_if(F.col("here") & sgl),
+    }
+    zones = seats.groupBy("perf_dt", "zone").agg(*[measure.alias(name) for name, measure in counts.items()])
+    grouped = reshape.with_total_rows(zones, ["perf_dt"], "zone", list(counts))
     sold = F.col("sub_sold") + F.col("sgl_sold")
     return grouped.select(
         "perf_dt", "zone", "seats", "sub_sold", c.ratio(F.col("sub_rev"), F.col("sub_sold")).alias("sub_avg"),

@@ -40,9 +40,12 @@ def retention(donations: DataFrame) -> DataFrame:
             .withColumn("total_retention", F.col("downgrade") + F.col("maintain") + F.col("upgrade")))
 
 
-def legacy_donors(donations: DataFrame, birth_years: DataFrame, segments: DataFrame, subscribers: DataFrame,
-                  this_fy: int, as_of_year: int) -> DataFrame:
-    """Giving history with age, segment and subscription. The longest window reaches back ten years before this."""
+def legacy_donors(donations: DataFrame, birth_years: DataFrame, customers: DataFrame, this_fy: int,
+                  as_of_year: int) -> DataFrame:
+    """Giving history with age, and segment and subscription from a segmented customer table.
+
+    The longest window reaches back ten years before this one.
+    """
     fy, gift = F.col("cont_fy"), F.col("gift_plus_pledge")
 
     def given(first: int, last: int):
@@ -55,10 +58,8 @@ def legacy_donors(donations: DataFrame, birth_years: DataFrame, segments: DataFr
                     F.max(fy).alias("most_recent_cont_yr")))
     ages = birth_years.select(F.col("customer_no").alias("summary_cust_id"), F.col("key_value").alias("birth_yr"),
                               c.age(F.col("key_value"), as_of_year).alias("age"))
-    held = subscribers.select("summary_cust_id", F.lit(1).alias("subscriber"))
-    return (history.join(ages, "summary_cust_id", "left")
-            .join(segments.select("summary_cust_id", "segment"), "summary_cust_id", "left")
-            .join(held, "summary_cust_id", "left"))
+    known = customers.select("summary_cust_id", "segment", F.when(F.col("subscriber") == 1, 1).alias("subscriber"))
+    return history.join(ages, "summary_cust_id", "left").join(known, "summary_cust_id", "left")
 
 
 def major_donor_subscribers(donations: DataFrame, tickets: DataFrame, customers: DataFrame, fy: int, as_of: str,
@@ -69,7 +70,7 @@ def major_donor_subscribers(donations: DataFrame, tickets: DataFrame, customers:
     held = (tickets.where((F.col("perf_dt") < F.lit(as_of).cast("timestamp_ntz"))
                           & (F.col("price_type_group") == c.RAW_SUBSCRIPTION)
                           & F.col("summary_cust_id").isNotNull()
-                          & c.weekday(F.col("perf_dt")).isin(*days))
+                          & c.on_weekday(F.col("perf_dt"), days))
             .groupBy("summary_cust_id")
             .agg(F.count("*").alias("tix"), F.sum(c.attended_flag(F.col("attended"))).alias("attendance"),
                  F.sum("paid_amt").alias("total_paid_amt"))

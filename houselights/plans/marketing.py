@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from houselights.functions import columns as c
-from houselights.operators import keys, ranking, reshape
+from houselights.operators import ranking, reshape
 
 # Purposes of marketing line items and their column names.
 PURPOSES = {"DigitalAds": "digital_ads", "DirectMail": "direct_mail", "EmailServices": "email_services",
@@ -21,21 +21,25 @@ def promotion_conversion(promotions: DataFrame) -> DataFrame:
             .withColumn("conv_perc", c.ratio(F.col("number_of_conversions"), F.col("number_of_outreach"))))
 
 
-def exclusive_singles(tickets: DataFrame, *dims) -> DataFrame:
-    """Single-ticket revenue of customers without any subscription, per customer and the given dimensions.
+def exclusive_singles(tickets: DataFrame, **dimensions: Column) -> DataFrame:
+    """Single-ticket revenue of customers without any subscription, per customer and the given calendar dimensions.
 
-    Tickets collapse per customer first; the subscriber test then joins customer-level rows.
+    Seats collapse to one row per customer and dimension in a single pass; whether the customer holds a subscription
+    is then looked up among those rows.
     """
-    holders = keys.key_set(tickets.where(c.is_subscription(F.col("price_type_group"))), "summary_cust_id")
-    singles = (tickets.where(c.is_single(F.col("price_type_group")) & (F.col("summary_cust_id") > 0)
-                             & (F.col("paid_amt") > 0))
-               .groupBy("summary_cust_id", *dims).agg(F.sum("paid_amt").alias("revenue")))
-    return keys.drop_members(singles, holders, "summary_cust_id")
+    paid_single = c.is_single(F.col("price_type_group")) & (F.col("paid_amt") > 0)
+    grouped = (tickets.where(F.col("summary_cust_id") > 0)
+               .groupBy("summary_cust_id", *[column.alias(name) for name, column in dimensions.items()])
+               .agg(F.sum(F.when(paid_single, F.col("paid_amt"))).alias("revenue"),
+                    F.max(c.is_subscription(F.col("price_type_group"))).alias("_holds")))
+    ever = F.max("_holds").over(Window.partitionBy("summary_cust_id"))
+    return (grouped.withColumn("_ever", ever).where(~F.col("_ever") & F.col("revenue").isNotNull())
+            .select("summary_cust_id", *dimensions, "revenue"))
 
 
 def monthly_single_revenue(tickets: DataFrame, skip: int = 3) -> DataFrame:
     """Exclusive single revenue by order month, without the first months of the extract."""
-    by_month = (exclusive_singles(tickets, c.month_start(F.col("order_dt")).alias("date"))
+    by_month = (exclusive_singles(tickets, date=c.month_start(F.col("order_dt")))
                 .groupBy("date").agg(F.sum("revenue").alias("revenue")))
     return ranking.skip_first(by_month, skip, "date")
 

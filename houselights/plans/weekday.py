@@ -17,27 +17,33 @@ SERIES_DAYS = ("Thursday", "Friday", "Saturday")
 MAJOR_BANDS = ("A", "B", "C", "D")
 
 
+def _performed(tickets: DataFrame, days: Sequence[str] | None) -> DataFrame:
+    """Without Tuesdays, or only the named days."""
+    perf_dt = F.col("perf_dt")
+    return tickets.where(c.on_weekday(perf_dt, days) if days else ~c.on_weekday(perf_dt, ["Tuesday"]))
+
+
 def normalise(tickets: DataFrame, days: Sequence[str] | None = None) -> DataFrame:
-    """Seats with price zone, weekday, five-way price type and attendance flag, without Tuesdays."""
-    seats = tickets.select(
+    """Seats with price zone, weekday, five-way price type and attendance flag."""
+    return _performed(tickets, days).select(
         "perf_dt", "paid_amt", "summary_cust_id",
         c.price_zone(F.col("zone_desc")).alias("price_zone"),
         c.weekday(F.col("perf_dt")).alias("day_of_week"),
         c.price_type(F.col("price_type_group")).alias("price_type_group"),
         c.attended_flag(F.col("attended")).alias("attended"))
-    return seats.where(F.col("day_of_week").isin(*days) if days else F.col("day_of_week") != "Tuesday")
 
 
-def sold(tickets: DataFrame, days: Sequence[str] | None = None) -> DataFrame:
-    return normalise(tickets, days).where(F.col("price_type_group") != "Unsold")
+def sold(tickets: DataFrame, days: Sequence[str] | None = None, types: Sequence[str] = c.SOLD_TYPES) -> DataFrame:
+    """Sold seats, or those of some raw price types. The filter is on the stored column, so it reaches the scan."""
+    return normalise(tickets.where(F.col("price_type_group").isin(*types)), days)
 
 
 def unsold(tickets: DataFrame, days: Sequence[str] | None = None) -> DataFrame:
-    return normalise(tickets, days).where(F.col("price_type_group") == "Unsold")
+    return normalise(tickets.where(~F.col("price_type_group").isin(*c.SOLD_TYPES)), days)
 
 
 def paid_seats(tickets: DataFrame) -> DataFrame:
-    return sold(tickets).where(F.col("price_type_group") != "Comp")
+    return sold(tickets, types=[kind for kind in c.SOLD_TYPES if kind != c.RAW_COMP])
 
 
 def giving_bands(donations: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def sold_and_attended(tickets: DataFrame) -> DataFrame:
 
 
 def comps(tickets: DataFrame) -> DataFrame:
-    return (sold(tickets).where(F.col("price_type_group") == "Comp")
+    return (sold(tickets, types=[c.RAW_COMP])
             .groupBy("day_of_week").agg(F.count("*").alias("count")))
 
 
@@ -69,7 +75,7 @@ def unsold_seats(tickets: DataFrame) -> DataFrame:
 
 
 def subscribers(tickets: DataFrame) -> DataFrame:
-    return (sold(tickets).where(F.col("price_type_group").isin("Subscription", "Flex"))
+    return (sold(tickets, types=[c.RAW_SUBSCRIPTION, c.RAW_FLEX])
             .groupBy("day_of_week", "price_type_group")
             .agg(F.countDistinct("summary_cust_id").alias("subscribers"), F.sum("paid_amt").alias("rev")))
 
@@ -100,7 +106,7 @@ def revenue_by_fiscal_year(tickets: DataFrame, first_fy: int | None = None, last
 
 def subscriber_tenure(tickets: DataFrame, this_fy: int, years: int = 4) -> DataFrame:
     """Subscribers of this fiscal year by weekday and number of the last `years` years they held that weekday."""
-    held = (sold(tickets).where(F.col("price_type_group") == "Subscription")
+    held = (sold(tickets, types=[c.RAW_SUBSCRIPTION])
             .select("day_of_week", "summary_cust_id", c.fiscal_year(F.col("perf_dt")).alias("fy"))
             .where(F.col("fy").between(this_fy - years + 1, this_fy)))
     per_customer = (held.groupBy("day_of_week", "summary_cust_id")
@@ -134,14 +140,12 @@ def zone_percent_sold(tickets: DataFrame) -> DataFrame:
 
 
 def zone_average_price(tickets: DataFrame, singles_only: bool = False) -> DataFrame:
-    seats = paid_seats(tickets)
-    if singles_only:
-        seats = seats.where(F.col("price_type_group") == "Single")
+    seats = sold(tickets, types=[c.RAW_SINGLE, c.RAW_DISCOUNT]) if singles_only else paid_seats(tickets)
     return seats.groupBy(*_ZONE).agg(c.ratio(F.sum("paid_amt"), F.count("*")).alias("avg_price"))
 
 
 def zone_comps(tickets: DataFrame) -> DataFrame:
-    counts = (sold(tickets).where(F.col("price_type_group") == "Comp").groupBy(*_ZONE)
+    counts = (sold(tickets, types=[c.RAW_COMP]).groupBy(*_ZONE)
               .agg(F.count("*").alias("comps"), F.sum("attended").alias("attendance")))
     return reshape.unpivot(counts, _ZONE, ["comps", "attendance"], "category", "count")
 
@@ -151,7 +155,7 @@ def zone_attendance_rate(tickets: DataFrame) -> DataFrame:
 
 
 def zone_subscribers(tickets: DataFrame, price_type: str) -> DataFrame:
-    return (sold(tickets).where(F.col("price_type_group") == price_type)
+    return (sold(tickets, types=[price_type])
             .groupBy(*_ZONE, "price_type_group")
             .agg(F.countDistinct("summary_cust_id").alias("subscribers"), F.sum("paid_amt").alias("rev")))
 
@@ -174,9 +178,7 @@ def percent_of_potential_revenue(tickets: DataFrame, list_prices: DataFrame) ->
 
 def sell_type_mix(tickets: DataFrame, list_prices: DataFrame, singles_only: bool = False) -> DataFrame:
     """Share of Comp, Discount and Full within each weekday and zone. The 18 list prices are a fixed table."""
-    seats = sold(tickets)
-    if singles_only:
-        seats = seats.where(~F.col("price_type_group").isin("Subscription", "Flex"))
+    seats = sold(tickets, types=[c.RAW_SINGLE, c.RAW_DISCOUNT, c.RAW_COMP]) if singles_only else sold(tickets)
     typed = (seats.join(F.broadcast(list_prices), list(_ZONE), "left")
              .groupBy(*_ZONE, c.sell_type(F.col("price_type_group"), F.col("paid_amt"), F.col("standard_price"))
                       .alias("sell_type"))
@@ -215,8 +217,8 @@ def ages_by_weekday(tickets: DataFrame, birth_years: DataFrame, as_of_year: int,
                     days: Sequence[str] = SERIES_DAYS) -> DataFrame:
     """Distinct paying customers by weekday and age decade, and their share of the weekday."""
     audience = (tickets.where((F.col("paid_amt") != 0) & (F.col("summary_cust_id") != 0))
-                .select("summary_cust_id", c.weekday(F.col("perf_dt")).alias("dow"))
-                .where(F.col("dow").isin(*days)).distinct())
+                .where(c.on_weekday(F.col("perf_dt"), days))
+                .select("summary_cust_id", c.weekday(F.col("perf_dt")).alias("dow")).distinct())
     ages = (birth_years.where(F.col("key_value") != 0)
             .select(F.col("customer_no").alias("summary_cust_id"),
                     c.age_decade(F.lit(as_of_year) - F.col("key_value")).alias("age_grp")))

@@ -44,6 +44,18 @@ def read_extract(spark: SparkSession, paths: str | Sequence[str], schema: str, p
             .select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*"))
 
 
+def _with_head(batches: Iterable[pa.RecordBatch], head: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
+    yield from batches
+
+
+def write_extract(df: DataFrame, path: str, preamble: Sequence[str]) -> None:
+    """CSV files that each begin with the preamble lines and a header, one file per task."""
+    head = [*preamble, ",".join(df.columns)]
+    lines = df.select(F.to_csv(F.struct(*df.columns)).alias("value"))
+    lines.mapInArrow(lambda batches: _with_head(batches, head), "value string").write.mode("overwrite").text(path)
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
     """Plain CSV with a header line."""
     return spark.read.schema(schema).csv(paths, header=True)

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from houselights.functions import columns as c
 from houselights.session import use_utc
 
-# Series by order status, marketing purposes and age brackets used by the derived tables.
+# Series by order status, price types by line number, and the labels used by the derived tables.
 SERIES_BY_STATUS = {"O": "Classics", "F": "Pops"}
 OTHER_SERIES = "Summer"
+TYPE_BY_LINE = (c.RAW_SUBSCRIPTION, c.RAW_SUBSCRIPTION, c.RAW_FLEX, c.RAW_SINGLE, c.RAW_DISCOUNT, c.RAW_COMP, "Unsold")
 PURPOSES = ("DigitalAds", "DirectMail", "EmailServices", "PrintMedia", "PrintProduction", "Promotions", "RadioAndTV")
 AGE_BRACKETS = ("18-24", "25-34", "35-44", "45-54", "55-64", "65+")
 DEVICES = ("desktop", "mobile", "tablet")
@@ -23,8 +25,16 @@ BROWSERS = ("Chrome", "Firefox", "Safari")
 _PERF_HOUR = "INTERVAL 20 HOURS"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table. Its schema is read from the files once and declared from then on."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = use_utc(spark).read
+    if path not in _schemas:
+        _schemas[path] = reader.parquet(path).schema
+    return reader.schema(_schemas[path]).parquet(path)
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -45,14 +55,12 @@ def tickets(spark: SparkSession, sf_dir: str, perf_from: str | None = None, perf
 
     cid, line = F.col("o_custkey"), F.col("l_linenumber")
     perf_dt = F.col("l_shipdate") + F.expr(_PERF_HOUR)
-    fy = c.fiscal_year(F.col("l_shipdate"))
+    fy = F.year(F.add_months("l_shipdate", 6))
     joined = (items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
               .where((fy >= 1995 + cid % 7) & ((cid + fy) % 3 != 0)))
 
     plan_holder = (cid % 2 == 1) & (fy >= 1996 + cid % 7)
-    price_type = (F.when(line == 7, "Unsold").when(line == 6, "Comp").when(line == 5, "Discount")
-                  .when((line == 4) | ~plan_holder, c.RAW_SINGLE)
-                  .when(line == 3, "Flex").otherwise("Subscription"))
+    price_type = _pick(TYPE_BY_LINE, F.when((line <= 3) & ~plan_holder, 3).otherwise(line - 1))
     series = F.lit(OTHER_SERIES)
     for status, name in SERIES_BY_STATUS.items():
         series = F.when(F.col("o_orderstatus") == status, name).otherwise(series)

@@ -654,3 +654,16 @@ FROM (SELECT fy, substr(zone_desc, 1, 7) AS price_zone, sum(paid_amt) AS paid,
              count(*) FILTER (attended = 'Attended') AS attended FROM tickets WHERE paid_amt > 0 GROUP BY 1, 2)
 JOIN (SELECT fy, sum(paid_amt) AS total FROM tickets WHERE paid_amt > 0 GROUP BY 1) USING (fy)""", t.TICKETS,
     rounded="paid share")
+
+# --- files ---------------------------------------------------------------------------------------------------
+
+put("season_store", f"""
+SELECT season_desc, price_type_group, count(*) AS seats, sum(paid_amt) AS paid FROM tickets
+WHERE season_desc IN {t.in_list(POPS + CLASSICS)} GROUP BY 1, 2""", t.TICKETS, rounded="paid")
+put("extract_scan", """
+SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_time FROM orders""",
+    rounded="o_totalprice")
+put("report_sheets", """
+SELECT 'types' AS sheet, price_type_group AS item, CAST(n AS DOUBLE) AS value
+FROM (SELECT price_type_group, count(*) AS n FROM tickets GROUP BY 1), (VALUES (1), (2)) twice(i)
+UNION ALL SELECT 'revenue', day_of_week, sum(paid_amt) FROM sold GROUP BY 2""", *N, rounded="value")
