@@ -23,9 +23,11 @@ SMOOTHING_COLUMNS = ["series_id", "month", "forecast", "low", "high", "residual_
 
 def holt_winters_path(y: np.ndarray, alpha: float, beta: float, gamma: float) -> tuple:
     """One-step errors and final state of additive level, trend and twelve month effects."""
-    level = y[:SEASON].mean()
-    trend = (y[SEASON:2 * SEASON].mean() - level) / SEASON
-    season = list(y[:SEASON] - level)
+    centre = y[:SEASON].mean()
+    trend = (y[SEASON:2 * SEASON].mean() - centre) / SEASON
+    offset = (SEASON - 1) / 2
+    season = list(y[:SEASON] - centre - (np.arange(SEASON) - offset) * trend)
+    level = centre + offset * trend
     errors = np.empty(len(y) - SEASON)
     for t in range(SEASON, len(y)):
         effect = season[t % SEASON]
