@@ -5,7 +5,9 @@ A series holds one row per calendar month, so per-series windows and groups are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from houselights.models import fits
@@ -22,12 +24,13 @@ def difference(series: DataFrame) -> DataFrame:
     return (series.withColumn("y", F.col("y") - F.lag("y", 1).over(_by_series())).where(F.col("y").isNotNull()))
 
 
-def lagged_pairs(series: DataFrame, lags: int = 4) -> DataFrame:
+def lagged_pairs(series: DataFrame, lags: int = 4, keep: Sequence[str] = ()) -> DataFrame:
     """Each value with its value 1..k months earlier (the points of a lag plot)."""
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("y", k).over(_by_series()).alias("lagged"))
                       for k in range(1, lags + 1)])
-    return (series.withColumn("_p", pairs).select("series_id", "month", "y", F.explode("_p").alias("_p"))
-            .select("series_id", "month", "y", "_p.lag", "_p.lagged").where(F.col("lagged").isNotNull()))
+    columns = ["series_id", "month", "y", *keep]
+    return (series.withColumn("_p", pairs).select(*columns, F.explode("_p").alias("_p"))
+            .select(*columns, "_p.lag", "_p.lagged").where(F.col("lagged").isNotNull()))
 
 
 def lag_correlations(series: DataFrame, lags: int = 4) -> DataFrame:
@@ -49,19 +52,15 @@ def residual_deviation(fitted: DataFrame) -> DataFrame:
 
 def residual_autocorrelation(fitted: DataFrame, lags: int = 4) -> DataFrame:
     """Autocorrelations of the residuals and the cumulative Ljung-Box statistic by lag."""
-    known = fitted.where(F.col("residual").isNotNull()).select("series_id", "month", "residual")
     whole = Window.partitionBy("series_id")
-    centred = (known.withColumn("e", F.col("residual") - F.avg("residual").over(whole))
-               .select("series_id", "month", F.col("e").alias("y")))
-    totals = centred.groupBy("series_id").agg(F.sum(F.col("y") * F.col("y")).alias("ss"), F.count("*").alias("n"))
-    products = lagged_pairs(centred, lags).groupBy("series_id", "lag").agg(
-        F.sum(F.col("y") * F.col("lagged")).alias("sp"))
-    r = F.col("sp") / F.col("ss")
+    centred = (fitted.where(F.col("residual").isNotNull())
+               .withColumn("y", F.col("residual") - F.avg("residual").over(whole))
+               .withColumns({"ss": F.sum(F.col("y") * F.col("y")).over(whole), "n": F.count("*").over(whole)}))
+    by_lag = lagged_pairs(centred, lags, keep=("ss", "n")).groupBy("series_id", "lag").agg(
+        (F.sum(F.col("y") * F.col("lagged")) / F.max("ss")).alias("acf"), F.max("n").alias("n"))
     running = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
-    return (products.join(totals, "series_id").withColumn("acf", r)
-            .withColumn("q", F.col("n") * (F.col("n") + 2)
-                        * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).over(running))
-            .select("series_id", "lag", "acf", "q"))
+    part = F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))
+    return by_lag.select("series_id", "lag", "acf", (F.col("n") * (F.col("n") + 2) * F.sum(part).over(running)).alias("q"))
 
 
 def seasonal_view(series: DataFrame, first_year: int, last_year: int) -> DataFrame:
@@ -80,47 +79,50 @@ def decompose(series: DataFrame) -> DataFrame:
     complete = F.count("y").over(span(-6, 6)) == 13
     centred = (F.sum("y").over(span(-6, 5)) + F.sum("y").over(span(-5, 6))) / 24
     trended = series.withColumn("trend", F.when(complete, centred))
+    by_month = Window.partitionBy("series_id", "_m")
     effects = (trended.withColumn("_m", F.month("month"))
-               .withColumn("_e", F.avg(F.col("y") - F.col("trend")).over(Window.partitionBy("series_id", "_m"))))
-    month_means = effects.select("series_id", "_m", "_e").distinct().groupBy("series_id").agg(
-        F.avg("_e").alias("_mean"))
-    seasonal = F.col("_e") - F.col("_mean")
-    return (effects.join(month_means, "series_id")
-            .select("series_id", "month", "y", "trend", seasonal.alias("seasonal"),
-                    (F.col("y") - F.col("trend") - seasonal).alias("remainder")))
-
-
-def seasonal_autoregression(series: DataFrame) -> DataFrame:
-    """y on its value one month and one year earlier, per series: two-predictor least squares from covariances."""
-    lagged = (series.withColumns({"l1": F.lag("y", 1).over(_by_series()), "l12": F.lag("y", SEASON).over(_by_series())})
-              .where(F.col("l12").isNotNull()))
-    s11, s22, s12 = F.var_samp("l1"), F.var_samp("l12"), F.covar_samp("l1", "l12")
-    s1y, s2y = F.covar_samp("l1", "y"), F.covar_samp("l12", "y")
+               .withColumns({"_e": F.avg(F.col("y") - F.col("trend")).over(by_month),
+                             "_w": 1 / F.count("*").over(by_month)}))
+    weight = F.when(F.col("_e").isNotNull(), F.col("_w"))
+    seasonal = F.col("_e") - F.sum(F.col("_e") * weight).over(whole) / F.sum(weight).over(whole)
+    return (effects.withColumn("seasonal", seasonal)
+            .select("series_id", "month", "y", "trend", "seasonal",
+                    (F.col("y") - F.col("trend") - F.col("seasonal")).alias("remainder")))
+
+
+def _autoregression(series: DataFrame, **more: Column) -> DataFrame:
+    """Per series: y on its value one month and one year earlier, by two-predictor least squares from covariances."""
+    lagged = series.withColumns({"l1": F.lag("y", 1).over(_by_series()), "l12": F.lag("y", SEASON).over(_by_series())})
+    whole_year = F.col("l12").isNotNull()
+    y, l1, l12 = (F.when(whole_year, F.col(name)) for name in ("y", "l1", "l12"))
+    s11, s22, s12 = F.var_samp(l1), F.var_samp(l12), F.covar_samp(l1, l12)
+    s1y, s2y = F.covar_samp(l1, y), F.covar_samp(l12, y)
     determinant = s11 * s22 - s12 * s12
     moments = lagged.groupBy("series_id").agg(
-        F.count("*").alias("n"),
+        F.count_if(whole_year).alias("n"),
         F.try_divide(s1y * s22 - s2y * s12, determinant).alias("phi_1"),
         F.try_divide(s2y * s11 - s1y * s12, determinant).alias("phi_12"),
-        F.avg("y").alias("_y"), F.avg("l1").alias("_l1"), F.avg("l12").alias("_l12"))
+        F.avg(y).alias("_y"), F.avg(l1).alias("_l1"), F.avg(l12).alias("_l12"),
+        *[column.alias(name) for name, column in more.items()])
     constant = F.col("_y") - F.col("phi_1") * F.col("_l1") - F.col("phi_12") * F.col("_l12")
-    return moments.select("series_id", "n", constant.alias("constant"), "phi_1", "phi_12")
+    return moments.where(F.col("n") > 0).select("series_id", "n", constant.alias("constant"), "phi_1", "phi_12", *more)
+
+
+def seasonal_autoregression(series: DataFrame) -> DataFrame:
+    """Coefficients of the seasonal autoregression of every series longer than a year."""
+    return _autoregression(series)
 
 
 def autoregressive_forecast(series: DataFrame, horizon: int = 12) -> DataFrame:
     """The next months (at most a year) by the seasonal autoregression, folded over the last twelve values."""
     if not 1 <= horizon <= SEASON:
         raise ValueError("horizon must be 1 to 12 months")
-    recent = series.groupBy("series_id").agg(
-        F.max("month").alias("last_month"),
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct("month", "y"))), -SEASON, SEASON),
-                    lambda p: p["y"]).alias("recent"))
-    models = seasonal_autoregression(series)
-    steps = F.slice(F.col("recent"), 1, horizon)
+    values = F.transform(F.sort_array(F.collect_list(F.struct("month", "y"))), lambda p: p["y"])
+    models = _autoregression(series, last_month=F.max("month"), recent=F.slice(values, -SEASON, SEASON))
     start = F.array(F.element_at("recent", -1))
-    path = F.aggregate(steps, start, lambda done, year_ago: F.concat(done, F.array(
+    path = F.aggregate(F.slice("recent", 1, horizon), start, lambda done, year_ago: F.concat(done, F.array(
         F.col("constant") + F.col("phi_1") * F.element_at(done, -1) + F.col("phi_12") * year_ago)))
-    return (recent.join(models, "series_id")
-            .select("series_id", "last_month", F.posexplode(F.slice(path, 2, horizon)).alias("step", "forecast"))
+    return (models.select("series_id", "last_month", F.posexplode(F.slice(path, 2, horizon)).alias("step", "forecast"))
             .select("series_id", F.add_months("last_month", F.col("step") + 1).alias("month"), "forecast"))
 
 

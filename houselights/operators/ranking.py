@@ -31,7 +31,8 @@ def calendar_ordinal(df: DataFrame, ts: str, name: str) -> DataFrame:
     Numbers are assigned within each month and shifted by the count of earlier months: only the month table,
     which the calendar bounds, is ordered in one place.
     """
-    times = df.select(ts).dropna().distinct().withColumn("_month", F.trunc(ts, "MM"))
+    month = F.trunc(ts, "MM")
+    times = df.select(ts).where(month.isNotNull()).distinct().withColumn("_month", month)
     months = times.groupBy("_month").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
     offsets = months.select("_month", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
