@@ -33,3 +33,11 @@ def test_few_queries_lack_a_statement():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_inventory_line_has_a_query():
+    from houselights.catalog import COVERS
+
+    shown = {line for lines in COVERS.values() for line in lines.split()}
+    sizes = {"S": 14, "P": 24, "J": 14, "A": 18, "W": 9, "O": 5, "U": 6, "F": 15, "B": 20, "Q": 55, "M": 11, "T": 7}
+    assert {f"{kind}{i}" for kind, n in sizes.items() for i in range(1, n + 1)} <= shown
