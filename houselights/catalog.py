@@ -625,12 +625,12 @@ def autoregressive_forecast(s, d):
     return series.autoregressive_forecast(_series(s, d))
 
 
-@query("M6 F15", digits=4)
+@query("M6 F15")
 def revenue_trend_cubic(s, d):
     return series.polynomial_trend(_series(s, d), 3)
 
 
-@query("M6 F15", digits=4)
+@query("M6 F15")
 def weekday_trend_degree_8(s, d):
     return series.polynomial_trend(
         weekday.monthly_series(T_(s, d), "tix_sold", FIRST_MONTH, "2001-11-01"), 8)
@@ -708,14 +708,14 @@ def web_value_scored(s, d):
     return regression.score(model, daily.where(~train)).select("device", "date", "total_value", "prediction")
 
 
-@query("M4 F11", digits=4)
+@query("M4 F11")
 def marketing_log_regression(s, d):
     logged = _mix(s, d).withColumns({"log_sessions": c.log_or_null(F.col("sessions")),
                                      "log_digital_ads": c.log_or_null(F.col("digital_ads"))}).dropna()
     model = regression.fit_linear(logged, regression.formula("log_sessions", [
         "log_digital_ads", "print_total", "email_services", "direct_mail", "radio_and_tv", "performances",
         "promotions"]))
-    return regression.coefficients(model, logged)
+    return regression.coefficients(model, logged).select("term", "estimate")
 
 
 _VIEWER_PREDICTORS = ("view", "totvids", "elecvids", "browser", "device", "age", "gender")
@@ -838,7 +838,7 @@ def _scratch(s, name):
     return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("S5 S6 S14")
+@query("S5")
 def season_store(s, d):
     """Store tickets by season, load named seasons back."""
     path = _scratch(s, "seasons")
@@ -847,7 +847,7 @@ def season_store(s, d):
             .agg(F.count("*").alias("seats"), F.sum("paid_amt").alias("paid")))
 
 
-@query("S1 S2 S4 F5")
+@query("S1 S4 F5")
 def extract_scan(s, d):
     """Write gifts and order times as extracts with preamble lines, scan them back."""
     path = _scratch(s, "extract")
@@ -862,7 +862,7 @@ def extract_scan(s, d):
                        c.parse_timestamp(F.col("order_dt"), schemas.TIMESTAMP_FORMS).alias("order_time"))
 
 
-@query("S3 S14")
+@query("S14 U1")
 def report_sheets(s, d):
     """Save two report sheets, append to one, and read them back."""
     path = _scratch(s, "report")
@@ -874,3 +874,20 @@ def report_sheets(s, d):
                                                          F.col("seats").cast("double").alias("value"))
     return types.unionByName(extracts.load_sheet(s, path, "revenue").select(
         F.lit("revenue").alias("sheet"), F.col("day_of_week").alias("item"), F.col("rev").alias("value")))
+
+
+@query("S2")
+def birth_year_extract(s, d):
+    """An extract with seven preamble lines."""
+    path = _scratch(s, "births")
+    extracts.write_extract(views.birth_years(s, d), path, ["note"] * 7)
+    return extracts.read_birth_years(s, path, preamble=7)
+
+
+@query("S3 S6")
+def donation_csv(s, d):
+    """Donations as plain CSV, through the donation loader."""
+    path = _scratch(s, "donations")
+    D_(s, d).write.csv(path, header=True)
+    return (extracts.load_donations(s, path).groupBy("cont_fy")
+            .agg(F.count("*").alias("gifts"), F.sum("gift_plus_pledge").alias("given")))

@@ -1,0 +1,93 @@
+"""Model fits as plain SQL: least squares by elimination, polynomials by recurrence, smoothing by recursion."""
+
+from __future__ import annotations
+
+
+def least_squares(source: str, predictors: list[str], name: str) -> list[str]:
+    """Expressions ending in `<name>_beta` (one row: b0 intercept, b1.. in order) for column y of `source`.
+
+    Predictors are standardised; the normal equations are solved by elimination, one recursion step per predictor.
+    Needs WITH RECURSIVE.
+    """
+    p = len(predictors)
+    ks = range(1, p + 1)
+    columns = ", ".join(f"CAST({x} AS DOUBLE)" for x in predictors)
+    means, deviations = (", ".join(f"{f}(x[{k}])" for k in ks) for f in ("avg", "stddev_pop"))
+    rows = ", ".join("[" + ", ".join([f"sum(z[{i}] * z[{j}])" for j in ks] + [f"sum(z[{i}] * y)"]) + "]" for i in ks)
+    betas = ", ".join(f"a[{k}][{p + 1}] / s[{k}] AS b{k}" for k in ks)
+    intercept = "my - (" + " + ".join(f"a[{k}][{p + 1}] / s[{k}] * m[{k}]" for k in ks) + ")"
+    return [
+        f"{name}_x AS MATERIALIZED (SELECT CAST(y AS DOUBLE) AS y, [{columns}] AS x FROM {source})",
+        f"{name}_m AS MATERIALIZED (SELECT avg(y) AS my, [{means}] AS m, [{deviations}] AS s FROM {name}_x)",
+        f"{name}_z AS MATERIALIZED (SELECT y - my AS y, list_transform(range(1, {p + 1}), lambda k: (x[k] - m[k]) / s[k]) AS z "
+        f"FROM {name}_x, {name}_m)",
+        f"{name}_a AS MATERIALIZED (SELECT [{rows}] AS a FROM {name}_z)",
+        f"""{name}_e(k, a) AS (
+  SELECT 0, a FROM {name}_a
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 2}), lambda j:
+           CASE WHEN i = k + 1 THEN a[i][j] / a[i][i] ELSE a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1] END))
+  FROM {name}_e WHERE k < {p})""",
+        f"{name}_beta AS MATERIALIZED (SELECT {intercept} AS b0, {betas} FROM {name}_e, {name}_m WHERE k = {p})"]
+
+
+def fitted(predictors: list[str]) -> str:
+    return "b0" + "".join(f" + b{k} * CAST({x} AS DOUBLE)" for k, x in enumerate(predictors, 1))
+
+
+def polynomial(source: str, degree: int) -> list[str]:
+    """Expressions ending in `curve` (series_id, month, y, fitted, low, high): orthogonal polynomials on even steps."""
+    steps = [f"""
+poly0 AS (
+  SELECT series_id, month, y, n, (2.0 * i - n - 1) / (n - 1) AS t, CAST(1.0 AS DOUBLE) AS p0
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i,
+               count(*) OVER (PARTITION BY series_id) AS n FROM {source}))"""]
+    for k in range(1, degree + 1):
+        previous = "" if k == 1 else (f" - p{k - 2} * sum(p{k - 1} * p{k - 1}) OVER s / sum(p{k - 2} * p{k - 2}) OVER s")
+        steps.append(f"poly{k} AS (SELECT *, t * p{k - 1}{previous} AS p{k} FROM poly{k - 1} "
+                     "WINDOW s AS (PARTITION BY series_id))")
+    terms = range(degree + 1)
+    curve = " + ".join(f"p{k} * sum(y * p{k}) OVER s / sum(p{k} * p{k}) OVER s" for k in terms)
+    leverage = " + ".join(f"p{k} * p{k} / sum(p{k} * p{k}) OVER s" for k in terms)
+    steps.append(f"shape AS (SELECT series_id, month, y, n, {curve} AS fitted, {leverage} AS h FROM poly{degree} "
+                 "WINDOW s AS (PARTITION BY series_id))")
+    z = 1.959964
+    g1, g2 = (z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
+    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
+    steps.append(f"""
+band AS (
+  SELECT *, n - {degree + 1} AS f, sqrt(sum((y - fitted) * (y - fitted)) OVER (PARTITION BY series_id) / (n - {degree + 1}))
+            * sqrt(h) AS se FROM shape),
+curve AS (
+  SELECT series_id, month, y, fitted, fitted - se * ({z} + {g1!r} / f + {g2!r} / pow(f, 2) + {g3!r} / pow(f, 3)) AS low,
+         fitted + se * ({z} + {g1!r} / f + {g2!r} / pow(f, 2) + {g3!r} / pow(f, 3)) AS high FROM band)""")
+    return steps
+
+
+SMOOTHING = """
+listed AS (SELECT series_id, list(y ORDER BY month) AS ys, count(*) AS n, max(month) AS last_month FROM series GROUP BY 1),
+starts AS (
+  SELECT *, list_avg(ys[1:12]) AS centre, (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12 AS slope
+  FROM listed WHERE n >= 24),
+states(series_id, a, b, g, t, n, level, trend, season, sse, se) AS (
+  SELECT series_id, a, b, g, 12, n, centre + 5.5 * slope, slope,
+         list_transform(range(1, 13), lambda i: ys[i] - centre - (i - 6.5) * slope), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE)
+  FROM starts, (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.8)) x(a), (VALUES (0.01::DOUBLE), (0.1), (0.3)) v(b),
+       (VALUES (0.05::DOUBLE), (0.2), (0.5)) w(g)
+  UNION ALL
+  SELECT series_id, a, b, g, t + 1, n, now, b * (now - level) + (1 - b) * trend,
+         list_transform(range(1, 13), lambda i: CASE WHEN i = spot THEN g * (y - now) + (1 - g) * effect ELSE season[i] END),
+         sse + err * err, se + err
+  FROM (SELECT *, y - (level + trend + effect) AS err, a * (y - effect) + (1 - a) * (level + trend) AS now
+        FROM (SELECT s.*, l.ys[s.t + 1] AS y, s.t % 12 + 1 AS spot, s.season[s.t % 12 + 1] AS effect
+              FROM states s JOIN listed l USING (series_id) WHERE s.t < s.n))),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY sse) AS pick FROM states WHERE t = n)
+  WHERE pick = 1),
+forecasts AS (
+  SELECT series_id, CAST(last_month + to_months(CAST(h AS INTEGER)) AS DATE) AS month,
+         level + h * trend + season[(n + h - 1) % 12 + 1] AS forecast,
+         sqrt((sse - se * se / (n - 12)) / (n - 13)) AS residual_sd,
+         sqrt(1 + list_sum(list_transform(range(0, h), lambda j: CASE WHEN j = 0 THEN 0.0 ELSE pow(a * (1 + j * b), 2) END)))
+           AS spread
+  FROM best JOIN (SELECT series_id, last_month FROM listed) USING (series_id), (SELECT unnest(range(1, 13)) AS h))"""

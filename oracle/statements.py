@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle import fits
 from oracle import tables as t
 
 STATEMENTS: dict[str, str] = {}
@@ -15,7 +16,8 @@ def put(name: str, body: str, *ctes: str, rounded: str = "", digits: int = 6) ->
     star = "*"
     if rounded:
         star += " REPLACE (" + ", ".join(f"round({col}, {digits}) AS {col}" for col in rounded.split()) + ")"
-    prefix = "WITH " + ",".join(ctes) + "\n" if ctes else ""
+    recursive = "RECURSIVE " if any("_beta AS" in cte for cte in ctes) else ""
+    prefix = f"WITH {recursive}" + ",".join(ctes) + "\n" if ctes else ""
     STATEMENTS[name] = f"{prefix}SELECT {star} FROM ({body}) result"
 
 
@@ -611,6 +613,64 @@ SELECT device, CAST(date AS VARCHAR) AS date, substr(md5(device || CAST(date AS
 FROM daily WHERE avg_session_duration IS NOT NULL AND avg_time_on_page IS NOT NULL AND percent_new_sessions IS NOT NULL""",
     t.HITS, t.sessions(), f"daily AS (SELECT device, date, {DAILY} FROM sess GROUP BY 1, 2)")
 
+for name, degree, source in (("revenue_trend_cubic", 3, None), ("weekday_trend_degree_8", 8, "tix")):
+    extra = S if source is None else (*N, """
+per_day AS (SELECT CAST(date_trunc('month', perf_dt) AS DATE) AS month, day_of_week AS series_id, count(*) AS n
+            FROM sold WHERE kind <> 'Comp' GROUP BY 1, 2),
+tix AS (SELECT series_id, month, CAST(coalesce(n, 0) AS DOUBLE) AS y
+        FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-11-01', INTERVAL 1 MONTH)) AS DATE) AS month)
+        CROSS JOIN (VALUES ('Thursday'), ('Friday'), ('Saturday')) d(series_id) LEFT JOIN per_day USING (series_id, month))""")
+    put(name, "SELECT * REPLACE (CAST(month AS VARCHAR) AS month) FROM curve", *extra,
+        *fits.polynomial(source or "series", degree), rounded="y fitted low high")
+STATEMENTS["exponential_smoothing"] = "WITH RECURSIVE " + ",".join((*S, fits.SMOOTHING)) + """
+SELECT series_id, CAST(month AS VARCHAR) AS month, round(forecast, 4) AS forecast,
+       round(forecast - 1.959964 * residual_sd * spread, 4) AS low,
+       round(forecast + 1.959964 * residual_sd * spread, 4) AS high, round(residual_sd, 4) AS residual_sd FROM forecasts"""
+
+FEATURES = """
+features AS (
+  SELECT perf_dt, max(fy) AS fy, sum(paid_amt) AS y, CAST(count(*) * 25 AS DOUBLE) AS goal,
+         count(*) FILTER (price_type_group = 'Flex') AS flex_sold, month(perf_dt) AS month,
+         dayofyear(perf_dt) % 4 AS composer_tier, day(perf_dt) % 3 AS guest_artist_tier,
+         CASE WHEN dayofyear(perf_dt) % 5 = 0 THEN 1 ELSE 0 END AS violin,
+         CASE WHEN dayofyear(perf_dt) % 7 = 0 THEN 1 ELSE 0 END AS piano,
+         CASE WHEN dayofyear(perf_dt) % 11 = 0 THEN 1 ELSE 0 END AS opera
+  FROM tickets GROUP BY 1),
+train AS (SELECT * FROM features WHERE fy < 2001)"""
+PREDICTORS = ["flex_sold", "violin", "piano", "opera", *[f"(month = {m})" for m in range(2, 13)],
+              *[f"(composer_tier = {k})" for k in (1, 2, 3)], "(guest_artist_tier = 1)", "(guest_artist_tier = 2)"]
+FITTED = f"fitted AS (SELECT *, {fits.fitted(PREDICTORS)} AS p FROM train, rev_beta)"
+MODEL = (t.TICKETS, FEATURES, *fits.least_squares("train", PREDICTORS, "rev"))
+put("performance_regression_quality", f"""
+SELECT r2, 1 - (1 - r2) * (n - 1) / (n - {len(PREDICTORS) + 1}) AS adjusted_r2, rmse, n
+FROM (SELECT 1 - sum(pow(y - p, 2)) / sum(pow(y - m, 2)) AS r2, sqrt(avg(pow(y - p, 2))) AS rmse, count(*) AS n
+      FROM fitted, (SELECT avg(y) AS m FROM train))""", *MODEL, FITTED, rounded="r2 adjusted_r2 rmse", digits=4)
+put("forecast_vs_goal", """
+SELECT sqrt(avg(pow(y - p, 2))) AS rmse_prediction, sqrt(avg(pow(y - goal, 2))) AS rmse_goal,
+       avg(abs((y - p) / nullif(y, 0))) * 100 AS mape_prediction, avg(abs((y - goal) / nullif(y, 0))) * 100 AS mape_goal
+FROM fitted""", *MODEL, FITTED, rounded="rmse_prediction rmse_goal mape_prediction mape_goal", digits=4)
+put("projection_difference", f"""
+SELECT strftime(perf_dt, '%Y-%m-%d %H:%M:%S') AS perf_dt, goal AS projected, {fits.fitted(PREDICTORS)} AS prediction,
+       {fits.fitted(PREDICTORS)} - goal AS difference FROM features, rev_beta WHERE fy = 2001""", *MODEL,
+    rounded="projected prediction difference", digits=4)
+VALUE_PREDICTORS = ["avg_session_duration", "unique_page_views", "impressions", "avg_time_on_page", "ad_cost",
+                    "ln(new_users + 1)"]
+put("web_value_scored", f"""
+SELECT device, CAST(date AS VARCHAR) AS date, total_value, {fits.fitted(VALUE_PREDICTORS)} AS prediction
+FROM split, val_beta WHERE NOT training""", t.HITS, t.sessions(), f"""
+daily AS (SELECT device, date, {DAILY} FROM sess GROUP BY 1, 2),
+split AS (SELECT *, total_value AS y, substr(md5(device || CAST(date AS VARCHAR)), 1, 2) < 'cd' AS training FROM daily
+          WHERE avg_session_duration IS NOT NULL AND avg_time_on_page IS NOT NULL AND percent_new_sessions IS NOT NULL),
+learn AS (SELECT * FROM split WHERE training)""", *fits.least_squares("learn", VALUE_PREDICTORS, "val"),
+    rounded="total_value prediction", digits=4)
+LOG_PREDICTORS = ["ln(digital_ads)", "print_total", "email_services", "direct_mail", "radio_and_tv", "performances",
+                  "promotions"]
+LOG_TERMS = ["(Intercept)", "log_digital_ads", *LOG_PREDICTORS[1:]]
+put("marketing_log_regression", " UNION ALL ".join(
+    f"SELECT '{term}' AS term, b{k} AS estimate FROM mix_beta" for k, term in enumerate(LOG_TERMS)), *MIXED, """
+logged AS (SELECT *, ln(sessions) AS y FROM mix WHERE sessions > 0 AND digital_ads > 0)""",
+    *fits.least_squares("logged", LOG_PREDICTORS, "mix"), rounded="estimate", digits=6)
+
 # --- columns and single operators ----------------------------------------------------------------------------
 
 put("ticket_columns", """
@@ -667,3 +727,7 @@ put("report_sheets", """
 SELECT 'types' AS sheet, price_type_group AS item, CAST(n AS DOUBLE) AS value
 FROM (SELECT price_type_group, count(*) AS n FROM tickets GROUP BY 1), (VALUES (1), (2)) twice(i)
 UNION ALL SELECT 'revenue', day_of_week, sum(paid_amt) FROM sold GROUP BY 2""", *N, rounded="value")
+put("birth_year_extract", "SELECT summary_cust_id AS customer_no, CAST(key_value AS BIGINT) AS key_value FROM births", t.BIRTHS)
+put("donation_csv", """
+SELECT cont_fy, count(*) AS gifts, sum(gift_plus_pledge) AS given FROM donations GROUP BY 1""", t.DONATIONS,
+    rounded="given")

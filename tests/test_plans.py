@@ -6,7 +6,7 @@ from houselights import catalog
 from houselights.plans import audience
 from houselights.sources import views
 
-LAZY = sorted(set(catalog.QUERIES) - {"season_store", "extract_scan", "report_sheets"})
+LAZY = sorted(set(catalog.QUERIES) - {"season_store", "extract_scan", "report_sheets", "birth_year_extract", "donation_csv"})
 
 
 def plan_text(df):
