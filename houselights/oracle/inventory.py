@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from houselights.catalog import COVERS
-from oracle.statements import STATEMENTS
+from houselights.oracle.statements import STATEMENTS
 
 
 def main() -> None:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle import fits
-from oracle import tables as t
+from houselights.oracle import fits
+from houselights.oracle import tables as t
 
 STATEMENTS: dict[str, str] = {}
 

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from oracle.compare import connect, differences
+from houselights.oracle.compare import connect, differences
 
 QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
 
