@@ -5,7 +5,7 @@ THU, FRI, SAT, TUE = ("2019-01-31 20:00:00", "2019-02-01 20:00:00", "2019-02-02
 
 
 def rows(df, *order):
-    return [r.asDict() for r in df.orderBy(*order).collect()]
+    return [r.asDict() for r in (df.orderBy(*order) if order else df).collect()]
 
 
 def donations(table, data):
@@ -29,7 +29,6 @@ def test_weekday_reports_skip_tuesday_and_unknown_types(tickets):
     assert rows(weekday.unsold_seats(seats)) == [{"day_of_week": "Thursday", "count": 1}]
     assert rows(weekday.zone_percent_sold(seats)) == [
         {"day_of_week": "Thursday", "price_zone": "Price 1", "percentage_sold": 0.5}]
-    assert rows(weekday.day_order(weekday.revenue(seats)))[0]["day_of_week"] == "Friday"
     assert [r.day_of_week for r in weekday.day_order(weekday.revenue(seats)).collect()] == ["Thursday", "Friday"]
 
 
