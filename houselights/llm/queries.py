@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from houselights.llm import histogram_shards
+from houselights.llm import histogram_shards, simhash_index
 from houselights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(histogram_shards.ORACLE_SQL)
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards.digest(histogram_shards.shard_documents(table(spark, sf_dir, "documents")))
