@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from houselights.llm import histogram_shards, simhash_index
+from houselights.llm import decontaminate, histogram_shards, simhash_index
 from houselights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,8 @@ def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(histogram_shards.ORACLE_SQL)
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards.digest(histogram_shards.shard_documents(table(spark, sf_dir, "documents")))
+
+
+@query(decontaminate.ORACLE_SQL)
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
