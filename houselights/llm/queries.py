@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from houselights.llm import decontaminate, histogram_shards, simhash_index
+from houselights.llm import decontaminate, histogram_shards, quality, simhash_index
 from houselights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(decontaminate.ORACLE_SQL)
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query()
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
