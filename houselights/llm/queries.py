@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from houselights.llm import decontaminate, histogram_shards, quality, simhash_index
+from houselights.llm import decontaminate, histogram_shards, quality, simhash_index, suffix_dedup
 from houselights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query(histogram_shards.ORACLE_SQL)
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards.digest(histogram_shards.shard_documents(table(spark, sf_dir, "documents")))
