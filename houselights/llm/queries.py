@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from houselights.llm import decontaminate, histogram_shards, line_rules, personal_data, quality, simhash_index, suffix_dedup
+from houselights.llm import (
+    decontaminate, histogram_shards, licence_rules, line_rules, personal_data, quality, simhash_index, suffix_dedup,
+    token_counts)
 from houselights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +49,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query()
+def op7_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query(licence_rules.ORACLE_SQL)
+def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_rules.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(table(spark, sf_dir, "documents"))
