@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from houselights.llm import (
-    decontaminate, histogram_shards, licence_rules, line_rules, personal_data, quality, simhash_index, suffix_dedup,
-    token_counts)
+    decontaminate, histogram_shards, licence_rules, line_rules, mixing, personal_data, quality, simhash_index,
+    suffix_dedup, token_counts)
 from houselights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query()
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_rows(table(spark, sf_dir, "documents"), mixing.Target(max_repeats=mixing.MAX_REPEATS))
+
+
 @query()
 def op7_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
