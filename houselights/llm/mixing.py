@@ -192,5 +192,6 @@ def plan_rows(docs: DataFrame, target: Target, budget: float | None = None) -> D
 def mixed(docs: DataFrame, target: Target, budget: float | None = None) -> DataFrame:
     """The input rows with all their columns, as often as the mixture uses them. No text is exchanged."""
     mixture, _ = fit(docs, target, budget)
-    rows = docs.withColumns({"_pick": _pick(F.col("doc_id").cast("bigint"), F.col("text")), "_source": F.col("source").cast("string")})
-    return _with_copies(rows, mixture).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("_row"), _pick(F.col("doc_id").cast("bigint"), F.col("text")).alias("_pick"),
+                       F.col("source").cast("string").alias("_source"))
+    return _with_copies(rows, mixture).select("_row.*")

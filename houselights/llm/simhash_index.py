@@ -204,7 +204,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = 1024) -> DataFra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, the least node reachable, for every node of an edge (a, b): large and small stars in turn."""
+    """node and root, the least node reachable, for every node of an edge (a, b) but the roots: large and small stars in
+    turn."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     seen = None
     while True:
@@ -238,8 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, hot
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The input rows without near duplicates: of every component the document with the least id; of repeated rows one."""
     key = {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull()}
-    stay = near_duplicates(docs, **options).where("doc_id <=> component_id").select(
-        *[c.alias(n) for n, c in key.items()]).distinct()
-    kept = docs.withColumns(key).join(stay, list(key), "left_semi")
+    named = [c.alias(n) for n, c in key.items()]
+    stay = near_duplicates(docs, **options).where("doc_id <=> component_id").select(*named).distinct()
+    kept = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_text"), *named).join(stay, list(key), "left_semi")
     # The join has dealt rows by id, so repeated rows meet without a further exchange.
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates([*key, "_text"]).drop(*key, "_text")
+    return kept.dropDuplicates([*key, "_text"]).select("_row.*")
