@@ -6,10 +6,12 @@ bytes) form a block; two equal strings see equal anchors at equal distances, so
 
 1. Anchors are counted. A block whose anchor is unique holds no repeated string.
 2. Blocks whose whole text occurs twice or more are repeated from end to end and need no sorting.
-3. One copy of each remaining block, with its rivals at the same anchor, is range-partitioned by its leading bytes (the
-   anchor, then the block) at splitters that Spark samples. Each bucket sorts its suffixes by multikey quicksort, with
-   eight bytes as a character: all segments of a depth are partitioned together and lone suffixes leave.
-4. Suffixes of a bucket's first and last anchor may have equals beyond the boundary. Their distinct strings are compared
+3. One copy of each remaining block, with its rivals at the same anchor, is range-partitioned at splitters that Spark
+   samples, twice: by the bytes from the anchor backwards and by the bytes from the anchor on. Neighbours in either order
+   tell how far any other block agrees with this one on that side, and suffixes beyond either reach leave.
+4. In the second order each bucket sorts its suffixes by multikey quicksort, with eight bytes as a character: all segments
+   of a depth are partitioned together and lone suffixes leave.
+5. Suffixes of a bucket's first and last anchor may have equals beyond the boundary. Their distinct strings are compared
    across buckets by a 128-bit hash, in a grouped count with partial sums. So an anchor that a third of the corpus shares
    is cut into many buckets.
 
@@ -112,24 +114,77 @@ def _list_anchors(length: int) -> ArrowMap:
 
 
 def _cut_blocks(length: int) -> ArrowMap:
-    """From rows (doc_id, row, packed text, blocks wanted): lead, block, mark, spot, copies, doc_id, row."""
+    """From rows (doc_id, row, packed text, blocks wanted): the bytes before the anchor, last one first, those from the
+    anchor on, spot, alone, doc_id, row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 text = unpack(batch.column(2)[n].as_py())
                 wanted = batch.column(3)[n].as_py()
                 spots = np.array([x["spot"] for x in wanted], np.int64)
-                first, lead, count = spots >> 16, (spots >> 16) + (spots >> 8 & 255), (spots & 255) + 1
+                first, lead = spots >> 16, (spots >> 16) + (spots >> 8 & 255)
+                end = first + (spots & 255) + length
+                one = pa.array([n] * len(spots))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([text[a:a + ANCHOR] for a in lead.tolist()], pa.binary()),
-                    pa.array([text[a:a + c + length - 1] for a, c in zip(first.tolist(), count.tolist())], pa.binary()),
+                    pa.array([text[a:b][::-1] for a, b in zip(first.tolist(), lead.tolist())], pa.binary()),
+                    pa.array([text[a:b] for a, b in zip(lead.tolist(), end.tolist())], pa.binary()),
                     pa.array(spots), pa.array([x["alone"] for x in wanted], pa.bool_()),
-                    batch.column(0).take(pa.array([n] * len(spots))), batch.column(1).take(pa.array([n] * len(spots)))],
-                    ["lead", "block", "spot", "alone", "doc_id", "row"])
+                    batch.column(0).take(one), batch.column(1).take(one)],
+                    ["left", "right", "spot", "alone", "doc_id", "row"])
 
     return run
 
 
+def _agreement(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def reaches(texts: list[bytes], leads: list[bytes], head: bool, tail: bool) -> np.ndarray:
+    """For sorted texts how far the better of two neighbours with the same lead agrees; -1 where there is none. The first
+    row of a bucket (head) and its last one (tail) have unseen neighbours: they may agree altogether."""
+    out = np.full(len(texts), -1, np.int64)
+    for n in range(1, len(texts)):
+        if leads[n] == leads[n - 1]:
+            both = _agreement(texts[n], texts[n - 1])
+            out[n] = both
+            out[n - 1] = max(out[n - 1], both)
+    if head:
+        out[0] = len(texts[0])
+    if tail:
+        out[-1] = len(texts[-1])
+    return out
+
+
+def _reach_backwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to blocks sorted by (lead, left, right) how far any other agrees to the left. A batch waits for the next one,
+    so that its last row sees its neighbour."""
+    held, head = None, True
+    names = ["left", "right", "spot", "alone", "doc_id", "row"]
+
+    def emit(rows: pa.RecordBatch, shown: int, since: int, tail: bool) -> pa.RecordBatch:
+        reach = reaches(rows.column(0).to_pylist(), [x[:ANCHOR] for x in rows.column(1).to_pylist()], head, tail)
+        rows = rows.slice(since, shown - since)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(reach[since:shown])], [*names, "reach"])
+
+    since = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is None:
+            held = batch
+            continue
+        both = pa.Table.from_batches([held, batch.slice(0, 1)]).combine_chunks().to_batches()[0]
+        yield emit(both, held.num_rows, since, False)
+        # The last row shown goes on as the neighbour of the next ones.
+        held = pa.Table.from_batches([held.slice(held.num_rows - 1), batch]).combine_chunks().to_batches()[0]
+        since, head = 1, False
+    if held is not None:
+        yield emit(held, held.num_rows, since, True)
+
+
 def multikey_sort(group: np.ndarray, start: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (places in `start`) that share their group and their first `length` bytes with another one: their numbers
     and the numbers of their segments."""
@@ -175,78 +230,73 @@ def _string_hashes(start: np.ndarray, data: np.ndarray, length: int) -> tuple[np
 
 
 def _search_bucket(length: int, room: int = 4 << 20) -> ArrowMap:
-    """From blocks sorted by (lead, block): spans decided here, and the distinct strings of the bucket's first and last
+    """From blocks sorted by (right, left): spans decided here, and the distinct strings of the bucket's first and last
     lead, whose equals may lie in other buckets. Leads are taken a few at a time, so memory follows `room` or one lead."""
-    def solve(rows: list[pa.RecordBatch], open_: list[bool]) -> pa.RecordBatch:
+    def solve(rows: list[pa.RecordBatch], open_: list[bool], head: bool, tail: bool) -> pa.RecordBatch:
         batch = pa.Table.from_batches(rows).combine_chunks()
-        lead = batch["lead"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = batch["block"].to_pylist()
+        lefts, rights = batch["left"].to_pylist(), batch["right"].to_pylist()
+        leads = [x[:ANCHOR] for x in rights]
+        forward, backward = reaches(rights, leads, head, tail), batch["reach"].to_numpy()
+        lead = np.cumsum([False, *(a != b for a, b in zip(leads, leads[1:]))])
         spots = batch["spot"].to_numpy()
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        base = np.r_[0, np.cumsum([len(x) for x in texts])][:-1]
+        data = np.frombuffer(b"".join(x for a, b in zip(lefts, rights) for x in (a[::-1], b)), np.uint8)
+        base = np.r_[0, np.cumsum([len(a) + len(b) for a, b in zip(lefts, rights)])][:-1]
         count = (spots & 255) + 1
-        block = np.repeat(np.arange(len(texts)), count)
+        block = np.repeat(np.arange(len(rights)), count)
         step = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+        ahead = (spots >> 8 & 255)[block] - step  # of the anchor
+        # A string that occurs in another block agrees with it to the left and to the right of the anchor.
+        keep = (ahead <= backward[block]) & (length - ahead <= forward[block])
+        block, step, ahead = block[keep], step[keep], ahead[keep]
+        start, place = base[block] + step, (spots >> 16)[block] + step
         # Equal strings see their anchor at the same distance.
-        group = lead[block] * 256 + (spots >> 8 & 255)[block] - step
-        start = base[block] + step
-        item, segment = multikey_sort(group, start, data, length)
+        item, segment = multikey_sort(lead[block] * 256 + ahead, start, data, length)
         alone = batch["alone"].to_numpy(zero_copy_only=False)
         decided = np.sort(item[alone[block[item]]])
         # Adjacent starts of a block give one span.
-        new = np.r_[True, (np.diff(decided) != 1) | (np.diff(block[decided]) != 0)] if len(decided) else np.zeros(0, bool)
-        head = decided[new]
-        tail = decided[np.r_[new[1:], True]] if len(decided) else decided
-        place = (spots >> 16)[block] + step
-        sent = np.flatnonzero(np.array(open_)[block])
-        if len(sent):
-            # One of each segment of equals, and every lone suffix.
-            other = np.zeros(len(block), bool)
-            other[item[1:][segment[1:] == segment[:-1]]] = True
-            sent = sent[~other[sent]]
+        new = np.r_[True, (np.diff(place[decided]) != 1) | (np.diff(block[decided]) != 0)][:len(decided)]
+        first, last = decided[new], decided[np.r_[new[1:], True][:len(decided)]]
+        # One of each segment of equals, and every lone suffix.
+        sent = np.array(open_)[block]
+        sent[item[1:][segment[1:] == segment[:-1]]] = False
+        sent = np.flatnonzero(sent)
         one, two = _string_hashes(start[sent], data, length)
-        rows_of = np.concatenate([block[head], block[sent]])
-        nothing = pa.nulls(len(head), pa.int64())
+        rows_of, nothing = pa.array(np.concatenate([block[first], block[sent]])), pa.nulls(len(first), pa.int64())
         return pa.RecordBatch.from_arrays([
-            batch["doc_id"].combine_chunks().take(pa.array(rows_of)), batch["row"].combine_chunks().take(pa.array(rows_of)),
-            pa.array(np.concatenate([place[head], place[sent]])),
-            pa.array(np.concatenate([place[tail] + length, place[sent] + length])),
+            batch["doc_id"].combine_chunks().take(rows_of), batch["row"].combine_chunks().take(rows_of),
+            pa.array(np.concatenate([place[first], place[sent]])),
+            pa.array(np.concatenate([place[last] + length, place[sent] + length])),
             pa.concat_arrays([nothing, pa.array(one)]), pa.concat_arrays([nothing, pa.array(two)]),
         ], ["doc_id", "row", "start", "end", "one", "two"])
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[pa.RecordBatch]]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         """The rows of one lead after the other."""
         name, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            leads = batch.column(0).dictionary_encode()
-            index = leads.indices.to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-            for a, b in zip(cuts, np.r_[cuts[1:], batch.num_rows]):
-                value = leads.dictionary[int(index[a])].as_py()
-                if value != name and held:
-                    yield name, held
+            leads = [x[:ANCHOR] for x in batch.column(1).to_pylist()]
+            cuts = [n for n in range(len(leads)) if not n or leads[n] != leads[n - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(leads)]):
+                if leads[a] != name and held:
+                    yield held
                     held = []
-                name = value
-                held.append(batch.slice(int(a), int(b - a)))
+                name = leads[a]
+                held.append(batch.slice(a, b - a))
         if held:
-            yield name, held
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, flags, size = [], [], 0
+        held, flags, size, head = [], [], 0, True
         waiting = None
-        for number, (_, rows) in enumerate(groups(batches)):
+        for number, rows in enumerate(groups(batches)):
             if waiting is not None:
                 held, flags, size = held + waiting[0], flags + waiting[1], size + waiting[2]
                 if size >= room:
-                    yield solve(held, flags)
-                    held, flags, size = [], [], 0
+                    yield solve(held, flags, head, False)
+                    held, flags, size, head = [], [], 0, False
             # Whether a lead is the last one is known only after it: it waits.
-            n = sum(x.num_rows for x in rows)
-            waiting = (rows, [number == 0] * n, sum(x.column(1).nbytes for x in rows))
+            waiting = rows, [number == 0] * sum(x.num_rows for x in rows), sum(x.column(1).nbytes for x in rows)
         if waiting is not None:
-            yield solve(held + waiting[0], flags + [True] * len(waiting[1]))
+            yield solve(held + waiting[0], flags + [True] * len(waiting[1]), head, True)
 
     return run
 
@@ -296,28 +346,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("row"), "text")
     anchors = stored(texts.mapInArrow(
         _list_anchors(length), "mark bigint, body bigint, doc_id bigint, row bigint, spot bigint"), "anchors")
-    shared = anchors.groupBy("mark").count().where("count > 1").select("mark")
-    shared = stored(anchors.join(shared, "mark"), "anchors-shared")
+    # Counted keys are stored before the join, which can then split a mark that very many rows share.
+    common = stored(anchors.groupBy("mark").count().where("count > 1").select("mark"), "marks")
+    shared = stored(anchors.join(common, "mark"), "anchors-shared")
     copies = stored(shared.groupBy("mark", "body").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row", "spot")).alias("at")), "blocks")
     # Where all blocks of an anchor are the same there is nothing to sort.
-    rivals = copies.groupBy("mark").count().where("count > 1").select("mark")
+    rivals = stored(copies.groupBy("mark").count().where("count > 1").select("mark"), "rivals")
     wanted = (copies.join(rivals, "mark").groupBy("at.doc_id", "at.row")
               .agg(F.collect_list(F.struct("at.spot", (F.col("copies") == 1).alias("alone"))).alias("wanted")))
     packed = texts.mapInArrow(_pack, "doc_id bigint, row bigint, packed binary")
+    block = "left binary, right binary, spot bigint, alone boolean, doc_id bigint, row bigint"
     cuts = stored(
         packed.join(wanted.withColumnsRenamed({"doc_id": "_id", "row": "_row"}),
                     F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
-        .select("doc_id", "row", "packed", "wanted").mapInArrow(
-            _cut_blocks(length), "lead binary, block binary, spot bigint, alone boolean, doc_id bigint, row bigint"), "cuts")
-    size = cuts.agg(F.sum(F.octet_length("block"))).first()[0] or 0
+        .select("doc_id", "row", "packed", "wanted").mapInArrow(_cut_blocks(length), block), "cuts")
+    size = cuts.agg(F.sum(F.octet_length("left") + F.octet_length("right"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    backwards = [F.substring("right", 1, ANCHOR), F.col("left"), F.col("right")]
+    marked = stored(cuts.repartitionByRange(buckets, *backwards).sortWithinPartitions(*backwards)
+                    .mapInArrow(_reach_backwards, f"{block}, reach bigint"), "cuts-backwards")
     found = stored(
-        cuts.repartitionByRange(buckets, "lead", "block").sortWithinPartitions("lead", "block")
+        marked.repartitionByRange(buckets, "right", "left").sortWithinPartitions("right", "left")
         .mapInArrow(_search_bucket(length),
                     "doc_id bigint, row bigint, start bigint, end bigint, one bigint, two bigint"), "bucket-spans")
     across = found.where("one is not null")
-    again = across.groupBy("one", "two").count().where("count > 1").select("one", "two")
+    again = stored(across.groupBy("one", "two").count().where("count > 1").select("one", "two"), "strings")
     spans = ["doc_id", "row", "start", "end"]
     whole = shared.join(copies.where("copies > 1").select("mark", "body"), ["mark", "body"]).select(
         "doc_id", "row", F.shiftright("spot", 16).alias("start"),
