@@ -1,6 +1,6 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-A text is unwrapped (comment marks off, lines that go on in small letters joined), cut into sentences, and each sentence is
+A text is unwrapped (comment marks off, lines joined that go on in small letters or all in capitals), cut into sentences, and each sentence is
 normalised to small ASCII letters, digits and single blanks. Known licence sentences get their identifiers, other sentences
 vanish, and the ordered rules are matched against the identifier sequence: each rule takes its matches out before the next
 one looks. Everything happens inside the row: no exchange, no join, and a document with many sentences stays one row.
@@ -119,8 +119,10 @@ _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # (pattern, replacement), one after the other; then line feeds separate sentences.
 _UNWRAP = (
     (r"\r\n?", "\n"),
-    (r"\n[ \t]*(//+|#+|[*]+|--+|;+)[ \t]*", "\n"),
+    (r"(^|\n)[ \t]*(//+|#+|[*]+|--+|;+)[ \t]*", "\n"),
+    (r"(SPDX-License-Identifier:[^\n]*)", "$1."),
     (r"([^.;!?\n])[ \t]*\n[ \t]*([a-z])", "$1 $2"),
+    (r"([A-Z][A-Z],?)[ \t]*\n[ \t]*([A-Z][A-Z])", "$1 $2"),
     (r"([.;!?])[ \t\n]+", "$1\n"),
 )
 

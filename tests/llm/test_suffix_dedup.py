@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from houselights.llm import suffix_dedup as s
@@ -98,6 +99,22 @@ def test_multikey_sort_groups_equal_suffixes():
     assert all(len(x) == 1 for x in by_segment.values()) and len(by_segment) == sum(n > 1 for n in seen.values())
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_reach_is_the_longest_agreement(size):
+    rng = random.Random(3)
+    rows = sorted((rng.choice([b"L" * s.ANCHOR, b"M" * s.ANCHOR]), bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))))
+                  for _ in range(60))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([x for _, x in rows]), pa.array([x for x, _ in rows]), *[pa.array([0] * 60)] * 4],
+        ["left", "right", "spot", "alone", "doc_id", "row"])
+    parts = [batch.slice(at, size) for at in range(0, 60, size)]
+    got = [x for b in s._reach_backwards(iter([parts[0].slice(0, 0), *parts])) for x in b.column(6).to_pylist()]
+    want = [max(s._agreement(x, y) for m, (k, y) in enumerate(rows) if k == lead and m != n)
+            for n, (lead, x) in enumerate(rows)]
+    want[0], want[-1] = len(rows[0][1]), len(rows[-1][1])
+    assert got == want
+
+
 def test_cut_merges_touching_spans():
     assert s.cut(b"0123456789", [(2, 4), (4, 6), (8, 9)]) == (b"0179", [(2, 6), (8, 9)])
     assert s.cut(b"", []) == (b"", [])
