@@ -55,10 +55,10 @@ def test_field_fits_its_examples_and_marks_new_lines():
 
 def test_content_share_decides(documents):
     good = "The garden lies behind the church, and roses grow along its wall.\nNobody waters them in the summer months."
-    bad = "\n".join(f"Menu{n} | Search | Archive | Login | Help" for n in range(30))
+    bad = "\n".join(f"Menu{n} | Search{n} | Archive{n} | Login{n} | Help{n}" for n in range(30))
     rows = [(1, good), (2, bad), (3, good + "\n" + bad)]
     assert [x.kept for x in r.judge(documents(rows)).orderBy("doc_id").collect()] == [True, False, False]
-    assert [x.kept for x in r.judge(documents(rows), content_share=0.03).orderBy("doc_id").collect()] == [True, False, True]
+    assert [x.kept for x in r.judge(documents(rows), content_share=0.05).orderBy("doc_id").collect()] == [True, False, True]
 
 
 def test_edges(edge, nothing):
