@@ -14,7 +14,7 @@ def documents(spark):
     return make
 
 
-LONG = " ".join(f"word{n % 977} and{n % 13}." for n in range(120_000))
+LONG = " ".join(f"word{n % 977} and{n % 13}." for n in range(40_000))
 EDGE_ROWS = [
     (1, "The quick brown fox jumps over the lazy dog near the old river bank on a sunny day."),
     (1, "The quick brown fox jumps over the lazy dog near the old river bank on a sunny day."),
