@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +29,24 @@ def as_categories(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("string") for name in columns})
 
 
+def _encoder(model_formula: str) -> RFormula:
+    """Categories become indicator columns against their first level in alphabetical order."""
+    return RFormula(formula=model_formula, featuresCol="features", labelCol="label", stringIndexerOrderType="alphabetDesc")
+
+
 def fit_linear(df: DataFrame, model_formula: str) -> PipelineModel:
     """Ordinary least squares in closed form: one distributed pass for the cross products.
 
     Category levels and the summary read the rows again, so they are written out first.
     """
-    encode = RFormula(formula=model_formula, featuresCol="features", labelCol="label")
-    return Pipeline(stages=[encode, LinearRegression(solver="normal")]).fit(materialise(df))
+    return Pipeline(stages=[_encoder(model_formula), LinearRegression(solver="normal")]).fit(materialise(df))
 
 
 def fit_logistic(df: DataFrame, model_formula: str) -> PipelineModel:
     """Binomial model by iteratively reweighted least squares; the rows are read once per iteration, so they are
     written out first."""
-    encode = RFormula(formula=model_formula, featuresCol="features", labelCol="label")
     glm = GeneralizedLinearRegression(family="binomial", link="logit", tol=1e-10, maxIter=50)
-    return Pipeline(stages=[encode, glm]).fit(materialise(df))
+    return Pipeline(stages=[_encoder(model_formula), glm]).fit(materialise(df))
 
 
 def feature_names(model: PipelineModel, sample: DataFrame) -> list[str]:
@@ -59,7 +63,7 @@ def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
     values = [*[float(v) for v in fitted.coefficients], float(fitted.intercept)]
     try:
         errors, p_values = list(fitted.summary.coefficientStandardErrors), list(fitted.summary.pValues)
-    except Exception:  # noqa: BLE001 - the summary refuses singular designs
+    except UnsupportedOperationException:  # the summary of a singular design has none
         errors, p_values = [None] * len(names), [None] * len(names)
     rows = [(n, v, None if e is None else float(e), None if p is None else float(p))
             for n, v, e, p in zip(names, values, errors, p_values)]

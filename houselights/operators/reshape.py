@@ -63,11 +63,10 @@ def regular_monthly(df: DataFrame, series: str, month: str, value: str, first: s
                     last: str | None = None) -> DataFrame:
     """Gap-free monthly series, one row per series and month, zero where nothing was recorded.
 
-    Without bounds every series runs from its own first to its own last month; with bounds, months outside are left
-    out. The input has one row per series and month, so a series' months fit in one map whatever its history.
+    Every series runs from its own first to its own last month; bounds can only extend it. The input has one row per series and month, so a series' months fit in one map whatever its history.
     """
-    lo = F.lit(first).cast("date") if first else F.min(month)
-    hi = F.lit(last).cast("date") if last else F.max(month)
+    lo = F.least(F.lit(first).cast("date"), F.min(month))
+    hi = F.greatest(F.lit(last).cast("date"), F.max(month))
     known = (df.where(F.col(month).isNotNull()).groupBy(series)
              .agg(F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_known"),
                   F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")).alias("_months")))

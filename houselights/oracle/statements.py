@@ -110,9 +110,9 @@ typed AS (
 for name, which in (("age_group_summary_classics", "Classics"), ("age_group_summary_pops", "Pops")):
     put(name, """
 SELECT age_group, price_type_group, count(*) AS unique_customers, CAST(sum(tix) AS BIGINT) AS tix_transactions,
-       sum(paid) AS paid_amt, sum(given) AS total_donations_5yr, avg(given) AS average_donations_5yr,
+       round(sum(paid), 2) AS paid_amt, round(sum(given), 2) AS total_donations_5yr, round(sum(given), 2) / count(*) AS average_donations_5yr,
        max(given) AS max_5yr_donation_amt, CAST(sum(came) AS BIGINT) AS attended,
-       sum(paid) / sum(tix) AS average_ticket_price, avg(given) / 5 AS average_annual_donation,
+       round(sum(paid), 2) / sum(tix) AS average_ticket_price, round(sum(given), 2) / count(*) / 5 AS average_annual_donation,
        sum(came) / sum(tix) AS attendance_rate
 FROM (SELECT age_group, price_type_group, b.summary_cust_id, count(*) AS tix, sum(paid_amt) AS paid,
              max(coalesce(total_gift, 0.0)) AS given, sum(CASE WHEN attended = 'Attended' THEN 1 ELSE 0 END) AS came
@@ -127,8 +127,8 @@ buys AS (SELECT * FROM tickets WHERE season_desc = 'PS 00-01 {which}' AND paid_a
 ages AS (SELECT summary_cust_id, CASE WHEN key_value <= 1954 THEN 'group_65_and_older'
                 WHEN key_value <= 1974 THEN 'group_45_to_64' ELSE 'under_44' END AS age_group
          FROM births WHERE key_value > 0)""",
-        rounded="paid_amt total_donations_5yr average_donations_5yr max_5yr_donation_amt average_ticket_price "
-                "average_annual_donation attendance_rate", digits=4)
+        rounded="average_donations_5yr average_annual_donation average_ticket_price attendance_rate",
+        digits=8)
 
 AGE = """CASE WHEN age <= 19 THEN 'less20' WHEN age <= 29 THEN 'twenties' WHEN age <= 39 THEN 'thirties'
          WHEN age <= 49 THEN 'fourties' WHEN age <= 59 THEN 'fifties' WHEN age <= 69 THEN 'sixties'
@@ -175,6 +175,8 @@ put("audience_mix_counts", "SELECT buyer, class, count(*) AS customers FROM mixe
 put("single_buyers", "SELECT summary_cust_id FROM mixed WHERE buyer = 'single'", t.TICKETS, MIX_SETS)
 put("customer_frequency_value", "SELECT * FROM valued", t.TICKETS, t.customer_values(POPS),
     rounded="avg_paid_amt tot_paid_amt", digits=8)
+put("customer_frequency_value_classics", "SELECT * FROM valued", t.TICKETS, t.customer_values(CLASSICS),
+    rounded="avg_paid_amt tot_paid_amt", digits=8)
 put("customer_frequency_value_all", "SELECT * FROM valued", t.TICKETS, t.customer_values(),
     rounded="avg_paid_amt tot_paid_amt", digits=8)
 put("customer_segments", "SELECT * FROM segments", t.TICKETS, t.customer_values(), t.segmented(),
@@ -193,14 +195,17 @@ AUD = (t.KEY_SETS, t.DONATIONS, t.segmented())
 put("concert_audience", "SELECT * REPLACE (CAST(concert_date AS VARCHAR) AS concert_date) FROM audience",
     t.TICKETS, t.customer_values(POPS), *AUD, ONE_DAY, t.AUDIENCE, rounded="donor_5yr_history")
 put("concert_audience_season", "SELECT * REPLACE (CAST(concert_date AS VARCHAR) AS concert_date) FROM audience",
-    t.TICKETS, t.customer_values(), *AUD, ALL_DAYS, t.AUDIENCE, rounded="donor_5yr_history")
+    t.TICKETS, t.customer_values(first_fy=2000), *AUD, ALL_DAYS, t.AUDIENCE, rounded="donor_5yr_history")
+put("concert_audience_this_year_gifts", "SELECT * REPLACE (CAST(concert_date AS VARCHAR) AS concert_date) FROM audience",
+    t.TICKETS, t.customer_values(first_fy=2000), t.KEY_SETS, t.DONATIONS.replace("FROM donations GROUP", "FROM donations WHERE cont_fy >= 2001 GROUP"),
+    t.segmented(), ALL_DAYS, t.AUDIENCE, rounded="donor_5yr_history")
 put("audience_counts", """
 SELECT CAST(concert_date AS VARCHAR) AS concert_date, dimension, level, count(*) AS count
 FROM (SELECT concert_date, 'classification' AS dimension, classification AS level FROM audience UNION ALL
       SELECT concert_date, 'type', CASE WHEN subscriber = 1 THEN 'subscriber' ELSE 'single' END FROM audience UNION ALL
       SELECT concert_date, 'segment', segment FROM audience UNION ALL
       SELECT concert_date, 'donor_group', donor_group FROM audience)
-GROUP BY 1, 2, 3""", t.TICKETS, t.customer_values(), *AUD, ALL_DAYS, t.AUDIENCE)
+GROUP BY 1, 2, 3""", t.TICKETS, t.customer_values(first_fy=2000), *AUD, ALL_DAYS, t.AUDIENCE)
 put("seat_finder", """
 SELECT summary_cust_id, c_name AS summary_cust_name,
        section || '   ' || "row" || ' - ' || seat AS seat
@@ -260,11 +265,10 @@ put("performance_comp_view", "SELECT perf_dt, zone, seats, tot_comp, prcnt_comp
     t.TICKETS, DAY, t.summary("concert"), rounded="prcnt_comp", digits=8)
 put("performance_attendance_view", "SELECT perf_dt, zone, seats, att, comp_att, sub_att, sgl_att, tot_att FROM summary",
     t.TICKETS, DAY, t.summary("concert"), rounded="comp_att sub_att sgl_att tot_att", digits=8)
-put("performance_formatted", """
-SELECT perf_dt, seats, format('${:,.2f}', sub_rev) AS sub_rev, format('${:,.2f}', sgl_rev) AS sgl_rev,
-       format('${:,.2f}', tot_rev) AS tot_rev, format('{:,.1f}%', prcnt_sold * 100) AS prcnt_sold,
-       format('{:,.1f}%', tot_att * 100) AS tot_att
-FROM summary WHERE zone = 'Total'""", t.TICKETS, t.summary("tickets"))
+MONEY, RATES = "sub_avg sub_rev sgl_avg sgl_rev tot_rev", "prcnt_sold prcnt_comp comp_att sub_att sgl_att tot_att"
+put("performance_formatted", "SELECT * REPLACE (" + ", ".join(
+    [f"format('${{:,.2f}}', {x}) AS {x}" for x in MONEY.split()]
+    + [f"format('{{:,.1f}}%', {x} * 100) AS {x}" for x in RATES.split()]) + ") FROM summary", t.TICKETS, t.summary("tickets"))
 CONCERT_MONTHS = """
 daily AS (SELECT perf_dt, sum(paid_amt) AS paid FROM tickets
           WHERE summary_cust_id IS NOT NULL AND perf_dt < TIMESTAMP '2001-07-01' GROUP BY 1),
@@ -368,14 +372,14 @@ VIEWS_ONCE = "count(DISTINCT CASE WHEN event_type = 'view' THEN user_id || '#' |
 put("channel_report_by_date", f"""
 SELECT first_channel AS channel, CAST(first_date AS VARCHAR) AS date, {CHANNEL} FROM sess GROUP BY 1, 2""",
     t.HITS, t.sessions(), rounded=CHANNEL_ROUNDED, digits=4)
-put("channel_report", f"SELECT first_channel AS channel, {CHANNEL} FROM sess GROUP BY 1", t.HITS, """
-recent AS (SELECT * FROM hits WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-29')""", t.sessions("recent"),
-    rounded=CHANNEL_ROUNDED, digits=4)
+put("channel_report", f"""
+SELECT first_channel AS channel, {CHANNEL} FROM sess WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-29' GROUP BY 1""",
+    t.HITS, t.sessions(), rounded=CHANNEL_ROUNDED, digits=4)
 put("page_report", f"""
 SELECT page, count(*) FILTER (opens) AS sessions, count(*) FILTER (opens AND closes) AS bounces,
        count(*) FILTER (closes) AS exits, avg(stay) AS avg_time_on_page,
        coalesce(sum(value) FILTER (event_type IN ('purchase', 'signup')), 0.0) / nullif({VIEWS_ONCE}, 0) AS page_value
-FROM sess GROUP BY 1""", t.HITS, t.sessions(), rounded="avg_time_on_page page_value", digits=4)
+FROM sess GROUP BY 1""", t.HITS, t.sessions(), rounded="avg_time_on_page page_value", digits=3)
 put("arrivals_by_age", """
 SELECT first_channel AS channel, age_bracket, count(*) FILTER (opens) AS sessions FROM sess GROUP BY 1, 2""",
     t.HITS, t.sessions())
@@ -416,10 +420,10 @@ DAILY = f"""
        count(*) FILTER (is_new) / nullif(count(*) FILTER (opens), 0) AS percent_new_sessions,
        coalesce(sum(value) FILTER (event_type IN ('purchase', 'signup')), 0.0) AS total_value"""
 put("daily_web_backfill", """
-SELECT *, CASE WHEN new_users > 0 THEN ln(new_users) END AS log_new_users FROM daily""", t.HITS, """
-picked AS (SELECT * FROM hits WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-12'
-           UNION ALL SELECT * FROM hits WHERE date BETWEEN DATE '2024-01-15' AND DATE '2024-01-28')""",
-    t.sessions("picked"), f"daily AS (SELECT CAST(date AS VARCHAR) AS date, {DAILY} FROM sess GROUP BY 1)",
+SELECT *, CASE WHEN new_users > 0 THEN ln(new_users) END AS log_new_users FROM daily""", t.HITS, t.sessions(), f"""
+daily AS (SELECT CAST(date AS VARCHAR) AS date, {DAILY} FROM sess
+          WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-12' OR date BETWEEN DATE '2024-01-15' AND DATE '2024-01-28'
+          GROUP BY 1)""",
     rounded="avg_session_duration avg_time_on_page ad_cost percent_new_sessions total_value log_new_users", digits=4)
 put("ad_costs_by_device", """
 SELECT device, CAST(date AS VARCHAR) AS date, ad_clicks, ad_cost, new_users, 100 * revenue / nullif(ad_cost, 0) AS roas
@@ -447,17 +451,19 @@ put("monthly_expense_matrix", "SELECT * REPLACE (CAST(date AS VARCHAR) AS date)
 MIXED = (*SM, t.PERF_MONTHS, t.EXPENSES, t.EXPENSE_MONTHS, t.HITS, t.sessions(), t.WEB_MONTHS, t.MIX)
 MIX_ROUNDED = f"revenue {PURPOSES} transaction_revenue print_total rev_per_performance"
 put("marketing_mix_table", "SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM mix", *MIXED, rounded=MIX_ROUNDED)
+BAND = """
+band AS (SELECT * FROM mix WHERE revenue < 1.1 * (SELECT avg(revenue) FROM mix) AND revenue > 0.7 * (SELECT avg(revenue) FROM mix))"""
 put("marketing_mix_band", """
-SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM mix WHERE revenue < 6000 AND revenue > 1500""", *MIXED,
+SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM band""", *MIXED, BAND,
     rounded=MIX_ROUNDED)
 put("marketing_fit_lines", """
 SELECT pair, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n
-FROM (SELECT 'log_digital_ads_log_sessions' AS pair, ln(nullif(digital_ads, 0)) AS x, ln(nullif(sessions, 0)) AS y FROM mix
-      UNION ALL SELECT 'log_print_sessions', ln(nullif(print_total, 0)), CAST(sessions AS DOUBLE) FROM mix
-      UNION ALL SELECT 'log_direct_mail_sessions', ln(nullif(direct_mail, 0)), CAST(sessions AS DOUBLE) FROM mix
-      UNION ALL SELECT 'log_radio_tv_sessions', ln(nullif(radio_and_tv, 0)), CAST(sessions AS DOUBLE) FROM mix
-      UNION ALL SELECT 'log_sessions_sessions', ln(nullif(sessions, 0)), CAST(sessions AS DOUBLE) FROM mix)
-GROUP BY 1""", *MIXED, rounded="slope intercept r2")
+FROM (SELECT 'log_digital_ads_log_sessions' AS pair, ln(nullif(digital_ads, 0)) AS x, ln(nullif(sessions, 0)) AS y FROM band
+      UNION ALL SELECT 'log_print_sessions', ln(nullif(print_total, 0)), CAST(sessions AS DOUBLE) FROM band
+      UNION ALL SELECT 'log_direct_mail_sessions', ln(nullif(direct_mail, 0)), CAST(sessions AS DOUBLE) FROM band
+      UNION ALL SELECT 'log_radio_tv_sessions', ln(nullif(radio_and_tv, 0)), CAST(sessions AS DOUBLE) FROM band
+      UNION ALL SELECT 'log_sessions_sessions', ln(nullif(sessions, 0)), CAST(sessions AS DOUBLE) FROM band)
+GROUP BY 1""", *MIXED, BAND, rounded="slope intercept r2")
 AB = """
 outcomes AS (
   SELECT CASE WHEN o_custkey % 4 <> 0 THEN 'receive' ELSE 'no_receive' END AS variant,
@@ -546,8 +552,8 @@ resid AS (SELECT series_id, month, y - fitted AS r, row_number() OVER (PARTITION
 centred AS (SELECT series_id, i, r - avg(r) OVER (PARTITION BY series_id) AS e FROM resid)""",
     rounded="acf q", digits=4)
 put("seasonal_view", "SELECT series_id, CAST(month(month) AS BIGINT) AS month_of_year, " + ", ".join(
-    f'max(y) FILTER (year(month) = {y}) AS "{y}"' for y in range(1996, 2002)) + " FROM series GROUP BY 1, 2", *S,
-    rounded=" ".join(f'"{y}"' for y in range(1996, 2002)))
+    f'max(y) FILTER (year(month) = {y}) AS "{y}"' for y in range(1995, 2002)) + " FROM series GROUP BY 1, 2", *S,
+    rounded=" ".join(f'"{y}"' for y in range(1995, 2002)))
 put("decomposition", """
 SELECT series_id, CAST(month AS VARCHAR) AS month, y, trend, effect - centre AS seasonal,
        y - trend - (effect - centre) AS remainder
@@ -571,21 +577,26 @@ AR = """
 lagged AS (SELECT * FROM (SELECT *, lag(y) OVER w AS a, lag(y, 12) OVER w AS b FROM series
                           WINDOW w AS (PARTITION BY series_id ORDER BY month)) WHERE b IS NOT NULL),
 moments AS (SELECT series_id, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS saa,
-                   var_samp(b) AS sbb, covar_samp(a, b) AS sab, covar_samp(a, y) AS say, covar_samp(b, y) AS sby
+                   var_samp(b) AS sbb, covar_samp(a, b) AS sab, covar_samp(a, y) AS say, covar_samp(b, y) AS sby, var_samp(y) AS syy
             FROM lagged GROUP BY 1),
-fit AS (SELECT series_id, n, my - p * ma - q * mb AS constant, p AS phi_1, q AS phi_12
+fit AS (SELECT series_id, n, my - p * ma - q * mb AS constant, p AS phi_1, q AS phi_12,
+               sqrt((syy - p * say - q * sby) * (n - 1) / (n - 3)) AS residual_sd
         FROM (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS p,
                      (sby * saa - say * sab) / (saa * sbb - sab * sab) AS q FROM moments))"""
-put("seasonal_autoregression", "SELECT * FROM fit", *S, AR, rounded="constant phi_1 phi_12", digits=4)
+put("seasonal_autoregression", "SELECT * FROM fit", *S, AR, rounded="constant phi_1 phi_12 residual_sd", digits=4)
 STATEMENTS["autoregressive_forecast"] = "WITH RECURSIVE " + ",".join((*S, AR)) + """,
-steps(series_id, month, y, h) AS (
-  SELECT series_id, month, y, 0 FROM series WHERE month = DATE '2001-06-01'
+steps(series_id, month, y, h, psi) AS (
+  SELECT series_id, month, y, 0, [CAST(1 AS DOUBLE)] FROM series WHERE month = (SELECT max(month) FROM series)
   UNION ALL
-  SELECT s.series_id, CAST(s.month + INTERVAL 1 MONTH AS DATE), f.constant + f.phi_1 * s.y + f.phi_12 * o.y, s.h + 1
+  SELECT s.series_id, CAST(s.month + INTERVAL 1 MONTH AS DATE), f.constant + f.phi_1 * s.y + f.phi_12 * o.y, s.h + 1,
+         list_append(s.psi, f.phi_1 * s.psi[-1] + CASE WHEN s.h >= 11 THEN f.phi_12 * s.psi[s.h - 10] ELSE 0 END)
   FROM steps s JOIN fit f ON f.series_id = s.series_id
   JOIN series o ON o.series_id = s.series_id AND o.month = CAST(s.month - INTERVAL 11 MONTHS AS DATE)
   WHERE s.h < 12)
-SELECT series_id, CAST(month AS VARCHAR) AS month, round(y, 4) AS forecast FROM steps WHERE h > 0"""
+SELECT series_id, CAST(month AS VARCHAR) AS month, round(y, 4) AS forecast,
+       round(y - 1.959964 * residual_sd * sqrt(list_sum(list_transform(psi[1:h], lambda w: w * w))), 4) AS low,
+       round(y + 1.959964 * residual_sd * sqrt(list_sum(list_transform(psi[1:h], lambda w: w * w))), 4) AS high
+FROM steps JOIN fit USING (series_id) WHERE h > 0"""
 
 # --- regressions ---------------------------------------------------------------------------------------------
 
@@ -604,6 +615,36 @@ put("viewer_tail_rates", """
 SELECT CASE WHEN tile = 1 THEN 'lowest' ELSE 'highest' END AS part, count(*) AS n, avg(buy) AS rate
 FROM (SELECT buy, ntile(5) OVER (ORDER BY p, viewer_id) AS tile FROM viewers JOIN rates USING ("view") WHERE NOT training)
 WHERE tile IN (1, 5) GROUP BY 1""", VIEWERS, rounded="rate")
+FULL_VIEWERS = """
+activity AS (SELECT o_custkey, count(*) AS totvids, count(*) FILTER (o_orderpriority = '1-URGENT') AS elecvids FROM orders
+             GROUP BY 1),
+people AS (
+  SELECT c_custkey AS viewer_id, CASE WHEN c_acctbal + 60 * (c_custkey % 50) > 6000 THEN 1 ELSE 0 END AS y,
+         CASE WHEN c_custkey % 5 < 2 THEN 1 ELSE 0 END AS "view", coalesce(totvids, 0) AS totvids,
+         coalesce(elecvids, 0) AS elecvids, c_nationkey % 3 AS browser, c_nationkey % 2 AS mobile, 18 + c_custkey % 50 AS age,
+         CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS man, c_custkey % 2 = 1 AS training
+  FROM customer LEFT JOIN activity ON c_custkey = o_custkey),
+learn AS (SELECT * FROM people WHERE training)"""
+VIEWER_PREDICTORS = ['"view"', "totvids", "elecvids", "(browser = 1)", "(browser = 2)", "mobile", "age", "man"]
+LARGE = fits.logistic("learn", VIEWER_PREDICTORS, "large")
+LIST = "[CAST(1 AS DOUBLE), " + ", ".join(f"CAST({x} AS DOUBLE)" for x in VIEWER_PREDICTORS) + "]"
+CHANCES = f"""
+chances AS (SELECT viewer_id, y, training, 1 / (1 + exp(-list_dot_product({LIST}, b))) AS p FROM people, large_beta)"""
+LIKELIHOOD = "sum(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END))"
+put("viewer_holdout_deviance", f"""
+SELECT {LIKELIHOOD} AS log_likelihood, -2 * {LIKELIHOOD} AS deviance FROM chances WHERE NOT training""",
+    FULL_VIEWERS, *LARGE, CHANCES, rounded="log_likelihood deviance", digits=4)
+put("viewer_likelihood_ratio", f"""
+SELECT small AS deviance_small, large AS deviance_large, small - large AS chi_square, CAST(7 AS BIGINT) AS df,
+       exp(-(small - large) / 2) * 0 + {{tail}} AS p_value
+FROM (SELECT -2 * {LIKELIHOOD} AS large FROM chances WHERE training),
+     (SELECT -2 * sum(ln(CASE WHEN y = 1 THEN q ELSE 1 - q END)) AS small
+      FROM learn JOIN (SELECT "view", avg(y) AS q FROM learn GROUP BY 1) USING ("view"))""".replace("exp(-(small - large) / 2) * 0 + {tail}", fits.CHI_SQUARE_7),
+    FULL_VIEWERS, *LARGE, CHANCES, rounded="deviance_small deviance_large chi_square p_value", digits=4)
+put("viewer_model_tail_rates", """
+SELECT CASE WHEN tile = 1 THEN 'lowest' ELSE 'highest' END AS part, count(*) AS n, avg(y) AS rate
+FROM (SELECT y, ntile(5) OVER (ORDER BY p, viewer_id) AS tile FROM chances WHERE NOT training)
+WHERE tile IN (1, 5) GROUP BY 1""", FULL_VIEWERS, *LARGE, CHANCES, rounded="rate")
 put("goal_errors", """
 SELECT sqrt(avg(pow(revenue - goal, 2))) AS rmse_goal, avg(abs((revenue - goal) / nullif(revenue, 0))) * 100 AS mape_goal
 FROM (SELECT perf_dt, sum(paid_amt) AS revenue, count(*) * 25.0 AS goal FROM tickets GROUP BY 1)""", t.TICKETS,
@@ -623,10 +664,14 @@ tix AS (SELECT series_id, month, CAST(coalesce(n, 0) AS DOUBLE) AS y
     put(name, "SELECT * REPLACE (CAST(month AS VARCHAR) AS month) FROM curve", *extra,
         *fits.polynomial(source or "series", degree), rounded="y fitted low high")
 STATEMENTS["exponential_smoothing"] = "WITH RECURSIVE " + ",".join((*S, fits.SMOOTHING)) + """
-SELECT series_id, CAST(month AS VARCHAR) AS month, round(forecast, 4) AS forecast,
+SELECT series_id, CAST(month AS VARCHAR) AS month, 'triple' AS method, round(forecast, 4) AS forecast,
        round(forecast - 1.959964 * residual_sd * spread, 4) AS low,
        round(forecast + 1.959964 * residual_sd * spread, 4) AS high, round(residual_sd, 4) AS residual_sd FROM forecasts"""
 
+STATEMENTS["smoothing_accuracy"] = "WITH RECURSIVE " + ",".join((*S, fits.SMOOTHING)) + """
+SELECT series_id, CAST(n - 12 AS BIGINT) AS n, round(se / (n - 12), 4) AS me, round(sqrt(sse / (n - 12)), 4) AS rmse,
+       round(sae / (n - 12), 4) AS mae FROM best"""
+
 FEATURES = """
 features AS (
   SELECT perf_dt, max(fy) AS fy, sum(paid_amt) AS y, CAST(count(*) * 25 AS DOUBLE) AS goal,
@@ -641,6 +686,27 @@ PREDICTORS = ["flex_sold", "violin", "piano", "opera", *[f"(month = {m})" for m
               *[f"(composer_tier = {k})" for k in (1, 2, 3)], "(guest_artist_tier = 1)", "(guest_artist_tier = 2)"]
 FITTED = f"fitted AS (SELECT *, {fits.fitted(PREDICTORS)} AS p FROM train, rev_beta)"
 MODEL = (t.TICKETS, FEATURES, *fits.least_squares("train", PREDICTORS, "rev"))
+TERMS = ["flex_sold", "guest_violin", "guest_piano", "opera", *[f"month_{m}" for m in range(2, 13)],
+         *[f"composer_tier_{k}" for k in (1, 2, 3)], "guest_artist_tier_1", "guest_artist_tier_2"]
+
+
+def coefficient_rows(terms: list[str], name: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{term}' AS term, b{k} AS estimate, e{k} AS std_error FROM {name}_beta"
+                              for k, term in enumerate(["(Intercept)", *terms]))
+
+
+put("performance_regression", coefficient_rows(TERMS, "rev"), t.TICKETS, FEATURES,
+    *fits.least_squares("train", PREDICTORS, "rev", errors=True), rounded="estimate std_error", digits=4)
+put("roas_regression", coefficient_rows(["device_mobile", "device_tablet", "new_users", "ad_cost"], "roas"), t.HITS, t.sessions(),
+    """
+per_day AS (
+  SELECT device, date, new_users, ad_cost, 100 * revenue / nullif(ad_cost, 0) AS y
+  FROM (SELECT device, date, count(*) FILTER (is_new) AS new_users,
+               coalesce(sum(value * 0.01) FILTER (event_type = 'click' AND ad_group IS NOT NULL), 0.0) AS ad_cost,
+               coalesce(sum(value) FILTER (event_type = 'purchase'), 0.0) AS revenue FROM sess GROUP BY 1, 2)),
+paid AS (SELECT * FROM per_day WHERE y IS NOT NULL)""",
+    *fits.least_squares("paid", ["(device = 'mobile')", "(device = 'tablet')", "new_users", "ad_cost"], "roas", errors=True),
+    rounded="estimate std_error", digits=4)
 put("performance_regression_quality", f"""
 SELECT r2, 1 - (1 - r2) * (n - 1) / (n - {len(PREDICTORS) + 1}) AS adjusted_r2, rmse, n
 FROM (SELECT 1 - sum(pow(y - p, 2)) / sum(pow(y - m, 2)) AS r2, sqrt(avg(pow(y - p, 2))) AS rmse, count(*) AS n
@@ -667,10 +733,17 @@ LOG_PREDICTORS = ["ln(digital_ads)", "print_total", "email_services", "direct_ma
                   "promotions"]
 LOG_TERMS = ["(Intercept)", "log_digital_ads", *LOG_PREDICTORS[1:]]
 put("marketing_log_regression", " UNION ALL ".join(
-    f"SELECT '{term}' AS term, b{k} AS estimate FROM mix_beta" for k, term in enumerate(LOG_TERMS)), *MIXED, """
-logged AS (SELECT *, ln(sessions) AS y FROM mix WHERE sessions > 0 AND digital_ads > 0)""",
+    f"SELECT '{term}' AS term, b{k} AS estimate FROM mix_beta" for k, term in enumerate(LOG_TERMS)), *MIXED, BAND, """
+logged AS (SELECT *, ln(sessions) AS y FROM band WHERE sessions > 0 AND digital_ads > 0)""",
     *fits.least_squares("logged", LOG_PREDICTORS, "mix"), rounded="estimate", digits=6)
 
+SPEND = ["digital_ads", "print_media", "print_production", "email_services", "direct_mail", "radio_and_tv", "performances",
+         "promotions"]
+put("marketing_revenue_regression", coefficient_rows(SPEND, "rev"), t.TICKETS, t.SINGLES, t.SINGLE_MONTHS, t.PERF_MONTHS,
+    t.EXPENSES, t.EXPENSE_MONTHS, """
+spent AS (SELECT *, ln(revenue) AS y FROM single_months JOIN expense_months USING (date) JOIN perf_months USING (date)
+          WHERE revenue > 0)""", *fits.least_squares("spent", SPEND, "rev", errors=True), rounded="estimate std_error", digits=6)
+
 # --- columns and single operators ----------------------------------------------------------------------------
 
 put("ticket_columns", """

@@ -2,15 +2,14 @@
 
 TICKETS = """
 tickets AS (
-  SELECT CASE WHEN l_linenumber = 7 THEN CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE 0 END
-              ELSE o_custkey END AS summary_cust_id,
+  SELECT CASE WHEN taken THEN o_custkey WHEN l_suppkey % 2 = 1 THEN 0 END AS summary_cust_id,
          'PS ' || lpad(CAST((fy - 1) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(fy % 100 AS VARCHAR), 2, '0')
            || CASE o_orderstatus WHEN 'O' THEN ' Classics' WHEN 'F' THEN ' Pops' ELSE ' Summer' END AS season_desc,
-         CASE WHEN l_linenumber = 7 THEN 'Unsold' WHEN l_linenumber = 6 THEN 'Comp' WHEN l_linenumber = 5 THEN 'Discount'
+         CASE WHEN NOT taken THEN 'Unsold' WHEN l_linenumber = 6 THEN 'Comp' WHEN l_linenumber = 5 THEN 'Discount'
               WHEN l_linenumber <= 3 AND o_custkey % 2 = 1 AND fy >= 1996 + o_custkey % 7
                 THEN CASE WHEN l_linenumber = 3 THEN 'Flex' ELSE 'Subscription' END
               ELSE 'Single ' END AS price_type_group,
-         CASE WHEN l_linenumber >= 6 THEN 0.0
+         CASE WHEN l_linenumber >= 6 OR NOT taken THEN 0.0
               ELSE floor(l_extendedprice * (1 - l_discount) / 10) / 100.0 END AS paid_amt,
          'Price ' || CASE WHEN l_suppkey % 6 = 0 THEN 'B' ELSE CAST(l_suppkey % 6 AS VARCHAR) END
            || ' - ' || l_linestatus AS zone_desc,
@@ -19,11 +18,11 @@ tickets AS (
          'S' || CAST(l_partkey % 12 AS VARCHAR) AS section,
          CAST(l_partkey % 40 AS VARCHAR) AS "row",
          CAST(l_linenumber AS VARCHAR) AS seat,
-         CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'R' THEN 'Not Attended' ELSE 'Attended' END AS attended,
+         CASE WHEN NOT taken THEN NULL WHEN l_returnflag = 'R' THEN 'Not Attended' ELSE 'Attended' END AS attended,
          fy
-  FROM (SELECT *, CAST(year(l_shipdate + INTERVAL 6 MONTHS) AS BIGINT) AS fy
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-  WHERE fy >= 1995 + o_custkey % 7 AND (o_custkey + fy) % 3 <> 0)"""
+  FROM (SELECT *, l_linenumber <> 7 AND fy >= 1995 + o_custkey % 7 AND (o_custkey + fy) % 3 <> 0 AS taken
+        FROM (SELECT *, CAST(year(l_shipdate + INTERVAL 6 MONTHS) AS BIGINT) AS fy
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey)))"""
 
 NORMAL = """
 normal AS (
@@ -40,8 +39,7 @@ donations AS (
   SELECT o_custkey AS summary_cust_id,
          floor(o_totalprice * 100 / pow(10.0, o_custkey % 4)) / 100.0 AS gift_plus_pledge,
          CAST(year(o_orderdate + INTERVAL 6 MONTHS) AS BIGINT) AS cont_fy
-  FROM orders
-  WHERE o_custkey % 3 <> 0 AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+  FROM orders),
 giving AS (SELECT summary_cust_id, sum(gift_plus_pledge) AS total_gift FROM donations GROUP BY 1)"""
 
 BANDS = """
@@ -164,8 +162,8 @@ SERIES = """
 per_month AS (
   SELECT CAST(date_trunc('month', perf_dt) AS DATE) AS month, avg(total_rev_singles) AS singles,
          avg(total_rev_subs) AS subs FROM per_perf GROUP BY 1),
-spine AS (SELECT CAST(m AS DATE) AS month
-          FROM (SELECT unnest(generate_series(DATE '1996-07-01', DATE '2001-06-01', INTERVAL 1 MONTH)) AS m)),
+reach AS (SELECT least(min(month), DATE '1996-07-01') AS lo, greatest(max(month), DATE '2001-06-01') AS hi FROM per_month),
+spine AS (SELECT CAST(m AS DATE) AS month FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS m FROM reach)),
 series AS (
   SELECT k.series_id, spine.month,
          coalesce(CASE k.series_id WHEN 'singles' THEN singles WHEN 'subs' THEN subs ELSE singles + subs END, 0.0) AS y
@@ -176,9 +174,9 @@ def in_list(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def customer_values(seasons=None) -> str:
+def customer_values(seasons=None, first_fy=None) -> str:
     """Capped, counted tickets and one row per customer with frequency and spending."""
-    where = f"WHERE season_desc IN {in_list(seasons)}" if seasons else ""
+    where = f"WHERE season_desc IN {in_list(seasons)}" if seasons else f"WHERE fy >= {first_fy}" if first_fy else ""
     return f"""
 upto AS (SELECT * FROM tickets WHERE summary_cust_id > 0 AND fy <= 2001),
 capped AS (SELECT summary_cust_id FROM upto GROUP BY 1 HAVING count(*) <= 40),
@@ -261,4 +259,4 @@ summary AS (
          sub_rev + sgl_rev AS tot_rev, CAST(tot_comp AS BIGINT) AS tot_comp, tot_comp / seats AS prcnt_comp,
          CAST(att AS BIGINT) AS att, ca / nullif(tot_comp, 0) AS comp_att, sa / nullif(sub_sold, 0) AS sub_att,
          ga / nullif(sgl_sold, 0) AS sgl_att, att / nullif(sub_sold + sgl_sold + tot_comp, 0) AS tot_att
-  FROM raw_all)"""
+  FROM (SELECT * REPLACE (round(sub_rev, 2) AS sub_rev, round(sgl_rev, 2) AS sgl_rev) FROM raw_all))"""

@@ -41,11 +41,12 @@ def _any(condition: Column) -> Column:
 
 
 def facts(tickets: DataFrame, rules: AudienceRules, seasons: Sequence[str] | None = None,
-          concert_days: Sequence[str] | None = None) -> DataFrame:
+          concert_days: Sequence[str] | None = None, valued_from: int | None = None) -> DataFrame:
     """One row per customer within the seat cap that has at least one counted ticket.
 
     Counted: a known customer and more than `min_paid` paid, up to this fiscal year. The cap looks at all of a
-    customer's seats. `seasons` limits frequency and spending to those seasons. `concert_days` adds the days of this
+    customer's seats. `seasons` limits frequency and spending to those seasons, `valued_from` to fiscal years from then on.
+    `concert_days` adds the days of this
     year the customer attended (any of the named ones, or all for an empty list).
     """
     fy_now = rules.this_fy
@@ -54,6 +55,8 @@ def facts(tickets: DataFrame, rules: AudienceRules, seasons: Sequence[str] | Non
              .select("summary_cust_id", "perf_dt", "paid_amt", "price_type_group", "season_desc", fy.alias("fy")))
     counted = F.col("paid_amt") > rules.min_paid
     valued = counted & F.col("season_desc").isin(*seasons) if seasons else counted
+    if valued_from is not None:
+        valued = valued & (F.col("fy") >= valued_from)
     now = counted & (F.col("fy") == fy_now)
     measures = [
         F.count("*").alias("seats"),
@@ -128,18 +131,20 @@ def giving(donations: DataFrame, first_fy: int | None = None, last_fy: int | Non
 
 
 def concert_audience(tickets: DataFrame, donations: DataFrame, rules: AudienceRules,
-                     seasons: Sequence[str] | None = None, dates: Sequence[str] = ()) -> DataFrame:
+                     seasons: Sequence[str] | None = None, dates: Sequence[str] = (),
+                     gifts_from: int | None = None) -> DataFrame:
     """Attendees of this year's concerts, described as of each concert day.
 
-    One job serves any number of dates (all of the fiscal year's when none are named). A customer renews when they
+    Segments rest on the named seasons, or else on this and the last fiscal year. `gifts_from` limits giving to fiscal
+    years from then on. One job serves any number of dates (all of the fiscal year's when none are named). A customer renews when they
     came last year, or this year before the concert; an unknown segment reads '0'.
     """
-    known = with_segment(facts(tickets, rules, seasons, concert_days=list(dates)))
+    known = with_segment(facts(tickets, rules, seasons, list(dates), None if seasons else rules.this_fy - 1))
     attendees = known.select("*", F.explode("concert_days").alias("concert_date"))
     came_before = F.col("first_this_year") < F.col("concert_date").cast("timestamp_ntz")
     renew = F.when((F.col("last_year") == 1) | came_before, 1).otherwise(0)
     given = F.coalesce("gift_plus_pledge", F.lit(0.0))
-    return (attendees.join(giving(donations), "summary_cust_id", "left")
+    return (attendees.join(giving(donations, gifts_from), "summary_cust_id", "left")
             .select("concert_date", "summary_cust_id", renew.alias("renew"), F.col("returned").alias("return"),
                     "subscriber", given.alias("donor_5yr_history"),
                     F.coalesce("segment", F.lit("0")).alias("segment"),
@@ -260,8 +265,10 @@ def age_group_summary(tickets: DataFrame, subscriber_tickets: DataFrame, birth_y
                .withColumn("given", given)
                .groupBy("age_group", "price_type_group")
                .agg(F.count("*").alias("unique_customers"), F.sum("tix").alias("tix_transactions"),
-                    F.sum("paid").alias("paid_amt"), F.sum("given").alias("total_donations_5yr"),
-                    F.avg("given").alias("average_donations_5yr"), F.max("given").alias("max_5yr_donation_amt"),
+                    # Sums of cents are rounded to the cent, so averages do not depend on the order of adding.
+                    F.round(F.sum("paid"), 2).alias("paid_amt"), F.round(F.sum("given"), 2).alias("total_donations_5yr"),
+                    F.try_divide(F.round(F.sum("given"), 2), F.count("*")).alias("average_donations_5yr"),
+                    F.max("given").alias("max_5yr_donation_amt"),
                     F.sum("came").alias("attended")))
     return grouped.withColumns({
         "average_ticket_price": c.ratio(F.col("paid_amt"), F.col("tix_transactions")),

@@ -39,6 +39,8 @@ def performance_summary(tickets: DataFrame) -> DataFrame:
     }
     zones = seats.groupBy("perf_dt", "zone").agg(*[measure.alias(name) for name, measure in counts.items()])
     grouped = reshape.with_total_rows(zones, ["perf_dt"], "zone", list(counts))
+    # Sums of cents are rounded to the cent, so averages do not depend on the order of adding.
+    grouped = grouped.withColumns({name: F.round(name, 2) for name in ("sub_rev", "sgl_rev")})
     sold = F.col("sub_sold") + F.col("sgl_sold")
     return grouped.select(
         "perf_dt", "zone", "seats", "sub_sold", c.ratio(F.col("sub_rev"), F.col("sub_sold")).alias("sub_avg"),

@@ -56,16 +56,21 @@ def expense_matrix(expenses: DataFrame) -> DataFrame:
     return reshape.pivot_fixed(dated, ["date"], "purpose", PURPOSES, F.sum("exp"), fill=0.0)
 
 
+def spend_and_revenue(tickets: DataFrame, expenses: DataFrame) -> DataFrame:
+    """One row per month that appears in revenue, spend and performances."""
+    return (monthly_single_revenue(tickets).join(expense_matrix(expenses), "date")
+            .join(performances_per_month(tickets), "date"))
+
+
 def mix_table(tickets: DataFrame, expenses: DataFrame, web_monthly: DataFrame) -> DataFrame:
     """One row per month that appears in revenue, spend, performances and web traffic."""
-    return (monthly_single_revenue(tickets).join(expense_matrix(expenses), "date")
-            .join(performances_per_month(tickets), "date").join(web_monthly, "date")
+    return (spend_and_revenue(tickets, expenses).join(web_monthly, "date")
             .withColumns({"print_total": F.col("print_media") + F.col("print_production"),
                           "rev_per_performance": c.ratio(F.col("revenue"), F.col("performances"))}))
 
 
-def in_band(mix: DataFrame, low: float, high: float) -> DataFrame:
-    """Months with revenue strictly inside the band."""
+def in_band(mix: DataFrame, low: float | Column, high: float | Column) -> DataFrame:
+    """Months with revenue strictly inside the band; the bounds may be numbers or scalar subqueries."""
     return mix.where((F.col("revenue") < high) & (F.col("revenue") > low))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from houselights.models import abtest, basket, fits, regression, series
+from houselights.models import abtest, basket, regression, series
 
 
 def monthly(table, values, name="s", first="2010-01-01"):
@@ -152,8 +152,21 @@ def test_autoregression_matches_least_squares_and_recursion(table):
         want.append(path[-1])
     got = series.autoregressive_forecast(monthly(table, y), 5)
     assert np.allclose(column(got, "forecast"), want) and str(got.agg(F.min("month")).first()[0]) == "2016-01-01"
-    with pytest.raises(ValueError):
-        series.autoregressive_forecast(monthly(table, y), 13)
+    rest = np.array(y[12:]) - design @ beta
+    assert np.isclose(fit.residual_sd, np.sqrt((rest ** 2).sum() / 57))
+    low, high, middle = (column(got, name) for name in ("low", "high", "forecast"))
+    shocks = np.cumsum([beta[1] ** (2 * k) for k in range(5)])
+    assert np.allclose((high - low) / 2, series.Z_95 * fit.residual_sd * np.sqrt(shocks)) and (low < middle).all()
+
+
+def test_autoregression_goes_beyond_a_year_and_keeps_short_series(table):
+    y = list(np.random.default_rng(7).normal(50, 10, 40))
+    long = series.autoregressive_forecast(monthly(table, y), 30)
+    year = series.autoregressive_forecast(monthly(table, y), 12)
+    assert np.allclose(column(long, "forecast")[:12], column(year, "forecast")) and long.count() == 30
+    short = series.autoregressive_forecast(monthly(table, y[:9]), 3).collect()
+    assert len(short) == 3 and all(r.forecast is None for r in short)
+    assert series.seasonal_autoregression(monthly(table, y[:9])).first().phi_1 is None
 
 
 def test_simple_smoothing(table):
@@ -165,16 +178,38 @@ def test_triple_smoothing_continues_a_regular_series(table):
     season = [5, 3, -2, -6, 1, 4, -3, 2, 0, -1, -5, 2]
     y = [100 + 2 * t + season[t % 12] for t in range(72)]
     both = monthly(table, y, "a").unionByName(monthly(table, [7.0] * 10, "short"))
-    got = series.exponential_smoothing(both, 12).orderBy("month").collect()
-    assert len(got) == 12 and {r.series_id for r in got} == {"a"}
+    rows = series.exponential_smoothing(both, 12).orderBy("series_id", "month").collect()
+    got, short = rows[:12], rows[12:]
+    assert {(r.series_id, r.method) for r in rows} == {("a", "triple"), ("short", "level")} and len(short) == 12
+    assert all(np.isclose(r.forecast, 7.0) and r.low is None for r in short) and str(short[0].month) == "2010-11-01"
     want = [100 + 2 * t + season[t % 12] for t in range(72, 84)]
     assert np.allclose([r.forecast for r in got], want)
     assert all(r.low <= r.forecast <= r.high for r in got)
     y = np.array(y) + np.random.default_rng(1).normal(scale=3, size=72)
-    near = series.exponential_smoothing(monthly(table, y), 3).orderBy("month").collect()
-    assert np.allclose([r.forecast for r in near], want[:3], atol=12) and 2 < near[0].residual_sd < 6
-    errors, *_ = fits.holt_winters_path(np.array([50.0] * 36), 0.3, 0.1, 0.2)
-    assert np.allclose(errors, 0)
+    near = series.exponential_smoothing(monthly(table, y), 30).orderBy("month").collect()
+    assert np.allclose([r.forecast for r in near[:3]], want[:3], atol=12) and 2 < near[0].residual_sd < 6
+
+
+def test_triple_smoothing_matches_a_plain_loop(table):
+    y = np.random.default_rng(3).normal(50, 9, 40) + np.tile([9, -4, 0, 3] * 3, 4)[:40]
+
+    def errors(alpha, beta, gamma):
+        centre = y[:12].mean()
+        trend = (y[12:24].mean() - centre) / 12
+        season = [y[i] - centre - (i - 5.5) * trend for i in range(12)]
+        level, out = centre + 5.5 * trend, []
+        for t in range(12, 40):
+            effect, before = season[t % 12], level
+            out.append(y[t] - (level + trend + effect))
+            level = alpha * (y[t] - effect) + (1 - alpha) * (level + trend)
+            trend = beta * (level - before) + (1 - beta) * trend
+            season[t % 12] = gamma * (y[t] - level) + (1 - gamma) * effect
+        return np.array(out)
+
+    best = min((errors(*w) for w in series.GRID), key=lambda e: (e ** 2).sum())
+    got = series.smoothing_accuracy(monthly(table, y)).first()
+    assert np.allclose([got.n, got.me, got.rmse, got.mae],
+                       [28, best.mean(), np.sqrt((best ** 2).mean()), np.abs(best).mean()])
 
 
 @pytest.mark.parametrize("degree", [1, 3, 8])
@@ -187,6 +222,32 @@ def test_polynomial_trend_matches_polyfit(table, degree):
     assert (column(got, "high") > column(got, "low")).all()
 
 
-@pytest.mark.parametrize("df,q", [(10, 2.228139), (30, 2.042272), (120, 1.979930)])
-def test_t_quantile(df, q):
-    assert abs(fits.t_quantile_975(df) - q) < 2e-3
+def test_polynomial_needs_more_months_than_its_degree(table):
+    both = monthly(table, [1.0, 4.0, 9.0], "few").unionByName(monthly(table, [1.0, 4.0, 9.0, 16.0], "enough"))
+    rows = series.polynomial_trend(both, 3).collect()
+    assert all(r.fitted is None for r in rows if r.series_id == "few")
+    assert all(np.isclose(r.fitted, r.y) and r.low is None for r in rows if r.series_id == "enough") and len(rows) == 7
+
+
+def test_t_quantile(spark):
+    points = {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 10: 2.228139, 30: 2.042272, 61: 1.999624, 120: 1.979930}
+    rows = spark.createDataFrame([(n,) for n in points], "n int").select("n", series.t_quantile_975(F.col("n")).alias("q"))
+    assert all(abs(r.q - points[r.n]) < 1e-6 for r in rows.collect())
+
+
+def test_baseline_is_the_first_level_and_p_values_are_those_of_t(table):
+    rng = np.random.default_rng(2)
+    kind = rng.choice(["a", "b", "c"], 60, p=[0.1, 0.3, 0.6])
+    y = 2.0 + (kind == "b") + rng.normal(size=60)
+    df = table([(str(k), float(v)) for k, v in zip(kind, y)], "kind string, y double")
+    rows = {r.term: r for r in regression.coefficients(regression.fit_linear(df, "y ~ kind"), df).collect()}
+    assert set(rows) == {"(Intercept)", "kind_b", "kind_c"}
+    design = np.column_stack([np.ones(60), kind == "b", kind == "c"]).astype(float)
+    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
+    inverse = np.linalg.inv(design.T @ design)
+    error = np.sqrt(((y - design @ beta) ** 2).sum() / 57 * np.diag(inverse))
+    assert np.allclose([rows[t].estimate for t in ("(Intercept)", "kind_b", "kind_c")], beta)
+    assert np.allclose([rows[t].std_error for t in ("(Intercept)", "kind_b", "kind_c")], error)
+    grid = np.linspace(-abs(beta[1] / error[1]), abs(beta[1] / error[1]), 20001)
+    density = math.exp(math.lgamma(29) - math.lgamma(28.5)) / math.sqrt(57 * math.pi) * (1 + grid ** 2 / 57) ** -29
+    assert abs(rows["kind_b"].p_value - (1 - np.trapezoid(density, grid))) < 1e-6

@@ -149,3 +149,10 @@ def test_density_integrates_to_one(table):
     df = table([("a", float(i)) for i in range(50)] + [("b", 1.0)], "g string, v double")
     rows = ranking.binned_density(df, ["g"], "v", 0, 50, 10).collect()
     assert abs(sum(r.density * 5 for r in rows if r.g == "a") - 1) < 1e-12
+
+
+def test_bounds_extend_a_regular_series_and_cut_nothing(table):
+    rows = [("a", "2019-01-01", 1.0), ("a", "2019-04-01", 2.0)]
+    series = table(rows, "series_id string, month string, y double").withColumn("month", F.col("month").cast("date"))
+    got = reshape.regular_monthly(series, "series_id", "month", "y", "2019-02-01", "2019-06-01").orderBy("month").collect()
+    assert [r.y for r in got] == [1.0, 0.0, 0.0, 2.0, 0.0, 0.0] and str(got[0].month) == "2019-01-01"

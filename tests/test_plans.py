@@ -41,3 +41,11 @@ def test_only_needed_columns_are_read(spark, sf_dir):
 def test_seats_are_scanned_once(spark, sf_dir, name):
     text = plan_text(catalog.QUERIES[name](spark, sf_dir))
     assert text.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_views_keep_every_stored_row(spark, sf_dir):
+    stored = {name: views.table(spark, sf_dir, name).count() for name in ("lineitem", "orders", "events", "customer")}
+    assert views.tickets(spark, sf_dir).count() == views.expenses(spark, sf_dir).count() == stored["lineitem"]
+    assert views.donations(spark, sf_dir).count() == views.ab_outcomes(spark, sf_dir).count() == stored["orders"]
+    assert views.web_hits(spark, sf_dir).count() == views.promotions(spark, sf_dir).count() == stored["events"]
+    assert views.customers(spark, sf_dir).count() == views.birth_years(spark, sf_dir).count() == stored["customer"]

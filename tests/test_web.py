@@ -74,3 +74,13 @@ def test_ad_groups_need_spend(table):
     df = hits(table, [(1, 0, "view"), (1, 1, "click"), (1, 2, "view"), (1, 3, "purchase")])
     row = web.top_ad_groups(df).first()
     assert (row.ad_group, row.ad_clicks, row.impressions, row.roas) == ("Group 02", 1, 0, 10000.0)
+
+
+def test_ranges_are_cut_from_whole_sessions(table):
+    day = 86400
+    data = [(1, day - 60, "view"), (1, day + 60, "click"), (2, day + 100, "view"), (3, 10, "view"), (3, day + 500, "view")]
+    whole = web.sessionise(hits(table, data), 1800, ("channel",))
+    got = {r.channel: r for r in web.report(web.between_dates(whole, ("2024-01-02", "2024-01-02")),
+                                            ("sessions", "new_users", "pageviews"), ["channel"]).collect()}
+    # User 1 goes on with a session of the day before; user 3 is known.
+    assert got["view"].sessions == 2 and got["view"].new_users == 1 and got["view"].pageviews == 2
