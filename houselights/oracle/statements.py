@@ -127,7 +127,7 @@ buys AS (SELECT * FROM tickets WHERE season_desc = 'PS 00-01 {which}' AND paid_a
 ages AS (SELECT summary_cust_id, CASE WHEN key_value <= 1954 THEN 'group_65_and_older'
                 WHEN key_value <= 1974 THEN 'group_45_to_64' ELSE 'under_44' END AS age_group
          FROM births WHERE key_value > 0)""",
-        rounded="average_donations_5yr average_annual_donation average_ticket_price attendance_rate",
+        rounded="average_donations_5yr average_annual_donation average_ticket_price attendance_rate max_5yr_donation_amt",
         digits=8)
 
 AGE = """CASE WHEN age <= 19 THEN 'less20' WHEN age <= 29 THEN 'twenties' WHEN age <= 39 THEN 'thirties'
