@@ -560,7 +560,7 @@ def frequent_itemsets(s, d):
 
 @query("M2")
 def association_rules(s, d):
-    return basket.association_rules(_baskets(s, d), support=0.25, confidence=0.3)
+    return basket.association_rules(_baskets(s, d))
 
 
 # --- series --------------------------------------------------------------------------------------------------

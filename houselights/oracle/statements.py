@@ -496,20 +496,19 @@ FROM (SELECT a.name || '|' || b.name AS items, count(*) AS freq FROM items a JOI
         ON a.summary_cust_id = b.summary_cust_id AND a.name < b.name
         JOIN items c ON c.summary_cust_id = b.summary_cust_id AND b.name < c.name GROUP BY 1), total
 WHERE freq / n >= 0.1 ORDER BY freq DESC, items LIMIT 10""", *ITEMS, rounded="support")
-put("association_rules", """
-SELECT p.l AS antecedent, p.r AS consequent, p.f / a.f AS confidence, (p.f / a.f) / (b.f / n) AS lift, p.f / n AS support
-FROM (SELECT x.name AS l, y.name AS r, count(*) AS f FROM items x JOIN items y
-        ON x.summary_cust_id = y.summary_cust_id AND x.name <> y.name GROUP BY 1, 2
-      UNION ALL
-      SELECT x.name || '|' || y.name, z.name, count(*) FROM items x JOIN items y
-        ON x.summary_cust_id = y.summary_cust_id AND x.name < y.name
-        JOIN items z ON z.summary_cust_id = x.summary_cust_id AND z.name NOT IN (x.name, y.name) GROUP BY 1, 2) p
-JOIN (SELECT name, count(*) AS f FROM items GROUP BY 1
-      UNION ALL
-      SELECT x.name || '|' || y.name, count(*) FROM items x JOIN items y
-        ON x.summary_cust_id = y.summary_cust_id AND x.name < y.name GROUP BY 1) a ON a.name = p.l
-JOIN (SELECT name, count(*) AS f FROM items GROUP BY 1) b ON b.name = p.r, total
-WHERE p.f / n >= 0.25 AND p.f / a.f >= 0.3""", *ITEMS, rounded="confidence lift support")
+# Sets of any size: each grows by later items, and keeps the customers that hold it.
+STATEMENTS["association_rules"] = "WITH RECURSIVE " + ",".join(ITEMS) + """,
+single AS (SELECT name, list(summary_cust_id) AS who FROM items GROUP BY 1),
+sets(names, who) AS (
+  SELECT [name], who FROM single, total WHERE len(who) / n >= 0.1
+  UNION ALL
+  SELECT list_append(s.names, b.name), list_intersect(s.who, b.who) FROM sets s JOIN single b ON b.name > s.names[-1], total
+  WHERE len(list_intersect(s.who, b.who)) / n >= 0.1),
+counted AS MATERIALIZED (SELECT names, len(who) AS f FROM sets),
+rules AS (SELECT list_filter(names, lambda x: x <> c) AS l, c, f FROM (SELECT names, f, unnest(names) AS c FROM counted WHERE len(names) > 1))
+SELECT array_to_string(l, '|') AS antecedent, c AS consequent, round(rules.f / a.f, 6) AS confidence,
+       round((rules.f / a.f) / (b.f / n), 6) AS lift, round(rules.f / n, 6) AS support
+FROM rules JOIN counted a ON a.names = l JOIN counted b ON b.names = [c], total WHERE rules.f / a.f >= 0.4"""
 
 # --- series --------------------------------------------------------------------------------------------------
 
