@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from houselights.functions import columns as c
 from houselights.models import abtest, basket, regression, series
 from houselights.operators import keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
-from houselights.session import materialise, shared_dir
+from houselights.session import materialise, scratch_folder
 from houselights.sources import extracts, views
 
 THIS_FY = 2001
@@ -786,14 +785,15 @@ def viewer_tail_rates(s, d):
     train, held = views.viewers(s, d), views.viewers(s, d, holdout=True)
     rates = train.groupBy("view").agg(F.avg("buy").alias("score"))
     scored = held.join(rates, "view")
-    return regression.tail_rates(ranking.global_ntile(scored, 5, "score", "viewer_id", "tile"))
+    return regression.tail_rates(ranking.global_ntile(
+        scored.select("viewer_id", "buy", "score"), 5, "score", "viewer_id", "tile"))
 
 
 @query("W9 O5")
 def viewer_model_tail_rates(s, d):
     train, held = views.viewers(s, d), views.viewers(s, d, holdout=True)
     model = regression.fit_logistic(train, regression.formula("buy", _VIEWER_PREDICTORS))
-    scored = regression.score(model, held)
+    scored = regression.score(model, held).select("viewer_id", "buy", "prediction")
     return regression.tail_rates(ranking.global_ntile(scored, 5, "prediction", "viewer_id", "tile"))
 
 
@@ -843,7 +843,7 @@ def order_sample(s, d):
 @query("A16", digits=4)
 def gift_summary(s, d):
     gifts = D_(s, d).withColumn("spread", F.xxhash64("summary_cust_id", "gift_plus_pledge", "cont_fy"))
-    return ranking.five_numbers(gifts, "gift_plus_pledge", "spread")
+    return ranking.five_numbers(gifts, ["gift_plus_pledge", "cont_fy", "summary_cust_id"], "spread")
 
 
 @query("A18")
@@ -863,15 +863,10 @@ def zone_shares_by_fy(s, d):
 # --- files ---------------------------------------------------------------------------------------------------
 
 
-def _scratch(s, name):
-    """A new folder in the shared folder; each call writes its own."""
-    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("S5")
 def season_store(s, d):
     """Store tickets by season, load named seasons back."""
-    path = _scratch(s, "seasons")
+    path = scratch_folder(s, "seasons")
     extracts.store_by_season(T_(s, d), path)
     return (extracts.load_tickets(s, path, [*POPS, *CLASSICS]).groupBy("season_desc", "price_type_group")
             .agg(F.count("*").alias("seats"), F.sum("paid_amt").alias("paid")))
@@ -880,7 +875,7 @@ def season_store(s, d):
 @query("S1 S4 F5")
 def extract_scan(s, d):
     """Write gifts and order times as extracts with preamble lines, scan them back."""
-    path = _scratch(s, "extract")
+    path = scratch_folder(s, "extract")
     orders = views.table(s, d, "orders")
     at = F.col("o_orderdate").cast("timestamp")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(at, "M/d/yyyy H:mm")).otherwise(
@@ -895,7 +890,7 @@ def extract_scan(s, d):
 @query("S14 U1")
 def report_sheets(s, d):
     """Save two report sheets, append to one, and read them back."""
-    path = _scratch(s, "report")
+    path = scratch_folder(s, "report")
     by_type = T_(s, d).groupBy("price_type_group").agg(F.count("*").alias("seats"))
     extracts.save_report({"types": by_type, "revenue": weekday.revenue(T_(s, d))}, path)
     extracts.save_report({"types": by_type}, path, append=True)
@@ -909,7 +904,7 @@ def report_sheets(s, d):
 @query("S2")
 def birth_year_extract(s, d):
     """An extract with seven preamble lines."""
-    path = _scratch(s, "births")
+    path = scratch_folder(s, "births")
     extracts.write_extract(views.birth_years(s, d), path, ["note"] * 7)
     return extracts.read_birth_years(s, path, preamble=7)
 
@@ -917,7 +912,7 @@ def birth_year_extract(s, d):
 @query("S3 S6")
 def donation_csv(s, d):
     """Donations as plain CSV, through the donation loader."""
-    path = _scratch(s, "donations")
+    path = scratch_folder(s, "donations")
     D_(s, d).write.csv(path, header=True)
     return (extracts.load_donations(s, path).groupBy("cont_fy")
             .agg(F.count("*").alias("gifts"), F.sum("gift_plus_pledge").alias("given")))

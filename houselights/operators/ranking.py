@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,52 +48,25 @@ def skip_first(df: DataFrame, n: int, by: str) -> DataFrame:
             .where(F.col("_pos") > n).drop("_pos"))
 
 
-def _cuts(df: DataFrame, columns: Sequence[str], parts: int) -> list[list[float]]:
-    """Distinct approximate quantiles of some columns, minimum and maximum included, in one pass."""
-    probabilities = [i / parts for i in range(parts + 1)]
-    found = df.approxQuantile(list(columns), probabilities, 1.0 / (4 * parts))
-    return [sorted(set(points)) for points in found]
-
-
-def _cell(value: Column, cuts: Sequence[float], slices: int) -> tuple[Column, Column, Column]:
-    """Order-preserving cell of a value: cell number, slice inside the cell, and whether it equals a cut point.
-
-    A value equal to a cut point has a cell of its own; an open range between two cut points is sliced evenly.
-    """
-    points = F.array(*[F.lit(float(cut)) for cut in cuts])
-    below = F.size(F.filter(points, lambda cut: cut < value))
-    on_cut = F.array_contains(points, value)
-    low, high = F.get(points, below - 1), F.get(points, below)
-    part = F.least(F.floor((value - low) / (high - low) * slices), F.lit(slices - 1))
-    cell = below * 2 + F.when(on_cut, 1).otherwise(0)
-    return cell, F.when(on_cut | part.isNull(), 0).otherwise(part), on_cut
-
-
-def global_row_number(df: DataFrame, by: str, unique: str, name: str, total: str, parts: int = 64,
-                      slices: int = 64) -> DataFrame:
+def global_row_number(df: DataFrame, by: str, unique: str, name: str, total: str) -> DataFrame:
     """Exact position of every row by (`by`, `unique`) and the number of rows, without ordering the table in one task.
 
-    Rows go into ordered cells cut at approximate quantiles and sliced evenly in between. A value so frequent that it
-    is itself a cut point has its own cell, sliced by the unique numeric column instead. Positions are counted inside
-    each slice and shifted by the row count of the slices before it. The slice table is bounded by
-    `parts` x `slices` per side whatever the size of the data, and is the only thing ordered in one place. The rows
-    are read three times, so they are written out first.
+    Rows are range-partitioned by both columns, so a frequent value is cut by the unique one, and sorted where they lie.
+    They are written out once with their place in the partition; the counts of the partitions before it, one row each,
+    make the place a position. Select the columns that are needed first: all are written.
     """
-    rows = materialise(df.where(F.col(by).isNotNull()))
-    value, key = F.col(by).cast("double"), F.col(unique).cast("double")
-    value_cuts, key_cuts = _cuts(rows, (by, unique), parts)
-    outer, inner, on_cut = _cell(value, value_cuts, slices)
-    key_cell, key_slice, _ = _cell(key, key_cuts, 8)
-    celled = rows.withColumns({"_c1": outer, "_c2": F.when(on_cut, key_cell * 8 + key_slice).otherwise(inner)})
-    cells = celled.groupBy("_c1", "_c2").agg(F.count("*").alias("_n"))
-    in_order = Window.orderBy("_c1", "_c2")
+    placed = materialise(df.where(F.col(by).isNotNull()).repartitionByRange(by, unique).sortWithinPartitions(by, unique)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    in_order = Window.orderBy("_part")
     before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     everything = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    offsets = cells.select("_c1", "_c2", F.coalesce(before, F.lit(0)).alias("_before"), everything.alias(total))
-    within = F.row_number().over(Window.partitionBy("_c1", "_c2").orderBy(by, unique))
-    return (celled.withColumn("_pos", within).join(offsets, ["_c1", "_c2"])
-            .withColumn(name, (F.col("_pos") + F.col("_before")).cast("bigint"))
-            .drop("_c1", "_c2", "_pos", "_before"))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), everything.alias(total))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row for each partition is broadcast.
+    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(name, place + F.col("_before") + 1).drop("_at", "_part", "_before"))
 
 
 def global_ntile(df: DataFrame, tiles: int, by: str, unique: str, name: str) -> DataFrame:
@@ -113,16 +87,19 @@ def _quantile(column: str, p: float) -> Column:
     return lower + (upper - lower) * F.max(position - F.floor(position))
 
 
-def five_numbers(df: DataFrame, column: str, spread: str) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of a column, exact at any size.
+def five_numbers(df: DataFrame, columns: Sequence[str], unique: str) -> DataFrame:
+    """Minimum, quartiles, mean and maximum of each column, exact at any size: one row per column.
 
-    `spread` is any well-spread number per row; it only splits the work on frequent values.
+    `unique` is any well-spread number per row; it only cuts frequent values.
     """
-    ranked = global_row_number(df, column, spread, "_rn", "_total")
-    return ranked.agg(
-        F.min(column).alias("min_value"), _quantile(column, 0.25).alias("first_quartile"),
-        _quantile(column, 0.5).alias("median"), F.avg(column).alias("mean"),
-        _quantile(column, 0.75).alias("third_quartile"), F.max(column).alias("max_value"))
+    def one(column: str) -> DataFrame:
+        rows = df.select(F.col(column).cast("double").alias("value"), F.col(unique).alias("unique"))
+        return global_row_number(rows, "value", "unique", "_rn", "_total").agg(
+            F.lit(column).alias("column"), F.min("value").alias("min_value"), _quantile("value", 0.25).alias("first_quartile"),
+            _quantile("value", 0.5).alias("median"), F.avg("value").alias("mean"),
+            _quantile("value", 0.75).alias("third_quartile"), F.max("value").alias("max_value"))
+
+    return functools.reduce(DataFrame.union, map(one, columns))
 
 
 def binned_density(df: DataFrame, groups: Sequence[str], value: str, low: float, high: float,

@@ -771,10 +771,10 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_time,
 FROM orders""")
 put("order_sample", """
 SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10""")
-put("gift_summary", """
-SELECT min(gift_plus_pledge) AS min_value, quantile_cont(gift_plus_pledge, 0.25) AS first_quartile,
-       quantile_cont(gift_plus_pledge, 0.5) AS median, avg(gift_plus_pledge) AS mean,
-       quantile_cont(gift_plus_pledge, 0.75) AS third_quartile, max(gift_plus_pledge) AS max_value FROM donations""",
+put("gift_summary", " UNION ALL ".join(f"""
+SELECT '{x}' AS "column", min({x})::DOUBLE AS min_value, quantile_cont({x}::DOUBLE, 0.25) AS first_quartile,
+       quantile_cont({x}::DOUBLE, 0.5) AS median, avg({x}) AS mean, quantile_cont({x}::DOUBLE, 0.75) AS third_quartile,
+       max({x})::DOUBLE AS max_value FROM donations""" for x in ("gift_plus_pledge", "cont_fy", "summary_cust_id")),
     t.DONATIONS, rounded="min_value first_quartile median mean third_quartile max_value", digits=4)
 put("price_density", """
 SELECT price_type_group, bin, n, n / (sum(n) OVER (PARTITION BY price_type_group) * 5.0) AS density

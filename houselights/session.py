@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Recording the Python call site of every column doubles the time to build a report.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.dataFrameQueryContext.enabled": "false",
@@ -52,6 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; it goes when the session ends."""
+    place = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder once, for inputs that are scanned repeatedly (model fits)
     and must survive the loss of executors."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +20,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _without_head(batches: Iterable[pa.RecordBatch], head: int) -> Iterator[pa.RecordBatch]:
-    """Drop the first `head` lines of every file. A file's first block is read in order by one task, so counting
-    lines per file while streaming is enough; blocks further into a file pass through untouched."""
+    """Drop the first `head` lines of every file. Only rows of a file's first block carry its path; one task reads that
+    block in order. A batch without such lines, or after them, passes through as it is."""
     seen: dict[str, int] = {}
     for batch in batches:
-        keep = []
-        for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            position = seen.get(path, 0) if start == 0 else head
-            if start == 0 and position < head:
-                seen[path] = position + 1
-            keep.append(position >= head)
-        yield batch.select(["value"]) if all(keep) else batch.select(["value"]).filter(pa.array(keep))
+        keep = None
+        for path in pc.unique(batch.column(1)).to_pylist():
+            left = head - seen.get(path, 0)
+            if path is None or left <= 0:
+                continue
+            own = np.flatnonzero(pc.equal(batch.column(1), path).fill_null(False).to_numpy(zero_copy_only=False))[:left]
+            seen[path] = seen.get(path, 0) + len(own)
+            keep = np.ones(batch.num_rows, bool) if keep is None else keep
+            keep[own] = False
+        yield batch.select(["value"]) if keep is None else batch.select(["value"]).filter(pa.array(keep))
 
 
 def read_extract(spark: SparkSession, paths: str | Sequence[str], schema: str, preamble: int = 3) -> DataFrame:
@@ -38,7 +43,7 @@ def read_extract(spark: SparkSession, paths: str | Sequence[str], schema: str, p
     Records must not contain line breaks.
     """
     lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+        "value", F.when(F.col("_metadata.file_block_start") == 0, F.col("_metadata.file_path")).alias("path"))
     body = lines.mapInArrow(lambda batches: _without_head(batches, preamble + 1), "value string")
     return (body.where(F.trim("value") != "")
             .select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*"))
