@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
+from houselights.session import scratch_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share. Where the session names none
-    (tests, a laptop), a fresh local folder is named for it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="houselights-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows once, as Parquet in the shared folder, and read them back: later jobs depend on the files alone,
     so a lost executor never leads to recomputing what came before. The files go when the session ends."""
-    spark = df.sparkSession
-    place = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    place = scratch_folder(df.sparkSession, label)
     df.write.parquet(place)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def utf8_rows(column: pa.Array) -> Iterator[bytes | None]:
