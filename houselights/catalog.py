@@ -288,7 +288,8 @@ def audience_counts(s, d):
 @query("Q28 B19 F2 J12 A13")
 def seat_finder(s, d):
     seats = audience.one_day(T_(s, d, CONCERT, "2001-04-27"), CONCERT)
-    return audience.seat_finder(seats, T_(s, d), views.customers(s, d), RULES)
+    here = keys.key_set(audience.counted_seats(seats, RULES), "summary_cust_id")
+    return audience.seat_finder(seats, T_(s, d, customers=here), views.customers(s, d), RULES)
 
 
 @query("A13 A15 J12")
@@ -430,7 +431,7 @@ def channel_report(s, d):
     return web.report(recent, _CHANNEL_METRICS, ["channel"])
 
 
-@query("Q41 B20", digits=3)
+@query("Q41 B20", digits=6)
 def page_report(s, d):
     return web.report(_sessions(s, d), ("sessions", "bounces", "exits", "avg_time_on_page", "page_value"), ["page"])
 

@@ -377,9 +377,9 @@ SELECT first_channel AS channel, {CHANNEL} FROM sess WHERE date BETWEEN DATE '20
     t.HITS, t.sessions(), rounded=CHANNEL_ROUNDED, digits=4)
 put("page_report", f"""
 SELECT page, count(*) FILTER (opens) AS sessions, count(*) FILTER (opens AND closes) AS bounces,
-       count(*) FILTER (closes) AS exits, avg(stay) AS avg_time_on_page,
+       count(*) FILTER (closes) AS exits, round(sum(stay), 6) / nullif(count(stay), 0) AS avg_time_on_page,
        coalesce(sum(value) FILTER (event_type IN ('purchase', 'signup')), 0.0) / nullif({VIEWS_ONCE}, 0) AS page_value
-FROM sess GROUP BY 1""", t.HITS, t.sessions(), rounded="avg_time_on_page page_value", digits=3)
+FROM sess GROUP BY 1""", t.HITS, t.sessions(), rounded="avg_time_on_page page_value", digits=6)
 put("arrivals_by_age", """
 SELECT first_channel AS channel, age_bracket, count(*) FILTER (opens) AS sessions FROM sess GROUP BY 1, 2""",
     t.HITS, t.sessions())
@@ -414,7 +414,7 @@ DAILY = f"""
        coalesce(sum(stay), 0.0) / nullif(count(*) FILTER (opens), 0) AS avg_session_duration,
        {VIEWS_ONCE} AS unique_page_views,
        count(*) FILTER (event_type = 'view' AND ad_group IS NOT NULL) AS impressions,
-       avg(stay) AS avg_time_on_page,
+       round(sum(stay), 6) / nullif(count(stay), 0) AS avg_time_on_page,
        coalesce(sum(value * 0.01) FILTER (event_type = 'click' AND ad_group IS NOT NULL), 0.0) AS ad_cost,
        count(*) FILTER (is_new) AS new_users,
        count(*) FILTER (is_new) / nullif(count(*) FILTER (opens), 0) AS percent_new_sessions,

@@ -169,9 +169,14 @@ def one_day(tickets: DataFrame, date: str) -> DataFrame:
                          & (F.col("perf_dt") < F.date_add(day, 1).cast("timestamp_ntz")))
 
 
+def counted_seats(seats: DataFrame, rules: AudienceRules) -> DataFrame:
+    """Seats of a known customer with more than the least payment."""
+    return seats.where((F.col("summary_cust_id") > 0) & (F.col("paid_amt") > rules.min_paid))
+
+
 def seat_finder(concert: DataFrame, all_tickets: DataFrame, customers: DataFrame, rules: AudienceRules) -> DataFrame:
     """Customer, name and seat for one concert. Seats are counted for that concert's customers only."""
-    rows = concert.where((F.col("summary_cust_id") > 0) & (F.col("paid_amt") > rules.min_paid))
+    rows = counted_seats(concert, rules)
     here = keys.key_set(rows, "summary_cust_id")
     within = keys.keys_within_count(keys.keep_members(all_tickets, here, "summary_cust_id"), "summary_cust_id",
                                     rules.seat_cap)

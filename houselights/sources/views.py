@@ -33,9 +33,11 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def tickets(spark: SparkSession, sf_dir: str, perf_from: str | None = None, perf_to: str | None = None) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str, perf_from: str | None = None, perf_to: str | None = None,
+            customers: DataFrame | None = None) -> DataFrame:
     """One row per seat per performance, sold or not: every stored line item is a seat.
 
+    `customers` (one column of ids) keeps the orders of those customers, before any seat is joined.
     `perf_from`/`perf_to` (dates) also restrict the stored date column, so that they reach the Parquet scan.
     """
     items = table(spark, sf_dir, "lineitem")
@@ -44,6 +46,8 @@ def tickets(spark: SparkSession, sf_dir: str, perf_from: str | None = None, perf
     if perf_to:
         items = items.where(F.col("l_shipdate") <= F.lit(perf_to).cast("timestamp_ntz"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    if customers is not None:
+        orders = orders.join(customers, orders["o_custkey"] == customers[customers.columns[0]], "left_semi")
 
     cid, line = F.col("o_custkey"), F.col("l_linenumber")
     perf_dt = F.col("l_shipdate") + F.expr(_PERF_HOUR)

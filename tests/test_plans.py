@@ -18,7 +18,8 @@ def plan_text(df):
 @pytest.mark.parametrize("name", LAZY)
 def test_no_cross_joins_and_no_row_at_a_time_python(spark, sf_dir, name):
     text = plan_text(catalog.QUERIES[name](spark, sf_dir))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow",
+                 "FlatMapGroupsInPandas", "FlatMapGroupsInArrow"):
         assert node not in text
 
 

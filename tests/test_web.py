@@ -84,3 +84,11 @@ def test_ranges_are_cut_from_whole_sessions(table):
                                             ("sessions", "new_users", "pageviews"), ["channel"]).collect()}
     # User 1 goes on with a session of the day before; user 3 is known.
     assert got["view"].sessions == 2 and got["view"].new_users == 1 and got["view"].pageviews == 2
+
+
+def test_a_busy_hour_is_many_groups(table):
+    data = [(7, s, "view") for s in range(7200)] + [(8, 5, "view")]
+    cut = hits(table, data).withColumn("_slice", F.expr("unix_micros(cast(ts as timestamp)) div 60000000"))
+    assert max(r["count"] for r in cut.groupBy("user_id", "_slice").count().collect()) == 60
+    whole = web.sessionise(hits(table, data))
+    assert whole.where("opens").count() == whole.where("closes").count() == 2
