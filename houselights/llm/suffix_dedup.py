@@ -211,8 +211,9 @@ def multikey_sort(group: np.ndarray, start: np.ndarray, data: np.ndarray, length
 
 
 def _without_lone(item: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.r_[True, segment[1:] != segment[:-1], True]
-    keep = ~(edge[1:] & edge[:-1])
+    edge = np.ones(len(segment) + 1, bool)
+    edge[1:-1] = segment[1:] != segment[:-1]
+    keep = ~(edge[1:] & edge[:-1])[:len(item)]
     return item[keep], segment[keep]
 
 

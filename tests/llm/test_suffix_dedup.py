@@ -115,6 +115,13 @@ def test_reach_is_the_longest_agreement(size):
     assert got == want
 
 
+def test_nothing_to_sort():
+    none = np.zeros(0, np.int64)
+    for start in (none, np.array([0]), np.array([0, 1])):
+        item, segment = s.multikey_sort(start * 0, start, np.frombuffer(b"abcdefghijklmnop", np.uint8), 12)
+        assert len(item) == len(segment) == 0
+
+
 def test_cut_merges_touching_spans():
     assert s.cut(b"0123456789", [(2, 4), (4, 6), (8, 9)]) == (b"01679", [(2, 6), (8, 9)])
     assert s.cut(b"", []) == (b"", [])
