@@ -416,6 +416,7 @@ def _sessions(s, d, attribute=()):
     return web.sessionise(views.web_hits(s, d), HALF_DAY, attribute)
 
 
+# The metrics of the channel report.
 _CHANNEL_METRICS = ("sessions", "pageviews", "bounces", "avg_session_duration", "transactions",
                     "transaction_revenue", "total_value", "item_revenue")
 
@@ -473,6 +474,7 @@ def daily_web_backfill(s, d):
     return daily.withColumn("log_new_users", c.log_or_null(F.col("new_users")))
 
 
+# The metrics of the daily value report.
 _DAILY_METRICS = ("avg_session_duration", "unique_page_views", "impressions", "avg_time_on_page", "ad_cost",
                   "new_users", "percent_new_sessions", "total_value")
 
@@ -658,7 +660,8 @@ def weekday_trend_degree_8(s, d):
 
 # --- regressions ---------------------------------------------------------------------------------------------
 
-_EXCLUDED = ("perf_dt", "fy", "goal", "lag_subs_1yr", "number_of_words", "word_plays", "connections")
+# Columns that are no predictors, and predictors left out of the model.
+_EXCLUDED = ("perf_dt", "fy", "goal", "word_plays", "lag_subs_1yr", "number_of_words", "connections")
 
 
 def _revenue_model(s, d):
@@ -709,6 +712,7 @@ def roas_regression(s, d):
 
 def _daily_value(s, d):
     daily = web.report(_sessions(s, d), _DAILY_METRICS, ["device", "date"]).dropna()
+    # One is added before the logarithm: most test days have no new user, and R would stop at an infinite predictor.
     daily = daily.withColumn("new_users", F.ln(F.col("new_users") + 1))
     train = ranking.in_first_part(F.concat("device", F.col("date").cast("string")))
     return daily, train

@@ -20,8 +20,7 @@ SOLD_TYPES = (RAW_SINGLE, RAW_DISCOUNT, RAW_SUBSCRIPTION, RAW_FLEX, RAW_COMP)
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 # Lower bounds and labels of the five-year giving bands.
-GIVING_BANDS_8 = ((10, "G"), (1_000, "F"), (10_000, "E"), (50_000, "D"), (100_000, "C"), (250_000, "B"),
-                  (500_000, "A"))
+GIVING_BANDS_8 = ((500_000, "A"), (250_000, "B"), (100_000, "C"), (50_000, "D"), (10_000, "E"), (1_000, "F"), (10, "G"))
 # Upper bounds of the four-way giving bands.
 GIVING_BANDS_4 = ((1_000, "A"), (10_000, "B"), (100_000, "C"))
 # Last birth year of each age group, and last age of each decade.
@@ -171,7 +170,7 @@ def seat_label(section: Column, row: Column, seat: Column) -> Column:
 def giving_band_8(total: Column) -> Column:
     """Bands A (largest) to H on lower bounds; no donation at all is H."""
     expr = F.when(total.isNull(), "H")
-    for bound, label in reversed(GIVING_BANDS_8):
+    for bound, label in GIVING_BANDS_8:
         expr = expr.when(total >= bound, label)
     return expr.otherwise("H")
 

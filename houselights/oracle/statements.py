@@ -672,14 +672,16 @@ SELECT series_id, CAST(n - 12 AS BIGINT) AS n, round(se / (n - 12), 4) AS me, ro
        round(sae / (n - 12), 4) AS mae FROM best"""
 
 FEATURES = """
-features AS (
+same_year AS (
   SELECT perf_dt, max(fy) AS fy, sum(paid_amt) AS y, CAST(count(*) * 25 AS DOUBLE) AS goal,
-         count(*) FILTER (price_type_group = 'Flex') AS flex_sold, month(perf_dt) AS month,
+         count(*) FILTER (price_type_group = 'Flex') AS flex_now, month(perf_dt) AS month,
          dayofyear(perf_dt) % 4 AS composer_tier, day(perf_dt) % 3 AS guest_artist_tier,
          CASE WHEN dayofyear(perf_dt) % 5 = 0 THEN 1 ELSE 0 END AS violin,
          CASE WHEN dayofyear(perf_dt) % 7 = 0 THEN 1 ELSE 0 END AS piano,
          CASE WHEN dayofyear(perf_dt) % 11 = 0 THEN 1 ELSE 0 END AS opera
   FROM tickets GROUP BY 1),
+features AS (SELECT a.*, coalesce(b.flex_now, 0) AS flex_sold
+             FROM same_year a LEFT JOIN same_year b ON b.perf_dt = a.perf_dt - INTERVAL 1 YEAR),
 train AS (SELECT * FROM features WHERE fy < 2001)"""
 PREDICTORS = ["flex_sold", "violin", "piano", "opera", *[f"(month = {m})" for m in range(2, 13)],
               *[f"(composer_tier = {k})" for k in (1, 2, 3)], "(guest_artist_tier = 1)", "(guest_artist_tier = 2)"]

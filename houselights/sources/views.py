@@ -191,22 +191,23 @@ def viewers(spark: SparkSession, sf_dir: str, holdout: bool = False) -> DataFram
 
 
 def performance_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per performance: revenue, goal, and the predictors of the revenue regression."""
-    seats = tickets(spark, sf_dir)
-    day = F.dayofyear("perf_dt")
+    """One row per performance: revenue, goal, and the predictors of the revenue regression. Flex and subscription counts
+    are those of the same day a year before, zero where there was no performance."""
     flex = F.count_if(F.col("price_type_group") == c.RAW_FLEX)
     subs = F.count_if(F.col("price_type_group") == c.RAW_SUBSCRIPTION)
-    return (seats.groupBy("perf_dt")
-            .agg(F.sum("paid_amt").alias("revenue"), (F.count("*") * 25.0).alias("goal"),
-                 flex.cast("double").alias("flex_sold"), subs.cast("double").alias("lag_subs_1yr"))
-            .withColumns({
-                "fy": c.fiscal_year(F.col("perf_dt")),
-                "month": F.month("perf_dt").cast("string"),
-                "composer_tier": (day % 4).cast("string"),
-                "guest_artist_tier": (F.dayofmonth("perf_dt") % 3).cast("string"),
-                "guest_violin": F.when(day % 5 == 0, 1.0).otherwise(0.0),
-                "guest_piano": F.when(day % 7 == 0, 1.0).otherwise(0.0),
-                "opera": F.when(day % 11 == 0, 1.0).otherwise(0.0),
-                "number_of_words": (day % 9).cast("double"),
-                "word_plays": F.when(day % 6 == 0, 1.0).otherwise(0.0),
-                "connections": F.when(day % 13 == 0, 1.0).otherwise(0.0)}))
+    now = tickets(spark, sf_dir).groupBy("perf_dt").agg(
+        F.sum("paid_amt").alias("revenue"), (F.count("*") * 25.0).alias("goal"),
+        flex.cast("double").alias("_flex"), subs.cast("double").alias("_subs")).withColumn("_day", F.to_date("perf_dt"))
+    before = now.select(F.col("_day").alias("_then"), F.col("_flex").alias("_flex_then"), F.col("_subs").alias("_subs_then"))
+    rows = now.join(before, F.add_months("_day", -12) == F.col("_then"), "left")
+    day = F.dayofyear("perf_dt")
+    return rows.select(
+        "perf_dt", "revenue", "goal", F.coalesce("_flex_then", F.lit(0.0)).alias("flex_sold"),
+        F.coalesce("_subs_then", F.lit(0.0)).alias("lag_subs_1yr"), c.fiscal_year(F.col("perf_dt")).alias("fy"),
+        F.month("perf_dt").cast("string").alias("month"), (day % 4).cast("string").alias("composer_tier"),
+        (F.dayofmonth("perf_dt") % 3).cast("string").alias("guest_artist_tier"),
+        F.when(day % 5 == 0, 1.0).otherwise(0.0).alias("guest_violin"),
+        F.when(day % 7 == 0, 1.0).otherwise(0.0).alias("guest_piano"),
+        F.when(day % 11 == 0, 1.0).otherwise(0.0).alias("opera"), (day % 9).cast("double").alias("number_of_words"),
+        F.when(day % 6 == 0, 1.0).otherwise(0.0).alias("word_plays"),
+        F.when(day % 13 == 0, 1.0).otherwise(0.0).alias("connections"))

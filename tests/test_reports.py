@@ -198,3 +198,12 @@ def test_seat_finder_caps_on_all_tickets(tickets, table):
     names = table([(1, "Ann"), (2, "Bob")], "customer_no bigint, display_name string")
     got = rows(audience.seat_finder(audience.one_day(seats, "2019-01-31"), seats, names, audience.AudienceRules(2019, 1)))
     assert got == [{"summary_cust_id": 1, "summary_cust_name": "Ann", "seat": "A   1 - 7"}]
+
+
+def test_concert_months_use_the_weekday_of_the_hall(tickets):
+    # 03:00 UTC is the evening before in the hall: these are a Thursday, a Friday and a Saturday there.
+    seats = tickets([(1, "Flex", 10, "2019-02-01 03:00:00"), (1, "Flex", 20, "2019-02-02 03:00:00"),
+                     (1, "Flex", 30, "2019-02-03 03:00:00")])
+    (row,) = rows(concert.revenue_monthly(seats, "2019-02-28"))
+    assert (row["thursday"], row["friday"], row["saturday"]) == (10, 20, 30)
+    assert rows(concert.revenue_monthly(seats, "2019-02-28", zone="UTC")) == []
