@@ -921,3 +921,19 @@ def donation_csv(s, d):
     D_(s, d).write.csv(path, header=True)
     return (extracts.load_donations(s, path).groupBy("cont_fy")
             .agg(F.count("*").alias("gifts"), F.sum("gift_plus_pledge").alias("given")))
+
+
+@query("S14")
+def grouped_report_sheets(s, d):
+    """One sheet per weekday, read back together."""
+    path = scratch_folder(s, "sheets")
+    extracts.save_grouped_report(weekday.revenue(T_(s, d)), path, "day_of_week")
+    return s.read.parquet(path).select(F.col("day_of_week").cast("string"), "rev")
+
+
+@query("S7")
+def performance_names(s, d):
+    """Performance names as a file, through their loader."""
+    path = scratch_folder(s, "names")
+    views.performances(s, d).withColumn("perf_dt", F.date_format("perf_dt", "yyyy-MM-dd HH:mm:ss")).write.csv(path, header=True)
+    return extracts.read_performances(s, path)

@@ -805,3 +805,5 @@ put("birth_year_extract", "SELECT summary_cust_id AS customer_no, CAST(key_value
 put("donation_csv", """
 SELECT cont_fy, count(*) AS gifts, sum(gift_plus_pledge) AS given FROM donations GROUP BY 1""", t.DONATIONS,
     rounded="given")
+put("grouped_report_sheets", "SELECT day_of_week, sum(paid_amt) AS rev FROM sold GROUP BY 1", *N, rounded="rev")
+put("performance_names", "SELECT strftime(perf_dt, '%Y-%m-%d %H:%M:%S') AS perf_dt, name FROM performances", t.PERFORMANCES)

@@ -8,7 +8,8 @@ from houselights import catalog
 from houselights.plans import audience
 from houselights.sources import views
 
-LAZY = sorted(set(catalog.QUERIES) - {"season_store", "extract_scan", "report_sheets", "birth_year_extract", "donation_csv"})
+LAZY = sorted(set(catalog.QUERIES) - {"season_store", "extract_scan", "report_sheets", "birth_year_extract", "donation_csv",
+                                       "grouped_report_sheets", "performance_names"})
 
 
 def plan_text(df):
