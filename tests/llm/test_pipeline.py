@@ -2,9 +2,12 @@ import duckdb
 import pytest
 
 import corpus_pipeline as c
-from houselights.llm import decontaminate, histogram_shards, licence_rules, quality, queries, simhash_index
+from houselights.llm import histogram_shards, licence_rules, mixing, quality, queries
 from houselights.llm.common import table
+from test_decontaminate import slow as slow_hits
+from test_histogram_shards import slow as slow_shards
 from test_licence_rules import CASES
+from test_simhash_index import slow_components, slow_fingerprint
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,24 +17,36 @@ def test_stages_in_order():
         "quality classifier", "near duplicates", "benchmark decontamination", "source mixing", "sharding"]
 
 
-def test_pipeline_matches_its_operators(spark):
+def test_pipeline_matches_brute_force(spark):
     docs = table(spark, SF_DIR, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
     model = quality.train(docs, table(spark, SF_DIR, "labels"))
-    left = {i for i, t in text.items() if model.score(t.encode()) >= 0.3}
-    groups = simhash_index.near_duplicates(docs.where(docs.doc_id.isin(list(left)))).collect()
-    left = {min(g.doc_id for g in groups if g.component_id == x) for x in {g.component_id for g in groups}}
-    dirty = {r.doc_id for r in decontaminate.digest(decontaminate.hits(docs, table(spark, SF_DIR, "benchmark")))
-             .where("contaminated").collect()}
+    left = sorted(i for i, t in text.items() if model.score(t.encode()) >= 0.3)
+    roots = slow_components([slow_fingerprint(text[i]) for i in left])
+    left = sorted({min(i for i, r in zip(left, roots) if r == root) for root in set(roots)})
+    items = [(r.item_id, r.text) for r in table(spark, SF_DIR, "benchmark").collect()]
+    left = [i for i, *_, dirty in slow_hits([(i, text[i]) for i in left], items) if not dirty]
     got = c.run(spark, SF_DIR).collect()
-    assert {r.doc_id for r in got} == left - dirty
+    assert {r.doc_id for r in got} == set(left) and 0 < len(left) < len(text)
     assert all(r.text == text[r.doc_id] for r in got)
-    uses = {}
-    for r in got:
-        uses[r.doc_id] = uses.get(r.doc_id, 0) + 1
+    # Mixing: the budget of each source, with every document once or twice.
+    source = {r.doc_id: r.source for r in docs.collect()}
+    size = {i: len(text[i].encode().split()) for i in left}
+    totals = {s: sum(size[i] for i in left if source[i] == s) for s in {source[i] for i in left}}
+    names = sorted(totals)
+    exponent = mixing.exponent_for([totals[s] for s in names], mixing.Target(max_repeats=mixing.MAX_REPEATS))
+    shares = [(totals[s] / sum(totals.values())) ** exponent for s in names]
+    budget = max(totals[s] / w for s, w in zip(names, shares))
+    for s, w in zip(names, shares):
+        used = sum(size[r.doc_id] for r in got if r.source == s)
+        assert abs(used - w * budget) <= max(size.values())
+    uses = {i: sum(r.doc_id == i for r in got) for i in left}
     assert set(uses.values()) <= {1, 2}
-    for shard in range(16):
-        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    # Sharding: repeated rows of a document share a shard.
+    want, slots = slow_shards([(i, text[i]) for i in left for _ in range(uses[i])], 16)
+    assert sorted((r.doc_id, r["size"], r.text_crc32, r.shard) for r in got) == sorted(want)
+    for shard, ids in slots.items():
+        assert [r.doc_id for r in sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)] == ids
 
 
 @pytest.mark.parametrize("name,stage", c.STAGES)
