@@ -1,8 +1,8 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-A text is unwrapped (comment marks off, lines joined that go on in small letters or all in capitals), cut into sentences, and each sentence is
-normalised to small ASCII letters, digits and single blanks. Known licence sentences get their identifiers, other sentences
-vanish, and the ordered rules are matched against the identifier sequence: each rule takes its matches out before the next
+A text is unwrapped (comment marks off) and normalised to small ASCII letters, digits and single blanks, with marks where
+sentences and lines end. A known licence sentence may go on over any ends of lines and semicolons inside a paragraph, and it
+must begin and end at a mark. Known sentences get their identifiers, other text vanishes, and the ordered rules are matched against the identifier sequence: each rule takes its matches out before the next
 one looks. Everything happens inside the row: no exchange, no join, and a document with many sentences stays one row.
 
 Texts without any word that all known sentences share a choice of (`SIGNS`) are not cut at all; this changes no result.
@@ -116,7 +116,8 @@ RULES = (
 SIGNS = ("licen", "copyright", "warrant", "permission", "redistribut", "reserved", "unencumbered", "mpl")
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# (pattern, replacement), one after the other; then line feeds separate sentences.
+# (pattern, replacement), one after the other. The SQL statement cuts sentences by all of them and then at line feeds, so it
+# misses those that go on over other ends of lines.
 _UNWRAP = (
     (r"\r\n?", "\n"),
     (r"(^|\n)[ \t]*(//+|#+|[*]+|--+|;+)[ \t]*", "\n"),
@@ -127,12 +128,23 @@ _UNWRAP = (
 )
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text."""
-    for pattern, replacement in _UNWRAP:
+# Marks in a normalised text: a blank line or a full stop ends a sentence; a sentence may go on over other ends of lines.
+_END, _BREAK = "\x01", "\x02"
+_GAP = f"[ {_BREAK}]+"
+#: Any known sentence that fills the space between two marks, the longest first.
+_KNOWN = f"(?<=[{_END}{_BREAK}])(?:" + "|".join(
+    x.replace(" ", _GAP) for x in sorted(SENTENCES, key=len, reverse=True)) + f")(?=[{_END}{_BREAK}])"
+
+
+def marked(text: Column) -> Column:
+    """A text in small ASCII letters, digits, single blanks and marks."""
+    text = F.translate(text, _END + _BREAK, "  ")
+    for pattern, replacement in _UNWRAP[:-1]:
         text = F.regexp_replace(text, pattern, replacement)
-    return F.transform(F.split(F.translate(text, _CAPITALS, _SMALL), "\n"),
-                       lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+    text = F.regexp_replace(text, r"[.!?][ \t\n]+|\n[ \t]*(?=\n)", _END)
+    text = F.translate(F.regexp_replace(text, r";[ \t\n]+|\n", _BREAK), _CAPITALS, _SMALL)
+    text = F.concat(F.lit(_END), F.regexp_replace(text, f"[^a-z0-9{_END}{_BREAK}]+", " "), F.lit(_END))
+    return F.regexp_replace(text, f" ?([{_END}{_BREAK}]) ?", "$1")
 
 
 def identifiers(text: Column) -> Column:
@@ -141,7 +153,8 @@ def identifiers(text: Column) -> Column:
     signs = F.lit(False)
     for sign in SIGNS:
         signs = signs | F.translate(text, _CAPITALS, _SMALL).contains(sign)
-    found = F.filter(F.transform(sentences(text), lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    found = F.transform(F.regexp_extract_all(marked(text), F.lit(_KNOWN), F.lit(0)),
+                        lambda x: F.try_element_at(known, F.regexp_replace(x, _GAP, " ")))
     return F.coalesce(F.when(signs, found), F.array().cast("array<string>"))
 
 
