@@ -237,10 +237,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, hot
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The input rows without near duplicates: of every component the document with the least id; of repeated rows one."""
-    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull()}
+    """The input rows without near duplicates: of every component the row with the least id and text hash, null ids last;
+    of repeated rows one."""
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_text": F.xxhash64("text")}
     named = [c.alias(n) for n, c in key.items()]
-    stay = near_duplicates(docs, **options).where("doc_id <=> component_id").select(*named).distinct()
-    kept = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_text"), *named).join(stay, list(key), "left_semi")
-    # The join has dealt rows by id, so repeated rows meet without a further exchange.
-    return kept.dropDuplicates([*key, "_text"]).select("_row.*")
+    # Components named by text hashes, which are never null, keep apart what null and repeated ids would mix up.
+    parts = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"), **options).select(
+        F.col("doc_id").alias("_text"), "component_id").distinct()
+    least = docs.select(*named).groupBy("_text").agg(F.min(F.struct("_no_id", "_id")).alias("least"))
+    stay = least.join(parts, "_text").groupBy("component_id").agg(
+        F.min(F.struct("least._no_id", "least._id", "_text")).alias("least")).select("least.*")
+    kept = docs.select(F.struct("*").alias("_row"), *named).join(stay, list(key), "left_semi")
+    # The join has dealt rows by key, so repeated rows meet without a further exchange.
+    return kept.dropDuplicates(list(key)).select("_row.*")
