@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from houselights.llm import decontaminate, histogram_shards, mixing, near_copies, quality
+from houselights.llm import decontaminate, histogram_shards, mixing, quality, simhash_index
 from houselights.llm.common import table
 from houselights.session import scratch_folder
 
@@ -17,8 +17,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of near copies (SimHash of three-word shingles, 3 bits or fewer apart) stays."""
+    return simhash_index.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
