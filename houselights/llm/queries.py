@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from houselights.llm import (
-    decontaminate, histogram_shards, licence_rules, line_rules, mixing, personal_data, quality, simhash_index,
+    decontaminate, histogram_shards, licence_rules, line_rules, mixing, personal_data, planes, quality, simhash_index,
     suffix_dedup, token_counts)
 from houselights.llm.common import table
+from houselights.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -73,3 +75,9 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op11_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = planes.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return planes.round_trip(table(spark, sf_dir, "documents"), scratch_folder(spark, "planes"), vocabulary)
