@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from houselights.llm import (
-    decontaminate, histogram_shards, licence_rules, line_rules, mixing, personal_data, planes, quality, simhash_index,
-    suffix_dedup, token_counts)
+    decontaminate, histogram_shards, licence_rules, line_rules, mixing, personal_data, planes, quality, resample,
+    simhash_index, suffix_dedup, token_counts)
 from houselights.llm.common import table
 from houselights.session import scratch_folder
 
@@ -81,3 +81,8 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = planes.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     return planes.round_trip(table(spark, sf_dir, "documents"), scratch_folder(spark, "planes"), vocabulary)
+
+
+@query(resample.ORACLE_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
