@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from houselights.llm import (
-    decontaminate, histogram_shards, licence_rules, line_rules, mixing, personal_data, planes, quality, resample,
+    decontaminate, dual_tree, histogram_shards, licence_rules, line_rules, mixing, personal_data, planes, quality, resample,
     simhash_index, suffix_dedup, token_counts)
 from houselights.llm.common import table
 from houselights.session import scratch_folder
@@ -86,3 +86,8 @@ def op11_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(resample.ORACLE_SQL)
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(dual_tree.ORACLE_SQL)
+def op13_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.digest(table(spark, sf_dir, "embeddings"))

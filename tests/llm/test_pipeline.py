@@ -57,7 +57,7 @@ def test_stages_take_odd_rows_and_empty_tables(spark, edge, nothing, name, stage
         assert set(c.COLUMNS) <= set(out.columns)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op13_dual_tree_codes"}))
 def test_queries_return_every_document(spark, name):
     out = queries.QUERIES[name](spark, SF_DIR)
     ids = {r.doc_id for r in out.select("doc_id").collect()}
@@ -68,7 +68,7 @@ def test_queries_return_every_document(spark, name):
 def test_statements_agree(spark, name):
     got = queries.QUERIES[name](spark, SF_DIR).toPandas()
     connection = duckdb.connect()
-    for x in ("documents", "benchmark"):
+    for x in ("documents", "benchmark", "embeddings"):
         connection.sql(f"CREATE VIEW {x} AS SELECT * FROM '{SF_DIR}/{x}.parquet'")
     want = connection.sql(queries.STATEMENTS[name]).df()
     columns = sorted(got.columns)
