@@ -9,8 +9,8 @@ reader of some positions fetches the blocks that hold them and no others.
 File names are never used twice. The table that `write` returns names the files of the tasks that finished, so what a lost
 executor leaves half written is not read. Files go through `pyarrow.fs`: a local or mounted folder, S3, GCS or HDFS.
 
-Encoding is that of the `tokenizers` library over whole texts. No token of a lower-casing word vocabulary crosses white
-space, so each distinct word is encoded once and its ids are joined.
+Encoding is that of the `tokenizers` library over whole texts. A vocabulary that drops white space merges letters inside
+pre-tokens alone, so each distinct pre-token is encoded once and its ids are joined.
 
 Defined results: null and empty texts have the end id alone; null document ids come first; rows with one id stand in order
 of a hash of their text, and equal rows in any order, each with its own place; an empty table writes no file and returns
@@ -23,8 +23,9 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate
@@ -45,15 +46,29 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 25
 LEVEL = 3
 _MAGIC = b"HLPLANE1"
-_MEMO = 300_000
-#: Words longer than this are encoded each time they occur.
-_MEMO_BYTES = 64
+_KNOWN = 300_000
+#: Keys longer than this are encoded each time they occur.
+_KNOWN_LENGTH = 64
 
-# How that pre-tokenizer cuts lower-cased ASCII words.
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(rb"[\x21-\x7e]+")
+# How that pre-tokenizer cuts lower-cased words of ASCII and the Latin-1 letters, which its normalizer only
+# lowers.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF\x09-\x0D\x20]+")
+_NOT_PLAIN = re.compile(r"[^\x09-\x0D\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
+_BLANK = re.compile(r"[\x09-\x0D\x20]")
+_SLICE = 1 << 18
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible ones for themselves, others from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+#: What a Latin-1 letter becomes when its two bytes are spelt in such letters.
+_SPELT = {c: "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
 # The steps of a vocabulary that drops white space and looks at nothing beyond it.
 _WORDWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -65,51 +80,59 @@ _WORDWISE = {
 
 
 class TextEncoder:
-    """Ids of texts as little-endian 32-bit numbers: by way of distinct words where the vocabulary's steps are known to
-    keep to them, else text by text."""
+    """Ids of texts as little-endian 32-bit numbers: by way of distinct pre-tokens where the vocabulary's steps are
+    known to keep to them, else text by text."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_str(vocabulary)
         steps = json.loads(vocabulary)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [x.content.encode() for x in added]
+        self.special = [x.content for x in added]
         self.wordwise = all(steps[k] == v for k, v in _WORDWISE.items()) and steps["truncation"] is steps["padding"] is None and all(
             x and len(x.split()) == 1 for x in self.special) and not any(x.lstrip or x.rstrip for x in added)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # Two generations: what the older one alone holds goes when the younger one is full.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        """A pre-token of printable ASCII needs the merges alone."""
-        found = self.parts.get(part)
-        if found is None:
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-            if len(part) <= _MEMO_BYTES:
-                self.parts[part] = found
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        if _PLAIN.fullmatch(word) and not any(x in word for x in self.special):
-            return b"".join(map(self._part, _ASCII_PARTS.findall(word.decode().lower())))
-        return self._whole(word)
-
-    def _whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        """A pre-token of plain letters or signs needs the merges alone."""
+        spelt = part if part.isascii() else part.translate(_SPELT)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def _joined(self, keys: list[str], encode: Callable[[str], bytes]) -> bytes:
+        """The ids of all keys in a row, each distinct key encoded once."""
+        if len(self.known) > _KNOWN:
+            self.known, self.older = {}, self.known
+        known, long = self.known, {}
+        for key in set(keys).difference(known):
+            (known if len(key) <= _KNOWN_LENGTH else long)[key] = self.older.get(key) or encode(key)
+        if long:
+            return b"".join(long[x] if x in long else known[x] for x in keys)
+        return b"".join(map(known.__getitem__, keys))
 
     def encode(self, text: bytes | None) -> bytes:
+        text = (text or b"").decode(errors="replace")
         if not self.wordwise:
-            return self._whole(text or b"")
-        words = (text or b"").split()
-        if len(self.words) > _MEMO:
-            self.words.clear()
-        if len(self.parts) > _MEMO:
-            self.parts.clear()
-        known = self.words
-        long = {}
-        for word in set(words).difference(known):
-            (known if len(word) <= _MEMO_BYTES else long)[word] = self._word(word)
-        if long:
-            return b"".join(long[w] if w in long else known[w] for w in words)
-        return b"".join(map(known.__getitem__, words))
+            return self._whole(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = _BLANK.search(text, at + _SLICE)
+            piece = text[at:cut.start() if cut else len(text)]
+            at += len(piece)
+            if _NOT_PLAIN.search(piece) or any(x in piece for x in self.special):
+                for word in piece.encode().split():
+                    word = word.decode()
+                    if _NOT_PLAIN.search(word) or any(x in word for x in self.special):
+                        # The blank keeps whole words apart from pre-tokens.
+                        out.append(self._joined([" " + word], self._whole))
+                    else:
+                        out.append(self._joined(_PARTS.findall(word.lower()), self._part))
+            else:
+                out.append(self._joined(_PARTS.findall(piece.lower()), self._part))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
