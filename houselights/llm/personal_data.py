@@ -91,6 +91,12 @@ We met @ the station at 8 pm.
 a1 b2 c3 d4 e5
 123456789012345678901234567890
 Total 12 34 56 78
+and the 4929418840672753 and of the
+of 5731080387325255 in the
+it was 378282246310005 then, or so.
+the 6011000990139424 of a
+a 4000056655665556 in which
+row 3530111333300000 of the table
 """
 
 #: Words with a meaning of their own; all other plain words are alike.
@@ -136,7 +142,9 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [("email", a, b) for a, b in emails(text)]
     if any(map(text.__contains__, "0123456789")):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+            # Leading zeros are cut first: a number of thousands of digits cannot be read as one.
+            parts = [x.lstrip("0") or "0" for x in m.group().split(".")]
+            if all(len(x) <= 3 and int(x) <= 255 for x in parts):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = _digits(m.group())
@@ -152,9 +160,12 @@ def _class(x: str) -> str:
     return "d" if "0" <= x <= "9" else "X" if x.isupper() else "x" if x.isalpha() else x if x in "@.-+()[]:/=\"," else "?"
 
 
-@lru_cache(maxsize=1 << 16)
 def shape(word: str) -> tuple:
     """Collapsed shape (at most 12 classes), digits, frame and meaning of a word."""
+    return _known_shape(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> tuple:
     core = word.strip(".,;:!?\"'")
     runs = []
     for x in map(_class, core):
@@ -168,6 +179,7 @@ def shape(word: str) -> tuple:
             core[:1] in "([" and core[-1:] in ")]")
 
 
+_known_shape = lru_cache(maxsize=1 << 16)(_shape)
 _EDGE = ("edge", 0, "", "", "", False)
 
 
@@ -251,9 +263,10 @@ def trimmed(words: list[tuple[str, int, int]]) -> tuple[int, int]:
 
 def plausible(kind: str, text: str) -> bool:
     """What any span of its kind must have."""
-    digits = len(_digits(text))
+    number = _digits(text)
+    digits = len(number)
     return {"email": bool(re.search(r"@|[\[(]at[\])]", text)) and bool(re.search(r"\.|[\[(]dot[\])]", text)),
-            "ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+            "ip": 4 <= digits <= 12, "card": 13 <= digits <= 19 and luhn(number), "phone": 7 <= digits <= 15}[kind]
 
 
 def spans(texts: list[str], chain: Chain) -> list[tuple[list[Span], list[Span]]]:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from houselights.llm import personal_data as p
 
@@ -10,7 +11,7 @@ from houselights.llm import personal_data as p
 def slow(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
-            if all(int(x) <= 255 for x in m.group().split("."))]
+            if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub("[^0-9]", "", m.group())
         if 14 <= len(digits) <= 19 and p.luhn(digits):
@@ -79,3 +80,38 @@ def test_edges(edge, nothing):
     assert len(rows) == edge.count()
     assert {(r.spans, r.base_sha256) for r in rows if r.doc_id in (3, 4, 5)} == {("", hashlib.sha256(b"").hexdigest())}
     assert p.find(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "0" * 5000 + ".1.1.1", "1.2.3." + "0" * 5000 + "4", "9" * 5000 + ".1.1.1", "+" + "1" * 5000, "5" * 5000, "1 " * 5000,
+    "a@" + "0" * 5000 + ".example"])
+def test_long_runs_of_digits(text):
+    assert p.base_spans(text) == slow(text)
+
+
+def test_megabytes_of_digits():
+    for text in ("7" * 10_000_000, "8" * 2_000_000 + ".1.1.1", "+3" + "4" * 2_000_000, "mail " + "1" * 2_000_000 + "@x.y"):
+        (base, added), = p.spans([text], p.field())
+        assert base == ([("email", 5, len(text))] if "@" in text else []) and added == []
+
+
+#: Sentences that the field has not seen, with what a reader would mark.
+UNSEEN = [
+    ("Drop a line to peter [at] garden [dot] example today.", ["peter [at] garden [dot] example"]),
+    ("Contact lena (at) studio (dot) example for tickets.", ["lena (at) studio (dot) example"]),
+    ("Call (303) 555-0112 before five.", ["(303) 555-0112"]),
+    ("Phone 415-555-0133 or come in.", ["415-555-0133"]),
+    ("tel: 020 7946 0777", ["020 7946 0777"]),
+    ("mobile 07700 900456 is hers.", ["07700 900456"]),
+    ("The words of 5731080387325255 and the rest.", []), ("and the 4485275742308327 in a line", []),
+    ("It was 1789, then 1815 and 1848.", []), ("Chapter 7 has 120 pages.", []), ("Version 10.2 needs 64 MB.", []),
+    ("room 12, floor 9, bed 3", []), ("The price rose by 3.75 percent in 2012.", []), ("ISBN 978-0-306-40615-7 is out.", []),
+    ("@stage left, they wait", []), ("About 12 000 people came, 4 500 of them late.", [])]
+
+
+def test_precision_and_recall_on_unseen_sentences():
+    found = [{text[a:b] for _, a, b in added} for (text, _), (_, added) in
+             zip(UNSEEN, p.spans([t for t, _ in UNSEEN], p.field()))]
+    right = sum(len(set(want) & got) for (_, want), got in zip(UNSEEN, found))
+    assert right == sum(map(len, found)), [f for f in found if f]
+    assert right >= 0.8 * sum(len(want) for _, want in UNSEEN)
