@@ -32,9 +32,8 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
-LEAF = 16
+LEAF = 32
 BLOCK = 2048
-_PAIRS = 4096
 #: A label with more than one of so many rows is joined by broadcast; there are fewer such labels than this.
 HOT_SHARE = 1024
 
@@ -128,26 +127,20 @@ def assign(parts: Tree, entries: Tree, index: np.ndarray
 
 def _settle(parts: Tree, entries: Tree, index: np.ndarray, query: np.ndarray, entry: np.ndarray
             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of open leaves, the index of their nearest entry and its distance, some pairs at a time."""
-    found = []
-    bounds, n = parts.bounds[-1], len(index)
+    """Rows of open leaves, the index of their nearest entry and its distance: one product of whole numbers for each leaf."""
     head = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
-    ends = np.r_[head[1:], len(query)]
-    at = 0
-    while at < len(head):
-        to = max(at + 1, int(np.searchsorted(ends, head[at] + _PAIRS, side="right")))
-        pairs = slice(head[at], ends[to - 1])
-        rows = bounds[query[pairs]][:, None] + np.arange(int(np.diff(bounds).max()))
-        inside = rows < bounds[query[pairs] + 1][:, None]
-        rows = np.where(inside, rows, 0)
-        away = parts.points[rows] - entries.points[entry[pairs]][:, None, :]
-        key = np.where(inside, (away * away).sum(axis=2) * n + index[entry[pairs]][:, None], np.iinfo(np.int64).max)
-        first = head[at:to] - head[at]
-        best = np.minimum.reduceat(key, first)
-        found.append((rows[first][inside[first]], best[inside[first]]))
-        at = to
-    rows, best = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    return rows, best % n, best // n
+    reach = max(np.abs(parts.points).max(initial=0), np.abs(entries.points).max(initial=0))
+    # Doubles hold whole numbers below 2**53 exactly, and their products are faster.
+    kind = np.float64 if 4 * max(1, parts.points.shape[1]) * int(reach) ** 2 < 1 << 53 else np.int64
+    points, books = parts.points.astype(kind), entries.points.astype(kind)
+    square, size = (points * points).sum(axis=1), (books * books).sum(axis=1)
+    bounds, found, n = parts.bounds[-1], [], len(index)
+    for start, end in zip(head, np.r_[head[1:], len(query)]):
+        a, b, some = bounds[query[start]], bounds[query[start] + 1], entry[start:end]
+        away = square[a:b, None] + size[some] - 2 * (points[a:b] @ books[some].T)
+        best = (away.astype(np.int64) * n + index[some]).min(axis=1)
+        found.append((np.arange(a, b), best % n, best // n))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def nearest(parts: Tree, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
