@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from houselights import schemas
 from houselights.functions import columns as c
-from houselights.models import abtest, basket, regression, series
+from houselights.models import abtest, basket, orders, regression, series
 from houselights.operators import keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
 from houselights.session import materialise, scratch_folder
@@ -647,6 +647,16 @@ def autoregressive_forecast(s, d):
     return series.autoregressive_forecast(_series(s, d))
 
 
+@query("T7", digits=4)
+def auto_order_choice(s, d):
+    return orders.choose_orders(_series(s, d))
+
+
+@query("T7", digits=4)
+def auto_order_forecast(s, d):
+    return orders.auto_order_forecast(_series(s, d))
+
+
 @query("M6 F15")
 def revenue_trend_cubic(s, d):
     return series.polynomial_trend(_series(s, d), 3)

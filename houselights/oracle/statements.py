@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from houselights.oracle import fits
+from houselights.oracle import fits, orders
 from houselights.oracle import tables as t
 
 STATEMENTS: dict[str, str] = {}
@@ -553,11 +553,7 @@ centred AS (SELECT series_id, i, r - avg(r) OVER (PARTITION BY series_id) AS e F
 put("seasonal_view", "SELECT series_id, CAST(month(month) AS BIGINT) AS month_of_year, " + ", ".join(
     f'max(y) FILTER (year(month) = {y}) AS "{y}"' for y in range(1995, 2002)) + " FROM series GROUP BY 1, 2", *S,
     rounded=" ".join(f'"{y}"' for y in range(1995, 2002)))
-put("decomposition", """
-SELECT series_id, CAST(month AS VARCHAR) AS month, y, trend, effect - centre AS seasonal,
-       y - trend - (effect - centre) AS remainder
-FROM trends JOIN effects USING (series_id, m) JOIN (SELECT series_id, avg(effect) AS centre FROM effects GROUP BY 1)
-  USING (series_id)""", *S, """
+DECOMPOSED = """
 indexed AS (SELECT *, month(month) AS m, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i,
                    count(*) OVER (PARTITION BY series_id) AS n FROM series),
 trends AS (
@@ -566,7 +562,12 @@ trends AS (
               THEN sum(b.y * CASE WHEN abs(a.i - b.i) = 6 THEN 0.5 ELSE 1 END) / 12 END AS trend
   FROM indexed a JOIN indexed b ON a.series_id = b.series_id AND abs(a.i - b.i) <= 6
   GROUP BY a.series_id, a.month, a.m, a.y, a.i, a.n),
-effects AS (SELECT series_id, m, avg(y - trend) AS effect FROM trends GROUP BY 1, 2)""",
+effects AS (SELECT series_id, m, avg(y - trend) AS effect FROM trends GROUP BY 1, 2)"""
+put("decomposition", """
+SELECT series_id, CAST(month AS VARCHAR) AS month, y, trend, effect - centre AS seasonal,
+       y - trend - (effect - centre) AS remainder
+FROM trends JOIN effects USING (series_id, m) JOIN (SELECT series_id, avg(effect) AS centre FROM effects GROUP BY 1)
+  USING (series_id)""", *S, DECOMPOSED,
     rounded="y trend seasonal remainder")
 put("simple_smoothing", """
 SELECT series_id, sum(y * CASE WHEN i = 1 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - i) END) AS level
@@ -597,6 +598,17 @@ SELECT series_id, CAST(month AS VARCHAR) AS month, round(y, 4) AS forecast,
        round(y + 1.959964 * residual_sd * sqrt(list_sum(list_transform(psi[1:h], lambda w: w * w))), 4) AS high
 FROM steps JOIN fit USING (series_id) WHERE h > 0"""
 
+CHOICE = ",".join((*S, DECOMPOSED, *orders.choice()))
+STATEMENTS["auto_order_choice"] = f"""WITH RECURSIVE {CHOICE}
+SELECT series_id, orders, constant, round(strength, 4) AS seasonal_strength, round(aicc, 4) AS aicc,
+       round(sqrt(variance) * spread, 4) AS residual_sd FROM best"""
+STATEMENTS["auto_order_forecast"] = f"""WITH RECURSIVE {CHOICE},{",".join(orders.forecasts())}
+SELECT a.series_id, CAST(CAST(last_month + to_months(CAST(a.h AS INTEGER)) AS DATE) AS VARCHAR) AS month, orders,
+       round(a.y[-1], 4) AS forecast, round(a.y[-1] - half, 4) AS low, round(a.y[-1] + half, 4) AS high
+FROM (SELECT *, 1.959964 * sqrt(variance) * spread * sqrt(list_sum(list_transform(py[15:], lambda x: x * x))) AS half
+      FROM ahead JOIN best USING (series_id)) a
+JOIN (SELECT series_id, max(month) AS last_month FROM series GROUP BY 1) USING (series_id) WHERE a.h > 0"""
+
 # --- regressions ---------------------------------------------------------------------------------------------
 
 VIEWERS = """
