@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from houselights import schemas
 from houselights.functions import columns as c
-from houselights.models import abtest, basket, orders, regression, series
+from houselights.models import abtest, basket, orders, regression, series, smoothing
 from houselights.operators import keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
 from houselights.session import materialise, scratch_folder
@@ -637,6 +637,16 @@ def smoothing_accuracy(s, d):
     return series.smoothing_accuracy(_series(s, d))
 
 
+@query("T6", digits=4)
+def smoothing_choice(s, d):
+    return smoothing.choose_smoothing(_series(s, d))
+
+
+@query("T6", digits=4)
+def smoothing_forecast(s, d):
+    return smoothing.smoothing_forecast(_series(s, d))
+
+
 @query("T7", digits=4)
 def seasonal_autoregression(s, d):
     return series.seasonal_autoregression(_series(s, d))

@@ -228,11 +228,15 @@ def exponential_smoothing(series: DataFrame, horizon: int = 12, alpha: float = 0
 
 
 def smoothing_accuracy(series: DataFrame) -> DataFrame:
-    """Errors of the one-step forecasts of triple smoothing: count, mean, root mean square and mean size."""
+    """Errors of the one-step forecasts of triple smoothing: count, mean, root mean square and mean size. A series under two
+    years keeps its row, without errors."""
     errors = F.col("n") - SEASON
-    return _triple_smoothing(series).select(
+    triple = _triple_smoothing(series).select(
         "series_id", errors.cast("bigint").alias("n"), (F.col("se") / errors).alias("me"),
         F.sqrt(F.col("sse") / errors).alias("rmse"), (F.col("sae") / errors).alias("mae"))
+    short = series.groupBy("series_id").count().where(F.col("count") < 2 * SEASON)
+    unknown = F.lit(None).cast("double")
+    return triple.union(short.select("series_id", F.lit(0).cast("bigint"), unknown, unknown, unknown))
 
 
 def t_quantile_975(freedom: Column) -> Column:

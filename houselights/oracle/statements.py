@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from houselights.oracle import fits, orders
+from houselights.oracle import fits, orders, smoothing
 from houselights.oracle import tables as t
 
 STATEMENTS: dict[str, str] = {}
@@ -609,6 +609,17 @@ FROM (SELECT *, 1.959964 * sqrt(variance) * spread * sqrt(list_sum(list_transfor
       FROM ahead JOIN best USING (series_id)) a
 JOIN (SELECT series_id, max(month) AS last_month FROM series GROUP BY 1) USING (series_id) WHERE a.h > 0"""
 
+FORMS = ",".join((*S, *smoothing.choice()))
+STATEMENTS["smoothing_choice"] = f"""WITH RECURSIVE {FORMS}
+SELECT series_id, form, round(a, 4) AS alpha, round(CASE WHEN trend > 0 THEN a * b END, 4) AS beta,
+       round(CASE WHEN season > 0 THEN (1 - a) * g END, 4) AS gamma, round(CASE WHEN trend = 2 THEN phi END, 4) AS phi,
+       round(aicc, 4) AS aicc, CAST(n AS BIGINT) AS n, round(se / n, 4) AS me, round(sqrt(sse / n), 4) AS rmse,
+       round(sae / n, 4) AS mae, round(100 * sape / n, 4) AS mape FROM chosen"""
+STATEMENTS["smoothing_forecast"] = f"""WITH RECURSIVE {FORMS},{",".join(smoothing.forecasts())}
+SELECT series_id, CAST(CAST(last_month + to_months(CAST(h AS INTEGER)) AS DATE) AS VARCHAR) AS month, form,
+       round(forecast, 4) AS forecast, round(forecast - half, 4) AS low, round(forecast + half, 4) AS high
+FROM spreads JOIN (SELECT series_id, last_month FROM sm) USING (series_id)"""
+
 # --- regressions ---------------------------------------------------------------------------------------------
 
 VIEWERS = """
