@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from houselights import schemas
 from houselights.functions import columns as c
 from houselights.models import abtest, basket, orders, regression, series, smoothing
+from houselights.models import decomposition as decomposition_
 from houselights.operators import keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
 from houselights.session import materialise, scratch_folder
@@ -622,6 +623,16 @@ def decomposition(s, d):
     return series.decompose(_series(s, d))
 
 
+@query("T5")
+def local_decomposition(s, d):
+    return decomposition_.local_decomposition(_series(s, d))
+
+
+@query("T5")
+def robust_decomposition(s, d):
+    return decomposition_.local_decomposition(_series(s, d), robust=True)
+
+
 @query("T6", digits=4)
 def simple_smoothing(s, d):
     return series.simple_smoothing(_series(s, d))
@@ -696,6 +707,16 @@ def performance_regression(s, d):
     return regression.coefficients(model, train).drop("p_value")
 
 
+@query("M3", digits=4)
+def aliased_regression(s, d):
+    """A design without full rank: strings are violin and piano together, pairs twice the flexible seats."""
+    train = views.performance_features(s, d).where(F.col("fy") < THIS_FY).select(
+        "revenue", "flex_sold", "guest_violin", "guest_piano", (F.col("guest_violin") + F.col("guest_piano")).alias("strings"),
+        "opera", (2 * F.col("flex_sold")).alias("pairs"))
+    model = regression.fit_linear(train, regression.all_but(train, "revenue"))
+    return regression.coefficient_table(model, train)
+
+
 @query("M3", digits=4)
 def performance_regression_quality(s, d):
     model, train, _ = _revenue_model(s, d)

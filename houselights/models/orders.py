@@ -17,8 +17,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from houselights.functions.arrays import let, places, total
 from houselights.models import series as s
-from houselights.models.sweep import coefficients, cross_products, let, places, swept, total
+from houselights.models.sweep import coefficients, cross_products, swept
 
 SEASON = s.SEASON
 LONG = SEASON + 1

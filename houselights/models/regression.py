@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from houselights.functions.arrays import total
+from houselights.functions.tails import chi_square_tail, t_tail
+from houselights.models.sweep import swept
 from houselights.session import materialise
 
 
@@ -57,19 +60,65 @@ def feature_names(model: PipelineModel, sample: DataFrame) -> list[str]:
 
 
 def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Coefficient table. Standard errors and p-values are missing when the design is rank deficient."""
+    """Coefficient table. Terms that follow from those before them have no estimate, as in `coefficient_table`."""
     fitted = model.stages[-1]
     names = [*feature_names(model, df), "(Intercept)"]
     values = [*[float(v) for v in fitted.coefficients], float(fitted.intercept)]
     try:
         errors, p_values = list(fitted.summary.coefficientStandardErrors), list(fitted.summary.pValues)
     except UnsupportedOperationException:  # the summary of a singular design has none
-        errors, p_values = [None] * len(names), [None] * len(names)
-    rows = [(n, v, None if e is None else float(e), None if p is None else float(p))
-            for n, v, e, p in zip(names, values, errors, p_values)]
+        return coefficient_table(model, df)
+    rows = [(n, v, float(e), float(p)) for n, v, e, p in zip(names, values, errors, p_values)]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, p_value double")
 
 
+def coefficient_table(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """term, estimate, std_error and p_value of least squares on the encoded predictors, whatever their rank.
+
+    Two passes over the rows: means and spreads, then the cross products of the standardised predictors, which partitions
+    add up. The matrix, one number for each pair of predictors, is swept in the order of the formula; a predictor that
+    those before it determine (or a constant one) is aliased: it is named, with NULL estimate and error.
+    """
+    names = feature_names(model, df)
+    p = len(names)
+    rows = materialise(model.stages[0].transform(df).select(
+        vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y")))
+    at = [F.get("x", F.lit(k)) for k in range(p)]
+    first = rows.agg(F.count(F.lit(1)), F.avg("y"), F.array(*map(F.avg, at)), F.array(*map(F.stddev_pop, at))).first()
+    n, centre, means, spreads = first
+    if not n:
+        raise ValueError("no rows to fit")
+    spreads = [x or 1.0 for x in spreads]
+    z = [*[(x - m) / d for x, m, d in zip(at, means, spreads)], F.col("y") - centre]
+    cells = {(i, j): F.sum(z[i] * z[j]) for i in range(p + 1) for j in range(i, p + 1)}
+    # Many sums in one pass: each is a column of its own, put in place afterwards.
+    sums = rows.agg(*[cell.alias(f"c{i}_{j}") for (i, j), cell in cells.items()])
+    matrix = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(p + 1) for j in range(p + 1)])
+    one = sums.select(swept(matrix, p + 1, F.array(*[F.lit(k) for k in range(p)])).alias("s"))
+    freedom = F.lit(n) - F.size("s.done") - 1
+    one = one.withColumn("variance", F.try_divide(F.get("s.a", F.lit((p + 1) ** 2 - 1)), F.when(freedom > 0, freedom)))
+
+    def used(k: int) -> Column:
+        return F.array_contains("s.done", F.lit(k))
+
+    def cell(i: int, j: int) -> Column:
+        return F.get("s.a", F.lit(i * (p + 1) + j))
+
+    estimates = [F.when(used(k), cell(k, p) / spreads[k]) for k in range(p)]
+    errors = [F.when(used(k), F.sqrt(F.col("variance") * cell(k, k)) / spreads[k]) for k in range(p)]
+    intercept = F.lit(centre) - sum((F.coalesce(e, F.lit(0.0)) * m for e, m in zip(estimates, means)), F.lit(0.0))
+    # (m / s)' inverse (m / s) over the swept predictors.
+    ratios = F.array(*[F.when(used(k), F.lit(m / d)).otherwise(0.0) for k, (m, d) in enumerate(zip(means, spreads))])
+    square = total(F.transform(ratios, lambda a, i: a * total(F.transform(
+        ratios, lambda b, j: b * F.when(b == 0, 0.0).otherwise(F.get("s.a", i * (p + 1) + j))))))
+    terms = [F.struct(F.lit("(Intercept)").alias("term"), intercept.alias("estimate"),
+                      F.sqrt(F.col("variance") * (F.lit(1.0 / n) + square)).alias("std_error"))]
+    terms += [F.struct(F.lit(name).alias("term"), e.alias("estimate"), d.alias("std_error"))
+              for name, e, d in zip(names, estimates, errors)]
+    return one.select(freedom.alias("freedom"), F.explode(F.array(*terms)).alias("t")).select("t.*", t_tail(
+        F.try_divide(F.col("t.estimate"), F.col("t.std_error")), F.col("freedom")).alias("p_value"))
+
+
 def quality(model: PipelineModel, df: DataFrame) -> DataFrame:
     summary = model.stages[-1].summary
     row = (float(summary.r2), float(summary.r2adj), float(summary.rootMeanSquaredError), int(summary.numInstances))
@@ -114,43 +163,15 @@ def deviance(scored: DataFrame, outcome: str) -> DataFrame:
     return scored.agg(likelihood.alias("log_likelihood"), (likelihood * -2).alias("deviance"))
 
 
-def chi_square_tail(statistic: float, degrees: int) -> float:
-    """Upper tail probability: the regularised incomplete gamma function by series or continued fraction."""
-    a, x = degrees / 2.0, statistic / 2.0
-    if x <= 0:
-        return 1.0
-    scale = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return 1.0 - total * scale
-    b = x + 1.0 - a
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 1000):
-        step = -i * (i - a)
-        b += 2.0
-        d = 1.0 / (step * d + b)
-        c = b + step / c
-        h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return scale * h
-
-
 def likelihood_ratio(small: PipelineModel, large: PipelineModel, df: DataFrame) -> DataFrame:
     """Did the additional predictors reduce the deviance by more than chance?"""
     a, b = small.stages[-1], large.stages[-1]
     statistic = float(a.summary.deviance - b.summary.deviance)
     degrees = len(b.coefficients) - len(a.coefficients)
-    row = (float(a.summary.deviance), float(b.summary.deviance), statistic, degrees,
-           chi_square_tail(statistic, degrees))
+    row = (float(a.summary.deviance), float(b.summary.deviance), statistic, degrees)
     return df.sparkSession.createDataFrame(
-        [row], "deviance_small double, deviance_large double, chi_square double, df int, p_value double")
+        [row], "deviance_small double, deviance_large double, chi_square double, df int").withColumn(
+        "p_value", chi_square_tail(F.col("chi_square"), F.col("df")))
 
 
 def tail_rates(ranked: DataFrame, outcome: str = "buy", tiles: int = 5) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from houselights.functions.tails import chi_square_tail
+
 SEASON = 12
 Z_95 = 1.959964  # Fixed value: two-sided 95 % point of the normal distribution.
 # Candidate weights of level, trend and season.
@@ -53,7 +55,8 @@ def residual_deviation(fitted: DataFrame) -> DataFrame:
 
 
 def residual_autocorrelation(fitted: DataFrame, lags: int = 4) -> DataFrame:
-    """Autocorrelations of the residuals and the cumulative Ljung-Box statistic by lag."""
+    """Autocorrelations of the residuals and the cumulative Ljung-Box statistic by lag, with the probability that a series
+    without autocorrelation exceeds it."""
     whole = Window.partitionBy("series_id")
     centred = (fitted.where(F.col("residual").isNotNull())
                .withColumn("y", F.col("residual") - F.avg("residual").over(whole))
@@ -62,7 +65,8 @@ def residual_autocorrelation(fitted: DataFrame, lags: int = 4) -> DataFrame:
         (F.sum(F.col("y") * F.col("lagged")) / F.max("ss")).alias("acf"), F.max("n").alias("n"))
     running = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     part = F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))
-    return by_lag.select("series_id", "lag", "acf", (F.col("n") * (F.col("n") + 2) * F.sum(part).over(running)).alias("q"))
+    return by_lag.select("series_id", "lag", "acf", (F.col("n") * (F.col("n") + 2) * F.sum(part).over(running)).alias("q")
+                         ).withColumn("p_value", chi_square_tail(F.col("q"), F.col("lag")))
 
 
 def seasonal_view(series: DataFrame, years: Sequence[int] | None = None) -> DataFrame:

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from houselights.functions.arrays import let, places, total
 from houselights.models import series as s
-from houselights.models.sweep import let, places, total
 
 SEASON = s.SEASON
 ERRORS, TRENDS, SEASONS = ("A", "M"), ("N", "A", "Ad"), ("N", "A", "M")

@@ -7,27 +7,12 @@ X'X, the last column the coefficients and the last cell the residual sum of squa
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOLERANCE = 1e-9
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from houselights.functions.arrays import let, places
 
-
-def places(first: int | Column, last: int | Column) -> Column:
-    """Whole numbers from first to last, none if there are none."""
-    first, last = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda done, x: done + x)
+TOLERANCE = 1e-9
 
 
 def row_of(cell: Column, width: int) -> Column:

@@ -121,6 +121,18 @@ CHI_SQUARE_7 = """(
   + 2 / sqrt(2 * pi()) * (SELECT sum(exp(-pow(sqrt(small - large) + u / (1 - u), 2) / 2) / pow(1 - u, 2)) / 20000
                           FROM (SELECT (i + 0.5) / 20000 AS u FROM range(20000) r(i))))"""
 
+#: Upper tail of the chi-square distribution at q with "lag" degrees of freedom, for one to four.
+CHI_SQUARE_1_TO_4 = """CASE "lag" WHEN 2 THEN exp(-q / 2) WHEN 4 THEN exp(-q / 2) * (1 + q / 2)
+  ELSE CASE WHEN "lag" = 3 THEN sqrt(2 * q / pi()) * exp(-q / 2) ELSE 0 END
+  + 2 / sqrt(2 * pi()) * (SELECT sum(exp(-pow(sqrt(q) + u / (1 - u), 2) / 2) / pow(1 - u, 2)) / 20000
+                          FROM (SELECT (i + 0.5) / 20000 AS u FROM range(20000) r(i))) END"""
+
+#: Two-sided tail of Student's t at estimate / std_error with f degrees of freedom: after t = sqrt(f) tan(a) the density is
+#: in proportion to cos(a)**(f - 1), so the tail is a share of two sums by the midpoint rule.
+STUDENT_TAIL = """(SELECT sum(pow(cos(atan(abs(estimate / std_error) / sqrt(f)) + (pi() / 2 - atan(abs(estimate / std_error) / sqrt(f))) * u), f - 1))
+    * (pi() / 2 - atan(abs(estimate / std_error) / sqrt(f))) / (sum(pow(cos(pi() / 2 * u), f - 1)) * pi() / 2)
+  FROM (SELECT (i + 0.5) / 20000 AS u FROM range(20000) r(i)))"""
+
 SMOOTHING = """
 listed AS (SELECT series_id, list(y ORDER BY month) AS ys, count(*) AS n, max(month) AS last_month FROM series GROUP BY 1),
 starts AS (

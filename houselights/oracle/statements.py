@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from houselights.oracle import fits, orders, smoothing
+from houselights.oracle import fits, local, orders, smoothing
 from houselights.oracle import tables as t
 
 STATEMENTS: dict[str, str] = {}
@@ -539,17 +539,17 @@ put("lag_pairs", 'SELECT series_id, CAST(month AS VARCHAR) AS month, y, "lag", l
     rounded="y lagged")
 put("lag_correlations", 'SELECT series_id, "lag", corr(y, lagged) AS correlation FROM pairs GROUP BY 1, 2', *S, PAIRS,
     rounded="correlation")
-put("residual_autocorrelation", """
-SELECT series_id, "lag", acf,
-       n * (n + 2) * sum(acf * acf / (n - "lag")) OVER (PARTITION BY series_id ORDER BY "lag") AS q
+put("residual_autocorrelation", f"""
+SELECT *, {fits.CHI_SQUARE_1_TO_4} AS p_value
+FROM (SELECT series_id, "lag", acf, n * (n + 2) * sum(acf * acf / (n - "lag")) OVER (PARTITION BY series_id ORDER BY "lag") AS q
 FROM (SELECT a.series_id, CAST(a.i - b.i AS BIGINT) AS "lag", sum(a.e * b.e) / max(v.ss) AS acf, max(v.n) AS n
       FROM centred a JOIN centred b ON a.series_id = b.series_id AND a.i - b.i BETWEEN 1 AND 4
       JOIN (SELECT series_id, sum(e * e) AS ss, count(*) AS n FROM centred GROUP BY 1) v ON v.series_id = a.series_id
-      GROUP BY 1, 2)""", *S, NAIVE, """
+      GROUP BY 1, 2))""", *S, NAIVE, """
 resid AS (SELECT series_id, month, y - fitted AS r, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i
           FROM naive WHERE fitted IS NOT NULL),
 centred AS (SELECT series_id, i, r - avg(r) OVER (PARTITION BY series_id) AS e FROM resid)""",
-    rounded="acf q", digits=4)
+    rounded="acf q p_value", digits=4)
 put("seasonal_view", "SELECT series_id, CAST(month(month) AS BIGINT) AS month_of_year, " + ", ".join(
     f'max(y) FILTER (year(month) = {y}) AS "{y}"' for y in range(1995, 2002)) + " FROM series GROUP BY 1, 2", *S,
     rounded=" ".join(f'"{y}"' for y in range(1995, 2002)))
@@ -620,6 +620,10 @@ SELECT series_id, CAST(CAST(last_month + to_months(CAST(h AS INTEGER)) AS DATE)
        round(forecast, 4) AS forecast, round(forecast - half, 4) AS low, round(forecast + half, 4) AS high
 FROM spreads JOIN (SELECT series_id, last_month FROM sm) USING (series_id)"""
 
+for name, turns in (("local_decomposition", (2, 0)), ("robust_decomposition", (1, 15))):
+    put(name, "SELECT series_id, CAST(month AS VARCHAR) AS month, y, trend, seasonal, remainder FROM parts", *S,
+        *local.decomposition(*turns), rounded="y trend seasonal remainder")
+
 # --- regressions ---------------------------------------------------------------------------------------------
 
 VIEWERS = """
@@ -719,6 +723,12 @@ def coefficient_rows(terms: list[str], name: str) -> str:
                               for k, term in enumerate(["(Intercept)", *terms]))
 
 
+FEW = ["flex_sold", "violin", "piano", "opera"]
+put("aliased_regression", f"""
+SELECT term, estimate, std_error, {fits.STUDENT_TAIL} AS p_value
+FROM ({coefficient_rows(["flex_sold", "guest_violin", "guest_piano", "opera"], "few")}), (SELECT count(*) - 5 AS f FROM train)
+UNION ALL SELECT x, NULL, NULL, NULL FROM (VALUES ('strings'), ('pairs')) a(x)""", t.TICKETS, FEATURES,
+    *fits.least_squares("train", FEW, "few", errors=True), rounded="estimate std_error p_value", digits=4)
 put("performance_regression", coefficient_rows(TERMS, "rev"), t.TICKETS, FEATURES,
     *fits.least_squares("train", PREDICTORS, "rev", errors=True), rounded="estimate std_error", digits=4)
 put("roas_regression", coefficient_rows(["device_mobile", "device_tablet", "new_users", "ad_cost"], "roas"), t.HITS, t.sessions(),

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from houselights.models import abtest, basket, regression, series
+from houselights.models import abtest, basket, decomposition, regression, series
 
 
 def monthly(table, values, name="s", first="2010-01-01"):
@@ -68,10 +68,21 @@ def test_logistic_identities(spark, viewer_rows):
     assert test.df == 1 and test.chi_square > 0 and abs(test.p_value - math.erfc(math.sqrt(test.chi_square / 2))) < 1e-10
 
 
-@pytest.mark.parametrize("x,k,p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (18.307038, 10, 0.05), (2.0, 2, math.exp(-1)),
-                                   (0.0, 3, 1.0)])
-def test_chi_square_tail(x, k, p):
-    assert abs(regression.chi_square_tail(x, k) - p) < 1e-6
+def test_coefficients_without_full_rank(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 2)) * [1, 50] + [3, 1000]
+    y = 5 + x @ [2.0, -0.1] + rng.normal(size=60)
+    kinds = ["a" if v > 3 else "b" for v in x[:, 0]]
+    rows = [(float(v), float(a), float(b), float(a), float(a - 2 * b), 7.0, k) for v, (a, b), k in zip(y, x, kinds)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, a_again double, mix double, same double, kind string")
+    full = regression.fit_linear(df, "y ~ a + b + kind")
+    want = {r.term: r for r in regression.coefficients(full, df).collect()}
+    got = {r.term: r for r in regression.coefficients(regression.fit_linear(
+        df, "y ~ a + b + a_again + mix + same + kind"), df).collect()}
+    assert set(got) - set(want) == {"a_again", "mix", "same"}
+    assert all(got[t][1:] == (None, None, None) for t in ("a_again", "mix", "same"))
+    for term, row in want.items():
+        assert got[term][1:] == pytest.approx(tuple(row)[1:], rel=1e-6)
 
 
 def test_ab_worked_example(table):
@@ -251,3 +262,43 @@ def test_baseline_is_the_first_level_and_p_values_are_those_of_t(table):
     grid = np.linspace(-abs(beta[1] / error[1]), abs(beta[1] / error[1]), 20001)
     density = math.exp(math.lgamma(29) - math.lgamma(28.5)) / math.sqrt(57 * math.pi) * (1 + grid ** 2 / 57) ** -29
     assert abs(rows["kind_b"].p_value - (1 - np.trapezoid(density, grid))) < 1e-6
+
+
+def test_local_decomposition(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(60)
+    season = np.array([4.0, -3, 2, 5, -6, 1, 0, -2, 3, -4, 1, -1])
+    ys = 20 + 0.5 * t + np.tile(season, 5)
+    rows = [("line", i, y) for i, y in enumerate(ys)] + [("spike", i, y + (200 if i == 30 else 0)) for i, y in enumerate(ys)]
+    rows += [("short", i, float(y)) for i, y in enumerate(rng.normal(size=8))] + [("one", 0, 3.0)]
+    df = spark.createDataFrame([(k, int(i), float(y)) for k, i, y in rows], "series_id string, i int, y double").select(
+        "series_id", F.add_months(F.lit("2001-01-01").cast("date"), F.col("i")).alias("month"), "y")
+
+    def parts(robust):
+        out = {}
+        for r in decomposition.local_decomposition(df, robust).orderBy("month").collect():
+            out.setdefault(r.series_id, []).append(r)
+        return out
+
+    plain, robust = parts(False), parts(True)
+    for got in (plain, robust):
+        # A straight line with a season comes back, at the ends as well; a little of its slope stays in the season.
+        assert np.allclose([r.seasonal for r in got["line"]][:12], season - season.mean(), atol=0.7)
+        assert np.allclose([r.trend for r in got["line"]], 20 + 0.5 * t, atol=1.0)
+        assert [r.seasonal for r in got["short"]] == [0.0] * 8 and got["one"][0].trend == 3.0
+        assert all(abs(r.y - r.trend - r.seasonal - r.remainder) < 1e-9 for rows in got.values() for r in rows)
+    assert abs(robust["spike"][30].trend - 35) < 1.5 < abs(plain["spike"][30].trend - 35)
+    assert robust["spike"][30].remainder > 190
+
+
+def test_local_line_is_weighted_least_squares(spark):
+    rng = np.random.default_rng(9)
+    ys, w = rng.normal(size=40), rng.uniform(0.2, 1, 40)
+    got = spark.createDataFrame([(ys.tolist(), w.tolist())], "ys array<double>, w array<double>").select(
+        decomposition.local_line(F.col("ys"), F.col("w")).alias("l")).first().l
+    for i in range(40):
+        first = max(0, min(i - 9, 21))
+        j = np.arange(first, first + 19)
+        weight = w[j] * np.clip(1 - (np.abs(j - i) / max(i - first, first + 18 - i)) ** 3, 0, None) ** 3
+        slope, level = np.polyfit(j - i, ys[j], 1, w=np.sqrt(weight))
+        assert got[i] == pytest.approx(level, abs=1e-6)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from houselights.functions.arrays import places
 from houselights.models import orders, sweep
 
 START = 1990
@@ -25,7 +26,7 @@ def test_sweep_solves_least_squares_and_leaves_out_copies(spark):
     z = np.c_[x, y]
     width = z.shape[1]
     df = spark.createDataFrame([(z.tolist(),)], "z array<array<double>>")
-    state = sweep.swept(sweep.cross_products(F.col("z"), width), width, sweep.places(0, width - 2))
+    state = sweep.swept(sweep.cross_products(F.col("z"), width), width, places(0, width - 2))
     row = df.select(state.alias("s")).select("s.*", sweep.coefficients(F.col("s"), width).alias("b")).first()
     assert row.done == [0, 1, 2, 3]
     want, rss, *_ = np.linalg.lstsq(x[:, :4], y, rcond=None)
