@@ -92,14 +92,15 @@ def _folded(rows: DataFrame) -> DataFrame:
         below = F.when(times, F.try_divide(error, effect)).otherwise(error)
         moved = F.when(F.col("season") == 0, 0.0).when(times, effect + F.col("gamma") * F.try_divide(error, base)).otherwise(
             effect + F.col("gamma") * error)
-        relative = F.try_divide(error, x["fitted"])
+        # The sums never become NULL: what divides by zero is left out here and ruled out by `lowest` or at the end.
+        relative = F.coalesce(F.try_divide(error, x["fitted"]), F.lit(0.0))
         return F.struct(
             (base + F.col("alpha") * below).alias("level"), (x["carried"] + F.col("beta") * below).alias("slope"),
             F.concat(F.slice(state["effects"], 2, SEASON - 1), F.array(moved)).alias("effects"),
             (state["sse"] + error * error).alias("sse"), (state["srel"] + relative * relative).alias("srel"),
-            (state["slog"] + F.ln(F.abs(x["fitted"]))).alias("slog"), (state["se"] + error).alias("se"),
+            (state["slog"] + F.coalesce(F.ln(F.abs(x["fitted"])), F.lit(0.0))).alias("slog"), (state["se"] + error).alias("se"),
             (state["sae"] + F.abs(error)).alias("sae"),
-            (state["sape"] + F.abs(F.try_divide(error, y))).alias("sape"),
+            (state["sape"] + F.coalesce(F.abs(F.try_divide(error, y)), F.lit(0.0))).alias("sape"),
             F.least(state["lowest"], x["fitted"]).alias("lowest"))
 
     def step(state: Column, y: Column) -> Column:
@@ -167,13 +168,14 @@ def _fitted(series: DataFrame) -> DataFrame:
 
 
 def choose_smoothing(series: DataFrame) -> DataFrame:
-    """Form, weights, criterion and errors of the one-step forecasts of every series."""
+    """Form, weights, criterion and errors of the one-step forecasts of every series; `mape` is NULL where a value is zero."""
     used = {"beta": F.col("trend") > 0, "gamma": F.col("season") > 0, "phi": F.col("trend") == 2}
     n = F.col("n")
     return _fitted(series).select(
         "series_id", "form", "alpha", *[F.when(ok, F.col(name)).alias(name) for name, ok in used.items()], "aicc",
         n.cast("bigint").alias("n"), (F.col("end.se") / n).alias("me"), F.sqrt(F.col("end.sse") / n).alias("rmse"),
-        (F.col("end.sae") / n).alias("mae"), (100 * F.col("end.sape") / n).alias("mape"))
+        (F.col("end.sae") / n).alias("mae"), F.when(
+            ~F.exists("ys", lambda y: y == 0), 100 * F.col("end.sape") / n).alias("mape"))
 
 
 def smoothing_forecast(series: DataFrame, horizon: int = 12) -> DataFrame:
