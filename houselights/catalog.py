@@ -765,6 +765,14 @@ def web_days_split(s, d):
     return daily.select("device", "date", train.alias("is_training"))
 
 
+@query("M8")
+def web_days_exact_split(s, d):
+    """Exactly 80 % of the days of every device."""
+    days, _ = _daily_value(s, d)
+    return ranking.exact_split(days.select("device", "date"), F.concat("device", F.col("date").cast("string")), ["device"],
+                               "is_training")
+
+
 @query("M3 M7 M8 J5", digits=4)
 def web_value_scored(s, d):
     daily, train = _daily_value(s, d)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from houselights.session import materialise
 
+#: Hashes of an exact split, and what one round reads of them.
+_HASH_BITS, _DIGIT_BITS = 60, 12
+
 
 def top_k(df: DataFrame, k: int, by: str, tie_break: Sequence[str], descending: bool = True) -> DataFrame:
     """The k first rows. Sort and limit run as one bounded per-task top-k; the tie break makes it repeatable."""
@@ -26,6 +29,33 @@ def in_first_part(key: Column, hex_bound: str = "cd") -> Column:
     return F.substring(F.md5(key.cast("string")), 1, 2) < hex_bound
 
 
+def exact_split(df: DataFrame, key: Column, strata: Sequence[str], name: str, share: float = 0.8) -> DataFrame:
+    """Repeatable split with exactly its share of every stratum (rounded half up): true for the rows whose keys hash lowest.
+
+    The hash of the last row inside is found digit by digit: each of five rounds counts the next digit of the hashes that
+    still begin like the threshold, so only counts are shuffled and no stratum is ordered in one place. Rows of one key stay
+    together, on the inside where the threshold is theirs. Null strata are strata.
+    """
+    digits = _HASH_BITS // _DIGIT_BITS
+    hashed = F.conv(F.substring(F.md5(key.cast("string")), 1, _HASH_BITS // 4), 16, 10).cast("bigint")
+    rows = df.withColumns({"_hash": hashed, "_stratum": F.struct(*strata)})
+    marked = materialise(rows.select("_stratum", "_hash"))
+    state = marked.groupBy("_stratum").agg(F.floor(F.count("*") * share + 0.5).alias("target")).select(
+        "_stratum", "target", F.lit(0).cast("bigint").alias("below"), F.lit(0).cast("bigint").alias("prefix"))
+    upward = Window.partitionBy("_stratum").orderBy("digit")
+    for level in range(1, digits + 1):
+        shift = _HASH_BITS - level * _DIGIT_BITS
+        digit = F.shiftright("_hash", shift).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1))
+        counts = (marked.join(state, "_stratum").where(F.shiftright("_hash", shift + _DIGIT_BITS) == F.col("prefix"))
+                  .groupBy("_stratum", "target", "below", "prefix", digit.alias("digit")).agg(F.count("*").alias("n")))
+        reached = counts.withColumn("reached", F.col("below") + F.sum("n").over(upward)).where("reached >= target")
+        state = reached.groupBy("_stratum", "target").agg(F.min_by(F.struct(
+            (F.col("reached") - F.col("n")).alias("below"), (F.col("prefix") * (1 << _DIGIT_BITS) + F.col("digit")).alias("prefix")),
+            F.col("digit")).alias("next")).select("_stratum", "target", "next.*")
+    bounds = state.select("_stratum", F.when(F.col("target") > 0, F.col("prefix")).otherwise(-1).alias("_bound"))
+    return rows.join(bounds, "_stratum").withColumn(name, F.col("_hash") <= F.col("_bound")).drop("_hash", "_stratum", "_bound")
+
+
 def calendar_ordinal(df: DataFrame, ts: str, name: str) -> DataFrame:
     """Position (from 1) of distinct timestamps in time order.
 

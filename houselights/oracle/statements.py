@@ -680,6 +680,13 @@ SELECT device, CAST(date AS VARCHAR) AS date, substr(md5(device || CAST(date AS
 FROM daily WHERE avg_session_duration IS NOT NULL AND avg_time_on_page IS NOT NULL AND percent_new_sessions IS NOT NULL""",
     t.HITS, t.sessions(), f"daily AS (SELECT device, date, {DAILY} FROM sess GROUP BY 1, 2)")
 
+put("web_days_exact_split", """
+SELECT device, CAST(date AS VARCHAR) AS date, row_number() OVER (
+         PARTITION BY device ORDER BY substr(md5(device || CAST(date AS VARCHAR)), 1, 15))
+       <= floor(0.8 * count(*) OVER (PARTITION BY device) + 0.5) AS is_training
+FROM daily WHERE avg_session_duration IS NOT NULL AND avg_time_on_page IS NOT NULL AND percent_new_sessions IS NOT NULL""",
+    t.HITS, t.sessions(), f"daily AS (SELECT device, date, {DAILY} FROM sess GROUP BY 1, 2)")
+
 for name, degree, source in (("revenue_trend_cubic", 3, None), ("weekday_trend_degree_8", 8, "tix")):
     extra = S if source is None else (*N, """
 per_day AS (SELECT CAST(date_trunc('month', perf_dt) AS DATE) AS month, day_of_week AS series_id, count(*) AS n

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -166,3 +167,19 @@ def test_bounds_extend_a_regular_series_and_cut_nothing(table):
     series = table(rows, "series_id string, month string, y double").withColumn("month", F.col("month").cast("date"))
     got = reshape.regular_monthly(series, "series_id", "month", "y", "2019-02-01", "2019-06-01").orderBy("month").collect()
     assert [r.y for r in got] == [1.0, 0.0, 0.0, 2.0, 0.0, 0.0] and str(got[0].month) == "2019-01-01"
+
+
+def test_exact_split(spark):
+    rows = [(n, "big" if n % 3 else ("mid" if n % 2 else None)) for n in range(3000)] + [(9000, "one"), (9001, "two"), (9002, "two")]
+    df = spark.createDataFrame(rows, "id int, kind string").repartition(7)
+    for share in (0.8, 0.25, 0.0, 1.0):
+        got = ranking.exact_split(df, F.col("id"), ["kind"], "inside", share).collect()
+        assert len(got) == len(rows)
+        for kind in {k for _, k in rows}:
+            mine = [r.inside for r in got if r.kind == kind]
+            assert sum(mine) == math.floor(len(mine) * share + 0.5), (kind, share)
+    again = ranking.exact_split(df.repartition(3), F.col("id"), ["kind"], "inside", 1.0).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in got}
+    same = spark.createDataFrame([(1, "a")] * 10 + [(2, "a")] * 2, "id int, kind string")
+    assert len({(r.id, r.inside) for r in ranking.exact_split(same, F.col("id"), ["kind"], "inside", 0.5).collect()}) == 2
+    assert ranking.exact_split(same.where("id > 5"), F.col("id"), ["kind"], "inside").collect() == []
