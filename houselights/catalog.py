@@ -12,7 +12,7 @@ from houselights import schemas
 from houselights.functions import columns as c
 from houselights.models import abtest, basket, orders, regression, series, smoothing
 from houselights.models import decomposition as decomposition_
-from houselights.operators import keys, ranking, reshape
+from houselights.operators import density, keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
 from houselights.session import materialise, scratch_folder
 from houselights.sources import extracts, views
@@ -906,6 +906,12 @@ def price_density(s, d):
     return ranking.binned_density(paid, ["price_type_group"], "paid_amt", 0, 120, 24)
 
 
+@query("A18", digits=8)
+def price_kernel_density(s, d):
+    paid = T_(s, d).where(F.col("paid_amt") > 0)
+    return density.kernel_density(paid, ["price_type_group"], "paid_amt")
+
+
 @query("W1 A2 A6")
 def zone_shares_by_fy(s, d):
     sold = T_(s, d).where(F.col("paid_amt") > 0).groupBy(

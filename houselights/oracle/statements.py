@@ -822,6 +822,21 @@ put("price_density", """
 SELECT price_type_group, bin, n, n / (sum(n) OVER (PARTITION BY price_type_group) * 5.0) AS density
 FROM (SELECT price_type_group, CAST(floor(paid_amt / 5.0) AS BIGINT) + 1 AS bin, count(*) AS n FROM tickets
       WHERE paid_amt > 0 GROUP BY 1, 2)""", t.TICKETS, rounded="density")
+put("price_kernel_density", """
+SELECT price_type_group, n, h AS bandwidth, lo + j * step AS x,
+       sum(w * exp(-0.5 * pow((j - cell) * step / h, 2))) / (n * h * sqrt(2 * pi())) AS density
+FROM weights, (SELECT unnest(range(128)) AS j) GROUP BY price_type_group, n, h, lo, step, j""", t.TICKETS, """
+paid AS (SELECT price_type_group, paid_amt AS v FROM tickets WHERE paid_amt > 0),
+widths AS (
+  SELECT price_type_group, count(*) AS n, min(v) AS least, max(v) AS most,
+         0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS h
+  FROM paid GROUP BY 1),
+steps AS (SELECT *, least - 3 * h AS lo, (most - least + 6 * h) / 127 AS step FROM widths),
+near AS (SELECT s.*, (v - lo) / step AS spot FROM paid JOIN steps s USING (price_type_group)),
+weights AS MATERIALIZED (
+  SELECT price_type_group, n, h, lo, step, cell, sum(w) AS w FROM (
+    SELECT *, floor(spot) AS cell, 1 - (spot - floor(spot)) AS w FROM near
+    UNION ALL SELECT *, floor(spot) + 1, spot - floor(spot) FROM near) GROUP BY ALL)""", rounded="bandwidth x density", digits=8)
 put("zone_shares_by_fy", """
 SELECT fy, price_zone, paid, attended, paid / total AS share
 FROM (SELECT fy, substr(zone_desc, 1, 7) AS price_zone, sum(paid_amt) AS paid,

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from houselights.operators import keys, ranking, reshape
+from houselights.operators import density, keys, ranking, reshape
 
 
 def test_unpivot_reverses_pivot(table):
@@ -183,3 +183,23 @@ def test_exact_split(spark):
     same = spark.createDataFrame([(1, "a")] * 10 + [(2, "a")] * 2, "id int, kind string")
     assert len({(r.id, r.inside) for r in ranking.exact_split(same, F.col("id"), ["kind"], "inside", 0.5).collect()}) == 2
     assert ranking.exact_split(same.where("id > 5"), F.col("id"), ["kind"], "inside").collect() == []
+
+
+def test_kernel_density(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(50, 10, 800), "b": np.r_[rng.normal(0, 1, 300), rng.normal(20, 1, 300)], "same": np.full(20, 7.0),
+              "one": np.array([2.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("none", None), (None, 1.0), (None, 3.0)]
+    out = density.kernel_density(spark.createDataFrame(rows, "kind string, v double").repartition(5), ["kind"], "v").collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r.x):
+        got.setdefault(r.kind, []).append(r)
+    assert set(got) == {"a", "b", "same", "one", None} and all(len(x) == 128 for x in got.values())
+    for kind, vs in values.items():
+        x, y, h = (np.array([getattr(r, name) for r in got[kind]]) for name in ("x", "density", "bandwidth"))
+        exact = np.exp(-0.5 * ((x[:, None] - vs[None]) / h[0]) ** 2).sum(axis=1) / (len(vs) * h[0] * np.sqrt(2 * np.pi))
+        assert np.abs(y - exact).max() < 0.02 * exact.max()
+        assert abs(y.sum() * (x[1] - x[0]) - 1) < 0.01
+    q = np.quantile(values["a"], [0.25, 0.75])
+    assert got["a"][0].bandwidth == pytest.approx(0.9 * min(values["a"].std(ddof=1), (q[1] - q[0]) / 1.34) * 800 ** -0.2)
+    assert got["same"][0].bandwidth == 1.0
