@@ -1,13 +1,15 @@
 """Sharding by histogram sort, with DataFrame functions only.
 
-Rows are ordered by a key made of the MD5 of the text and the document id, so equal texts stand next to each other and a
-group of copies, however large, can still be cut between two documents. The byte position of every splitter is found by
-counting: each round sums the exact bytes under all candidate boundaries (the next three digits of the key) inside the
-intervals that still hold a splitter, and goes on inside the child that holds it. The rows then travel once.
-
-Defined results: a null text counts as empty (size 1, CRC 0); a null id sorts before others; repeated rows share a key
-and lie in one shard, in any order of slots; an empty table gives no rows; all input columns but `doc_id` and `text`
-are left out of the digest, so clashing names do no harm.
+Rows are ordered by a key made of the MD5 of the text, the document id and the row's place in the scan, so equal texts
+stand next to each other and a group of copies, however large, can still be cut between two rows, equal ids or not. The
+byte position of every splitter is found by counting: each round sums the exact bytes under all candidate boundaries (the
+next three digits of the key) inside the intervals that still hold a splitter, and goes on inside the child that holds it.
+The rows then travel once.
+
+Defined results: a null text counts as empty (size 1, CRC 0); a null id sorts before others; repeated rows differ in their
+place alone, so they are cut like other copies and take any order of slots; an empty table gives no rows; all input
+columns but `doc_id` and `text` are left out of the digest, so clashing names do no harm. With `carry` the input is read
+twice and should be a stored table, so that places stay as they are.
 """
 
 from __future__ import annotations
@@ -32,9 +34,12 @@ class _Interval:
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
-    """48 hex digits that sort as (MD5 of the text, id)."""
+    """65 hex digits that sort as (MD5 of the text, id, place of the row)."""
     signed = F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
-    return F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(F.lpad(signed, 16, "0"), F.lit("")))
+    return F.concat(
+        F.md5(F.coalesce(text, F.lit("")).cast("binary")),
+        F.coalesce(F.concat(F.lit("1"), F.lpad(signed, 16, "0")), F.lit("0" * 17)),
+        F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
 
 
 def splitters(keyed: DataFrame, shards: int, tolerance: int = 0) -> list[str]:
@@ -136,12 +141,12 @@ d AS (
     lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) AS text_crc32
   FROM b, crc_table
 ), s AS (
-  SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST RANGE UNBOUNDED PRECEDING)
-    - sum(size) OVER (PARTITION BY h, doc_id) AS below, sum(size) OVER () AS total
-  FROM c
-), p AS (SELECT *, (16 * below // total)::INTEGER AS shard FROM s)
+  SELECT *, row_number() OVER (ORDER BY h, doc_id NULLS FIRST) AS n, sum(size) OVER () AS total FROM c
+), p AS (
+  SELECT *, (16 * (sum(size) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) - size) // total)::INTEGER AS shard FROM s
+)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1)::BIGINT AS slot,
+  (row_number() OVER (PARTITION BY shard ORDER BY n) - 1)::BIGINT AS slot,
   CAST(NULL AS INTEGER) AS grown_shard
 FROM p
 """

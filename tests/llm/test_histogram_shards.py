@@ -4,6 +4,7 @@ import zlib
 import pytest
 
 from houselights.llm import histogram_shards as h
+from houselights.llm.common import stored
 
 
 def slow(rows, shards):
@@ -33,6 +34,25 @@ def test_one_text_for_all_is_still_cut(documents):
     assert {sum(r.shard == k for r in got) for k in range(16)} == {20}
 
 
+@pytest.mark.parametrize("copy", [(7, "one row " * 12), (None, "one row " * 12), (None, None)])
+@pytest.mark.parametrize("carry", [(), ("source",)])
+def test_one_row_repeated_is_still_cut(documents, copy, carry):
+    rows = [(n, f"text {n} " * 10) for n in range(2000)] + [copy] * 1000
+    docs = stored(documents(rows).repartition(5), "rows")  # `carry` reads twice
+    got = h.shard_documents(docs, carry=carry).collect()
+    assert len(got) == 3000 and sum(r.doc_id == copy[0] and r.size == len(copy[1] or "") + 1 for r in got) == 1000
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+    for k in range(16):
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots)))
+
+
+def test_ten_thousand_equal_rows(documents):
+    got = h.shard_documents(documents([(1, "copy")] * 10_000), 16).groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {625}
+
+
 def test_tolerance_allows_early_splitters(documents):
     rows = [(i, f"{i}" * 10) for i in range(500)]
     got = h.shard_documents(documents(rows), 4, tolerance=200).collect()
