@@ -97,17 +97,16 @@ def _list_anchors(length: int) -> ArrowMap:
                 if text is None or len(text) < length:
                     continue
                 first, anchor, count, mark = blocks(text, length)
-                body = np.array([xxhash.xxh3_64_intdigest(text[a:a + c + length - 1])
-                                 for a, c in zip(first.tolist(), count.tolist())], np.uint64).view(np.int64)
+                body = [xxhash.xxh3_128_digest(text[a:a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist())]
                 taken.append(np.full(len(first), n))
                 out[0].append(mark.view(np.int64))
-                out[1].append(body)
+                out[1].extend(body)
                 out[2].append(first << 16 | (anchor - first) << 8 | count - 1)
             if not taken:
                 continue
             rows = pa.array(np.concatenate(taken))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), batch.column(0).take(rows),
+                pa.array(np.concatenate(out[0])), pa.array(out[1], pa.binary()), batch.column(0).take(rows),
                 batch.column(1).take(rows), pa.array(np.concatenate(out[2]))], ["mark", "body", "doc_id", "row", "spot"])
 
     return run
@@ -115,10 +114,15 @@ def _list_anchors(length: int) -> ArrowMap:
 
 def _cut_blocks(length: int) -> ArrowMap:
     """From rows (doc_id, row, packed text, blocks wanted): the bytes before the anchor, last one first, those from the
-    anchor on, spot, alone, doc_id, row."""
+    anchor on, spot, alone, doc_id, row. A task cuts a repeated row once, so that equal blocks do not pile up in a bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int | None, int]] = set()
         for batch in batches:
             for n in range(batch.num_rows):
+                name = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                if name in seen:
+                    continue
+                seen.add(name)
                 text = unpack(batch.column(2)[n].as_py())
                 wanted = batch.column(3)[n].as_py()
                 spots = np.array([x["spot"] for x in wanted], np.int64)
@@ -346,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must lie between {ANCHOR + _WORD} and {ANCHOR + 255} bytes")
     texts = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("row"), "text")
     anchors = stored(texts.mapInArrow(
-        _list_anchors(length), "mark bigint, body bigint, doc_id bigint, row bigint, spot bigint"), "anchors")
+        _list_anchors(length), "mark bigint, body binary, doc_id bigint, row bigint, spot bigint"), "anchors")
     # Counted keys are stored before the join, which can then split a mark that very many rows share.
     common = stored(anchors.groupBy("mark").count().where("count > 1").select("mark"), "marks")
     shared = stored(anchors.join(common, "mark"), "anchors-shared")
@@ -384,7 +388,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     spans = repeated_spans(docs, length).groupBy("doc_id", "row").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+        # A set: repeated rows have the same spans, and all of them arrive here.
+        F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
     packed = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("row"), "text").mapInArrow(
         _pack, "doc_id bigint, row bigint, packed binary")
     return packed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(

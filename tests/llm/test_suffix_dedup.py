@@ -65,6 +65,21 @@ def test_matches_across_bucket_boundaries(documents, rows, monkeypatch, spark):
     assert sorted(got, key=key) == sorted(slow(rows, 60), key=key)
 
 
+@pytest.mark.parametrize("name", [3, None])
+def test_one_row_repeated(documents, name):
+    rng = random.Random(11)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    hot = shared + "".join(rng.choice("abcdefgh ") for _ in range(200))
+    rows = [(name, hot)] * 300 + [(n, f"{n}" * 9 + shared[:rng.randint(30, 150)] + f"{n}" * 9) for n in range(600, 660)]
+    got = [tuple(r) for r in s.remove_repeats(documents(rows).repartition(7), 60).collect()]
+    assert sorted(got, key=key) == sorted(slow(rows, 60), key=key)
+    cuts = s._cut_blocks(60)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([name] * 3, pa.int64()), pa.array([9] * 3), pa.array([s.zstandard.compress(hot.encode())] * 3),
+        pa.array([[{"spot": 0, "alone": False}]] * 3)], ["doc_id", "row", "packed", "wanted"])
+    assert sum(x.num_rows for x in cuts(iter([batch, batch]))) == 1
+
+
 def test_blocks_cover_every_start_once_and_depend_on_content():
     rng = random.Random(2)
     text = bytes(rng.randrange(97, 101) for _ in range(5000))
