@@ -5,8 +5,8 @@ a bucket with a learned vector; a second occurrence of a word in a row makes the
 average of its vectors, a linear layer and a softmax give the classes, and stochastic gradient descent in numpy learns
 both. Averaging and the layer are linear, so scoring needs one number for each bucket.
 
-Training takes at most `sample` labelled rows, those with the least hash of their id: they come to the driver as bucket
-counts, and everything else is scored where it lies.
+Training takes at most `sample` labelled texts, those with the least hash of their id: they come to the driver as bucket
+counts, and everything else is scored where it lies. Equal texts of an id teach once.
 
 Defined results: a text without words scores by the intercept alone; null labels and ids teach nothing; several labels of
 one document all count; without labels of both classes every score is the share of label 1 (0.5 without any label);
@@ -142,13 +142,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
             found = [np.unique(buckets(x), return_counts=True) for x in utf8_rows(batch.column(2))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())),
-                pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], ["doc_id", "label", "ids", "counts"])
+                pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32())), batch.column(3)],
+                ["doc_id", "label", "ids", "counts", "place"])
 
-    # At most `sample` rows of two numbers are broadcast.
+    # At most `sample` rows of two numbers are broadcast. A stored row may repeat and an id may have several texts: equal
+    # ones count once, and no more than `sample` texts reach the driver.
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "_label", "text")
-            .mapInArrow(run, "doc_id bigint, label int, ids array<int>, counts array<int>").toArrow())
-    order = np.argsort(np.array(rows["doc_id"], np.int64), kind="stable")
+            .select("doc_id", "_label", "text").distinct()
+            .withColumn("_place", F.xxhash64("text"))
+            .mapInArrow(run, "doc_id bigint, label int, ids array<int>, counts array<int>, place bigint")
+            .orderBy(F.xxhash64("doc_id"), "doc_id", "place", "label").limit(sample).toArrow())
+    order = np.lexsort([np.array(rows[name], np.int64) for name in ("label", "place", "doc_id")])
     ids, counts, marks = rows["ids"].combine_chunks(), rows["counts"].combine_chunks(), rows["label"].to_pylist()
     return learn([(ids[int(n)].values.to_numpy(), counts[int(n)].values.to_numpy(), marks[n]) for n in order], **settings)
 

@@ -76,6 +76,18 @@ def test_sample_is_bounded(spark, documents):
     assert seen == [50]
 
 
+def test_repeated_rows_teach_once_and_stay_bounded(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "learn", lambda rows, **settings: seen.append(rows) or q.Model(np.zeros(1), 0.0))
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, quality int")
+    plain = [(n, f"text {n}") for n in range(60)]
+    q.train(documents(plain), labels)
+    q.train(documents(plain + [plain[1]] * 500).repartition(9), labels)
+    q.train(documents(plain + [(1, f"other {n}") for n in range(500)]), labels, sample=70)
+    assert len(seen[0]) == len(seen[1]) and len(seen[2]) == 70
+    assert all((a == b).all() and (m == n).all() and x == y for (a, m, x), (b, n, y) in zip(seen[0], seen[1]))
+
+
 def test_accuracy_on_the_test_tables(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
