@@ -4,8 +4,9 @@ Texts are normalised byte by byte (A-Z to a-z, ASCII other than letters and digi
 the offsets of a hit are those of the original text. Benchmark words get numbers, windows become number sequences in the
 automaton, and each document is read once as the sequence of its words' numbers (0: no benchmark word).
 
-The benchmark is a stated test set. It is measured first: an automaton holds about `room` words at most, and a larger set
-is spread over several automata, which read each batch of documents one after the other before its hits are merged.
+The benchmark is a stated test set. Spark writes its rows to files in the shared folder, in as many sets as it takes for an
+automaton to hold about `room` words; the driver sees their names only, and a task reads them where it runs. Several
+automata are built one after the other, each for `HELD` bytes of documents, so that building is a small part of the work.
 
 Defined results: null, empty and wordless texts have no words, no hits and are clean; null or wordless items have no
 window; items with the same id count once; repeated documents get one row each; an empty benchmark leaves all documents
@@ -14,19 +15,24 @@ clean; other columns of the input are kept by `clean` and left out by `hits`.
 
 from __future__ import annotations
 
-import hashlib
+import posixpath
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from houselights.llm.common import ArrowMap, utf8_rows
+from houselights.session import scratch_folder
 
 WINDOW = 13
 ROOM = 2_000_000
+#: Bytes of documents that pass one automaton before the next one is built.
+HELD = 64 << 20
 #: Word bytes stay (capitals as small letters), every other byte becomes a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -82,12 +88,23 @@ def character_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 _built: dict[str, Matcher] = {}
 
 
-def _matcher(items: list[tuple[str, bytes]], size: int) -> Matcher:
-    """The latest automaton stays in the Python worker, for its next tasks."""
-    key = hashlib.sha256(repr((items, size)).encode()).hexdigest()
+def read_items(place: str) -> list[tuple[str, bytes]]:
+    """The (item id, text) rows of a set's folder."""
+    system, folder = fs.FileSystem.from_uri(place)
+    rows = []
+    for found in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if posixpath.basename(found.path).startswith("part-"):
+            for batch in pq.ParquetFile(found.path, filesystem=system).iter_batches(columns=["id", "text"]):
+                rows += zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)))
+    return sorted(rows)
+
+
+def _matcher(place: str, size: int) -> Matcher:
+    """The latest automaton stays in the Python worker, for its next tasks; a set's folder is never written twice."""
+    key = f"{size} {place}"
     if key not in _built:
         _built.clear()
-        _built[key] = Matcher(items, size)
+        _built[key] = Matcher(read_items(place), size)
     return _built[key]
 
 
@@ -106,11 +123,11 @@ _TYPES = pa.schema([
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _hits(texts: list[bytes | None], sets: list[list[tuple[str, bytes]]], size: int) -> list[tuple]:
+def _hits(texts: list[bytes | None], sets: list[str], size: int) -> list[tuple]:
     """n_words, n_hit, item_ids and spans of each text."""
     found = [([], set()) for _ in texts]
-    for items in sets:
-        matcher = _matcher(items, size)
+    for place in sets:
+        matcher = _matcher(place, size)
         for n, text in enumerate(texts):
             runs, names = matcher.search(words(text))
             found[n] = (found[n][0] + runs, found[n][1] | names)
@@ -122,20 +139,40 @@ def _hits(texts: list[bytes | None], sets: list[list[tuple[str, bytes]]], size:
     return out
 
 
-def _scan(sets: list[list[tuple[str, bytes]]], size: int) -> ArrowMap:
+def _in_turn(batches: Iterator[pa.RecordBatch], sets: list[str], size: int, at: int,
+             room: int = HELD) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each batch with its hits. With several sets batches wait until they hold `room` bytes."""
+    held, total = [], 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        found = _hits([x for batch in held for x in utf8_rows(batch.column(at))], sets, size)
+        since = 0
+        for batch in held:
+            yield batch, found[since:since + batch.num_rows]
+            since += batch.num_rows
+
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if len(sets) < 2 or total >= room:
+            yield from flush()
+            held, total = [], 0
+    yield from flush()
+
+
+def _scan(sets: list[str], size: int) -> ArrowMap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(zip(*_hits(list(utf8_rows(batch.column(1))), sets, size))) or [()] * 4
+        for batch, found in _in_turn(batches, sets, size, 1):
+            columns = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, _TYPES.types[1:]))], schema=_TYPES)
 
     return run
 
 
-def _filter(sets: list[list[tuple[str, bytes]]], size: int, at: int) -> ArrowMap:
+def _filter(sets: list[str], size: int, at: int) -> ArrowMap:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _hits(list(utf8_rows(batch.column(at))), sets, size)
+        for batch, found in _in_turn(batches, sets, size, at):
             yield batch.filter(pa.array([not contaminated(n, hit) for n, hit, *_ in found], pa.bool_()))
 
     return run
@@ -146,13 +183,16 @@ def contaminated(n_words, n_hit):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def item_sets(benchmark: DataFrame, room: int = ROOM) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in sets of about `room` words at most, after measuring it on the cluster."""
-    clean = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
+def item_sets(benchmark: DataFrame, room: int = ROOM) -> list[str]:
+    """The folders of the benchmark's sets, of about `room` words each, after measuring it on the cluster."""
+    clean = benchmark.where("text is not null").select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
     total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sets = max(1, -(-total // (2 * room)))  # a word and the blank after it take two bytes at least
-    parts = [clean.where(F.pmod(F.xxhash64("id", "text"), F.lit(sets)) == k).collect() for k in range(sets)]
-    return [sorted((r["id"] or "", r["text"].encode()) for r in rows) for rows in parts]
+    place = scratch_folder(benchmark.sparkSession, "benchmark-sets")
+    clean.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(sets))).repartition("part").write.partitionBy(
+        "part").parquet(place)
+    return [f"{place}/part={k}" for k in range(sets)]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, room: int = ROOM) -> DataFrame:

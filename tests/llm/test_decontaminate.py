@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from houselights.llm import decontaminate as d
@@ -59,6 +60,21 @@ def test_matches_brute_force(documents, spark, data, room):
     assert sorted(got) == sorted(slow(docs, named))
 
 
+def test_batches_wait_for_the_next_automaton(spark, data, monkeypatch):
+    docs, items = data
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    sets = d.item_sets(benchmark, 60)
+    built = []
+    monkeypatch.setattr(d, "read_items", lambda place, read=d.read_items: built.append(place) or read(place))
+    texts = pa.record_batch([pa.array([t for _, t in docs])], ["text"])
+    parts = [texts.slice(n, 10) for n in range(0, len(docs), 10)]
+    whole = [x for _, found in d._in_turn(iter(parts), sets, 13, 0) for x in found]
+    assert len(built) == len(sets) > 1
+    assert whole == [x for _, found in d._in_turn(iter(parts), sets, 13, 0, room=1) for x in found]
+    assert sum(len(d.read_items(place)) for place in sets) == sum(text is not None for _, text in items)
+    assert list(d._in_turn(iter([]), sets, 13, 0)) == []
+
+
 def test_spans_point_into_the_original_text(documents, spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     hit = item.upper().replace(" ", " -- ")
