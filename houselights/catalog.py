@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import types as T
 
 from houselights import schemas
 from houselights.functions import columns as c
-from houselights.models import abtest, basket, orders, regression, series, smoothing
+from houselights.models import abtest, basket, itemsets, orders, regression, series, smoothing
 from houselights.models import decomposition as decomposition_
-from houselights.operators import density, keys, ranking, reshape
+from houselights.operators import bitmaps, density, keys, ranking, reshape
 from houselights.plans import audience, concert, donors, marketing, revenue, web, weekday
 from houselights.session import materialise, scratch_folder
 from houselights.sources import extracts, views
@@ -155,6 +156,16 @@ def zone_flex_subscribers(s, d):
     return weekday.zone_subscribers(T_(s, d), "Flex")
 
 
+@query("Q12 A4")
+def zone_uniques_over_ranges(s, d):
+    """Unique customers of three overlapping ranges from one stored roll-up."""
+    rolled = materialise(weekday.customer_roll_up(T_(s, d)))
+    ranges = [("1996-01-01", "1996-12-31"), ("1996-07-01", "1997-06-30"), (None, None)]
+    return functools.reduce(DataFrame.unionByName, (
+        weekday.zone_uniques(rolled, first, last).withColumns({"first": F.lit(first), "last": F.lit(last)})
+        for first, last in ranges))
+
+
 @query("Q13")
 def zone_major_donors(s, d):
     return weekday.zone_major_donors(T_(s, d), D_(s, d))
@@ -566,6 +577,17 @@ def association_rules(s, d):
     return basket.association_rules(_baskets(s, d))
 
 
+@query("M1")
+def vertical_itemsets(s, d):
+    found = itemsets.itemsets(_baskets(s, d), support=0.02, least_items=2, most_items=3)
+    return found.withColumn("items", F.concat_ws("|", "items"))
+
+
+@query("M2")
+def rules_by_confidence(s, d):
+    return itemsets.rules(_baskets(s, d), support=0.0, confidence=0.2, most_items=2)
+
+
 # --- series --------------------------------------------------------------------------------------------------
 
 

@@ -65,6 +65,11 @@ for name, kind in (("zone_subscribers", "Subscription"), ("zone_flex_subscribers
     put(name, f"""
 SELECT day_of_week, price_zone, kind AS price_type_group, count(DISTINCT summary_cust_id) AS subscribers,
        sum(paid_amt) AS rev FROM sold WHERE kind = '{kind}' GROUP BY 1, 2, 3""", *N, rounded="rev")
+put("zone_uniques_over_ranges", """
+SELECT day_of_week, price_zone, kind AS price_type_group, count(DISTINCT summary_cust_id) AS customers, "first", "last"
+FROM sold, (VALUES ('1996-01-01', '1996-12-31'), ('1996-07-01', '1997-06-30'), (NULL, NULL)) r("first", "last")
+WHERE "first" IS NULL OR CAST(perf_dt AS DATE) BETWEEN CAST("first" AS DATE) AND CAST("last" AS DATE)
+GROUP BY day_of_week, price_zone, kind, "first", "last" HAVING count(summary_cust_id) > 0""", *N)
 put("zone_major_donors", """
 SELECT day_of_week, price_zone, count(DISTINCT summary_cust_id) AS donors FROM sold_banded
 WHERE donor_group IN ('A', 'B', 'C', 'D') GROUP BY 1, 2""", *ND)
@@ -510,6 +515,21 @@ SELECT array_to_string(l, '|') AS antecedent, c AS consequent, round(rules.f / a
        round((rules.f / a.f) / (b.f / n), 6) AS lift, round(rules.f / n, 6) AS support
 FROM rules JOIN counted a ON a.names = l JOIN counted b ON b.names = [c], total WHERE rules.f / a.f >= 0.4"""
 
+PAIRS = """
+pairs AS (SELECT a.name AS a, b.name AS b, count(*) AS freq FROM items a JOIN items b USING (summary_cust_id)
+          WHERE a.name <> b.name GROUP BY 1, 2)"""
+put("vertical_itemsets", """
+SELECT a || '|' || b AS items, freq, freq / n AS support FROM pairs, total WHERE a < b AND freq / n >= 0.02
+UNION ALL
+SELECT a.name || '|' || b.name || '|' || c.name, count(*), count(*) / any_value(n) FROM items a
+  JOIN items b ON a.summary_cust_id = b.summary_cust_id AND a.name < b.name
+  JOIN items c ON c.summary_cust_id = b.summary_cust_id AND b.name < c.name, total
+  GROUP BY 1 HAVING count(*) / any_value(n) >= 0.02""", *ITEMS, PAIRS, rounded="support")
+put("rules_by_confidence", """
+SELECT p.a AS antecedent, p.b AS consequent, p.freq / l.f AS confidence, p.freq / l.f / (r.f / n) AS lift, p.freq / n AS support
+FROM pairs p JOIN singles_of l ON l.name = p.a JOIN singles_of r ON r.name = p.b, total WHERE p.freq / l.f >= 0.2""",
+    *ITEMS, PAIRS, "singles_of AS (SELECT name, count(*) AS f FROM items GROUP BY 1)", rounded="confidence lift support")
+
 # --- series --------------------------------------------------------------------------------------------------
 
 S = (t.TICKETS, t.PER_PERF, t.SERIES)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from houselights.functions import columns as c
-from houselights.operators import reshape
+from houselights.operators import bitmaps, reshape
 
 SERIES_DAYS = ("Thursday", "Friday", "Saturday")
 MAJOR_BANDS = ("A", "B", "C", "D")
@@ -160,6 +160,20 @@ def zone_subscribers(tickets: DataFrame, price_type: str) -> DataFrame:
             .agg(F.countDistinct("summary_cust_id").alias("subscribers"), F.sum("paid_amt").alias("rev")))
 
 
+def customer_roll_up(tickets: DataFrame) -> DataFrame:
+    """The customers of every day, zone and price type as mergeable sets: store it, and any range of days is counted
+    without the seats. A new day's roll-up is appended to the stored ones."""
+    return bitmaps.roll_up(sold(tickets).withColumn("day", F.to_date("perf_dt")), "summary_cust_id",
+                           "day", *_ZONE, "price_type_group")
+
+
+def zone_uniques(rolled: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Unique customers per weekday, zone and price type over the days from first to last, both included."""
+    for bound, inside in ((first, F.col("day") >= F.lit(first).cast("date")), (last, F.col("day") <= F.lit(last).cast("date"))):
+        rolled = rolled.where(inside) if bound else rolled
+    return bitmaps.unique_counts(rolled, *_ZONE, "price_type_group", name="customers")
+
+
 def zone_major_donors(tickets: DataFrame, donations: DataFrame) -> DataFrame:
     return (_banded_audience(tickets, donations, *_ZONE).where(F.col("donor_group").isin(*MAJOR_BANDS))
             .groupBy(*_ZONE).agg(F.count("summary_cust_id").alias("donors")))
