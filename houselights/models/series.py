@@ -38,7 +38,10 @@ def lagged_pairs(series: DataFrame, lags: int = 4, keep: Sequence[str] = ()) ->
 
 
 def lag_correlations(series: DataFrame, lags: int = 4) -> DataFrame:
-    return lagged_pairs(series, lags).groupBy("series_id", "lag").agg(F.corr("y", "lagged").alias("correlation"))
+    """Correlation of each value with the one 1..k months earlier; unknown where either side is constant."""
+    spread = F.stddev_pop("y") * F.stddev_pop("lagged")
+    return lagged_pairs(series, lags).groupBy("series_id", "lag").agg(
+        F.try_divide(F.covar_pop("y", "lagged"), spread).alias("correlation"))
 
 
 def seasonal_naive(series: DataFrame) -> DataFrame:

@@ -130,6 +130,16 @@ def test_differences_and_lags(table):
     assert set(column(naive.where("residual is not null"), "residual")) == {12.0}
 
 
+def test_lag_correlations_of_constant_series_are_unknown(table):
+    y = list(np.random.default_rng(9).normal(size=30))
+    late = [7.0] * 6 + [9.0]
+    df = monthly(table, y).union(monthly(table, [1500.0] * 30, "flat")).union(monthly(table, [0.1] * 7, "tenth")).union(
+        monthly(table, late, "late")).union(monthly(table, [3.0, 4.0], "pair"))
+    got = {(r.series_id, r.lag): r.correlation for r in series.lag_correlations(df).collect()}
+    assert len(got) == 4 * 4 + 1 and all(v is None for (name, _), v in got.items() if name != "s")
+    assert all(np.isclose(got["s", k], np.corrcoef(y[k:], y[:-k])[0, 1]) for k in (1, 2, 3, 4))
+
+
 def test_ljung_box_matches_formula(table):
     rng = np.random.default_rng(5)
     y = rng.normal(size=60)
