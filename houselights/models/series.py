@@ -59,13 +59,15 @@ def residual_deviation(fitted: DataFrame) -> DataFrame:
 
 def residual_autocorrelation(fitted: DataFrame, lags: int = 4) -> DataFrame:
     """Autocorrelations of the residuals and the cumulative Ljung-Box statistic by lag, with the probability that a series
-    without autocorrelation exceeds it."""
+    without autocorrelation exceeds it. All three are unknown where the residuals are constant."""
     whole = Window.partitionBy("series_id")
+    varies = F.max("residual").over(whole) > F.min("residual").over(whole)
     centred = (fitted.where(F.col("residual").isNotNull())
-               .withColumn("y", F.col("residual") - F.avg("residual").over(whole))
-               .withColumns({"ss": F.sum(F.col("y") * F.col("y")).over(whole), "n": F.count("*").over(whole)}))
+               .withColumns({"y": F.col("residual") - F.avg("residual").over(whole), "_varies": varies})
+               .withColumns({"ss": F.sum(F.when(F.col("_varies"), F.col("y") * F.col("y"))).over(whole),
+                             "n": F.count("*").over(whole)}))
     by_lag = lagged_pairs(centred, lags, keep=("ss", "n")).groupBy("series_id", "lag").agg(
-        (F.sum(F.col("y") * F.col("lagged")) / F.max("ss")).alias("acf"), F.max("n").alias("n"))
+        F.try_divide(F.sum(F.col("y") * F.col("lagged")), F.max("ss")).alias("acf"), F.max("n").alias("n"))
     running = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     part = F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))
     return by_lag.select("series_id", "lag", "acf", (F.col("n") * (F.col("n") + 2) * F.sum(part).over(running)).alias("q")

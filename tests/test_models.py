@@ -151,6 +151,17 @@ def test_ljung_box_matches_formula(table):
     assert np.isclose(got[-1].q, 60 * 62 * sum(r * r / (60 - k) for k, r in enumerate(acf, 1)))
 
 
+@pytest.mark.parametrize("level", [0.0, 0.1])
+def test_autocorrelation_of_constant_residuals_is_unknown(table, level):
+    y = list(np.random.default_rng(5).normal(size=30))
+    df = monthly(table, y).union(monthly(table, [level] * 30, "flat")).withColumn("residual", F.col("y"))
+    got = series.residual_autocorrelation(df).collect()
+    flat = [r for r in got if r.series_id == "flat"]
+    assert sorted(r.lag for r in flat) == [1, 2, 3, 4] and all((r.acf, r.q, r.p_value) == (None, None, None) for r in flat)
+    alone = series.residual_autocorrelation(df.where("series_id = 's'")).collect()
+    assert sorted(r for r in got if r.series_id == "s") == sorted(alone) and all(r.p_value is not None for r in alone)
+
+
 def test_decomposition_recovers_parts(table):
     season = np.array([5, 3, -2, -6, 1, 4, -3, 2, 0, -1, -5, 2.0])
     season -= season.mean()
