@@ -304,12 +304,9 @@ def seat_finder(s, d):
     return audience.seat_finder(seats, T_(s, d, customers=here), views.customers(s, d), RULES)
 
 
-@query("A13 A15 J12")
+@query("A13 A15")
 def seats_within_cap(s, d):
-    seats = T_(s, d)
-    within = keys.keys_within_count(seats.where(F.col("summary_cust_id") > 0), "summary_cust_id", RULES.seat_cap)
-    return (keys.keep_members(seats, within, "summary_cust_id")
-            .groupBy("summary_cust_id").agg(F.count("*").alias("seats")))
+    return keys.counts_within(T_(s, d).where(F.col("summary_cust_id") > 0), "summary_cust_id", RULES.seat_cap, "seats")
 
 
 @query("W3 J10 O1")

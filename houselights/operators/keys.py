@@ -27,9 +27,14 @@ def drop_members(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> Dat
     return df.join(keys, on, "left_anti")
 
 
+def counts_within(df: DataFrame, key: str, most: int, name: str = "n") -> DataFrame:
+    """Keys that own at most `most` rows, with that number."""
+    return df.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) <= most)
+
+
 def keys_within_count(df: DataFrame, key: str, most: int) -> DataFrame:
     """Keys that own at most `most` rows."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") <= most).select(key)
+    return counts_within(df, key, most).select(key)
 
 
 def scalar(df: DataFrame, aggregate: Column) -> Column:

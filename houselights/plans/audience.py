@@ -175,11 +175,14 @@ def counted_seats(seats: DataFrame, rules: AudienceRules) -> DataFrame:
 
 
 def seat_finder(concert: DataFrame, all_tickets: DataFrame, customers: DataFrame, rules: AudienceRules) -> DataFrame:
-    """Customer, name and seat for one concert. Seats are counted for that concert's customers only."""
+    """Customer, name and seat for one concert. Seats are counted for that concert's customers only.
+
+    Unsold seats share the customer 0: they go before the join, or one task would get them all.
+    """
     rows = counted_seats(concert, rules)
     here = keys.key_set(rows, "summary_cust_id")
-    within = keys.keys_within_count(keys.keep_members(all_tickets, here, "summary_cust_id"), "summary_cust_id",
-                                    rules.seat_cap)
+    held = all_tickets.where(F.col("summary_cust_id") > 0)
+    within = keys.keys_within_count(keys.keep_members(held, here, "summary_cust_id"), "summary_cust_id", rules.seat_cap)
     names = customers.select(F.col("customer_no").alias("summary_cust_id"),
                              F.col("display_name").alias("summary_cust_name"))
     return (keys.keep_members(rows, within, "summary_cust_id").join(names, "summary_cust_id", "left")
